@@ -20,9 +20,14 @@ def decode_label(prediction: Column) -> Column:
     return F.when(prediction == 1, F.lit("spam")).otherwise(F.lit("ham"))
 
 
+def round_even(value: Column, digits: int) -> Column:
+    """Round to some decimals, ties to even."""
+    scale = 10**digits
+    return F.rint(value * scale) / scale
+
+
 def round2(value: Column) -> Column:
-    """Two decimals, ties to even."""
-    return F.rint(value * 100) / 100
+    return round_even(value, 2)
 
 
 def decide(spam_probability: Column, threshold: float = fixed.THRESHOLD) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidings import fixed
+from tidings.functions.scores import round_even
 
 
 def is_missing(text: Column) -> Column:
@@ -25,7 +26,7 @@ def class_distribution(df: DataFrame, by: str | None = None, label: str = "label
     )
 
     def share(n: str) -> Column:
-        return F.round(F.try_divide(F.col(n), F.col("total")) * 100, 1)
+        return round_even(F.try_divide(F.col(n), F.col("total")) * 100, 1)
 
     return counted.withColumns({"spam_pct": share("spam"), "ham_pct": share("ham")})
 

@@ -90,11 +90,12 @@ def assign_split_exact(
     last = ranked.where(F.col("place") == F.col("rank")).select(
         "cut", F.struct("digest", "id").alias("key")
     )
-    upto = lambda cut: last.where(F.col("cut") == cut).select("key").scalar()
+    of_cut = lambda cut: F.max(F.when(F.col("cut") == cut, F.col("key"))).alias(cut)
+    cuts = last.agg(of_cut("test"), of_cut("val")).select(F.struct("test", "val")).scalar()
     key = F.struct(digest.alias("digest"), F.col(id_col).alias("id"))
     return df.withColumn(
         "split",
-        F.when(key <= upto("test"), F.lit("test"))
-        .when(key <= upto("val"), F.lit("val"))
+        F.when(key <= cuts["test"], F.lit("test"))
+        .when(key <= cuts["val"], F.lit("val"))
         .otherwise(F.lit("train")),
     )
