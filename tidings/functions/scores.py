@@ -21,7 +21,7 @@ def decode_label(prediction: Column) -> Column:
 
 
 def round_even(value: Column, digits: int) -> Column:
-    """Round to some decimals, ties to even."""
+    """Round to some decimals, ties of the scaled value to even."""
     scale = 10**digits
     return F.rint(value * scale) / scale
 

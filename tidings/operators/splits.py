@@ -60,7 +60,8 @@ def assign_split_exact(
 
     ``ceil(test n)`` rows go to test and ``ceil(val (n - test))`` to validation.
     No global sort: two histograms of the hash, 16 bits each, find the bucket
-    each cut falls into, and only that bucket is ranked.
+    each cut falls into, and only the ids of that bucket are ranked, already
+    counted.
     """
     digest = _digest(id_col, seed)
     keys = df.select(
@@ -84,12 +85,12 @@ def assign_split_exact(
         .agg(F.count("*").alias("n"))
     )
     cut2 = _narrow(second, "b2", ["cut", "b1"])
-    ranked = keys.join(F.broadcast(cut2), ["b1", "b2"]).withColumn(
-        "place", F.row_number().over(Window.partitionBy("cut").orderBy("digest", "id"))
-    )
-    last = ranked.where(F.col("place") == F.col("rank")).select(
-        "cut", F.struct("digest", "id").alias("key")
+    third = (
+        keys.join(F.broadcast(cut2), ["b1", "b2"])
+        .groupBy("cut", "rank", F.struct("digest", "id").alias("key"))
+        .agg(F.count("*").alias("n"))
     )
+    last = _narrow(third, "key", ["cut"])
     of_cut = lambda cut: F.max(F.when(F.col("cut") == cut, F.col("key"))).alias(cut)
     cuts = last.agg(of_cut("test"), of_cut("val")).select(F.struct("test", "val")).scalar()
     key = F.struct(digest.alias("digest"), F.col(id_col).alias("id"))
