@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import json
 from functools import cache
 from html.entities import html5
 
@@ -28,15 +29,21 @@ def _legacy_prefix() -> str:
     return f"^(?:{'|'.join(names)})"
 
 
-def _code_point(digits: Column, base: int, too_long: int) -> Column:
+def _code_point(piece: Column) -> Column:
     """Digits to a code point; anything out of range becomes one past the last."""
-    significant = F.ltrim(digits, F.lit("0"))
-    number = F.conv(F.concat(F.lit("0"), significant), base, 10).cast("long")
-    return F.when(F.length(significant) >= too_long, F.lit(0x110000)).otherwise(number)
+
+    def number(pattern: str, base: int, too_long: int) -> Column:
+        significant = F.ltrim(F.regexp_extract(piece, pattern, 1), F.lit("0"))
+        value = F.conv(F.concat(F.lit("0"), significant), base, 10).cast("long")
+        return F.when(F.length(significant) >= too_long, F.lit(0x110000)).otherwise(value)
+
+    is_hex = piece.rlike("^&#[xX]")
+    return F.when(is_hex, number(_HEX, 16, 7)).otherwise(number(_DECIMAL, 10, 8))
 
 
 def _character(point: Column) -> Column:
-    low = F.array(*[F.lit(html.unescape(f"&#{i};")) for i in range(_FIRST_REGULAR)])
+    spellings = [html.unescape(f"&#{i};") for i in range(_FIRST_REGULAR)]
+    low = F.from_json(F.lit(json.dumps(spellings)), "array<string>")
     spelled = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
     nonchar = point.between(0xFDD0, 0xFDEF) | (point.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
     return (
@@ -69,14 +76,7 @@ def html_unescape(text: Column) -> Column:
         )
         return (
             F.when(~piece.startswith("&") | (piece == "&"), piece)
-            .when(
-                piece.rlike("^&#[0-9]"),
-                _character(_code_point(F.regexp_extract(piece, _DECIMAL, 1), 10, 8)),
-            )
-            .when(
-                piece.rlike("^&#[xX]"),
-                _character(_code_point(F.regexp_extract(piece, _HEX, 1), 16, 7)),
-            )
+            .when(piece.rlike("^&#[0-9xX]"), _character(_code_point(piece)))
             .otherwise(named)
         )
 

@@ -35,7 +35,7 @@ from tidings.session import enable_checkpoints
 
 
 # Sparse rows a task can take in one pass of an iterative learner.
-ROWS_PER_TASK = 10_000
+ROWS_PER_TASK = 1_000
 
 
 class RegularizedLogistic(Estimator, DefaultParamsReadable, DefaultParamsWritable):
