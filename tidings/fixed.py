@@ -39,26 +39,32 @@ ASCII_END = "(?![A-Za-z0-9_])"
 JS_SPACE = r"\x09-\x0d\x20\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 # ------------------------------------------------------------ text normalisation
+# A leading lookahead changes no match: it lets the matcher give up on a position
+# after one character.
 V1_DROPPED = rf"[^a-z0-9{SPACE}]"
-V2_BLANKED = rf"[^a-z0-9_{SPACE}]"
+# Runs of anything but a-z, 0-9 and _, spelled as the ranges around them.
+V2_BLANKED = r"[\x00-/:-\^`{-\x{10FFFF}]+"
+# Letters of a host name, with those that equal them when case is ignored.
+HOST = r"[a-zA-Z0-9.\-\u0130\u0131\u017f\u212a]"
+HOST_STARTS = rf"(?<![a-zA-Z0-9](?=[a-zA-Z0-9]))(?={HOST}++/){BOUNDARY}"
 URL = (
-    rf"(?iu)https?://[^{SPACE}]+|www\.[^{SPACE}]+"
-    rf"|{BOUNDARY}[a-zA-Z0-9.-]+\.(?:com|co\.uk|org|net|me|info|biz|cc|tv)/[^{SPACE}]*"
+    rf"(?=[hHwW])(?iu:https?://[^{SPACE}]+|www\.[^{SPACE}]+)"
+    rf"|{HOST_STARTS}{HOST}+\.(?iu:com|co\.uk|org|net|me|info|biz|cc|tv)/[^{SPACE}]*"
 )
 MONEY = (
-    rf"(?iu)[£$€¥₹][{SPACE}]*{DIGIT}+(?:[.,]{DIGIT}+)?"
+    rf"(?=[£$€¥₹{DIGIT}])(?:[£$€¥₹][{SPACE}]*{DIGIT}+(?:[.,]{DIGIT}+)?"
     rf"|{WORD_START}{DIGIT}+(?:[.,]{DIGIT}+)?[{SPACE}]*"
-    rf"(?:pounds?|dollars?|euros?|p|quid|cash|prize){WORD_END}"
+    rf"(?iu:pounds?|dollars?|euros?|p|quid|cash|prize){WORD_END})"
 )
 PHONE = (
-    rf"\+?{DIGIT}{{1,4}}?[-.{SPACE}]?\(?{DIGIT}{{1,3}}?\)?[-.{SPACE}]?"
+    rf"(?=[+{DIGIT}])(?:\+?{DIGIT}{{1,4}}?[-.{SPACE}]?\(?{DIGIT}{{1,3}}?\)?[-.{SPACE}]?"
     rf"{DIGIT}{{1,4}}[-.{SPACE}]?{DIGIT}{{1,4}}[-.{SPACE}]?{DIGIT}{{1,9}}"
-    rf"|{WORD_START}{DIGIT}{{5,6}}{WORD_END}"
+    rf"|{WORD_START}{DIGIT}{{5,6}}{WORD_END})"
 )
 MULTI_EXCLAM = "!{2,}"
 EXCLAM = "!"
 MULTI_QUESTION = r"\?{2,}"
-NUMBER = rf"{WORD_START}{DIGIT}+{WORD_END}"
+NUMBER = rf"(?={DIGIT}){WORD_START}{DIGIT}+{WORD_END}"
 TOKENS = {
     "url": " tok_url ",
     "money": " tok_money ",

@@ -64,8 +64,8 @@ def replace_numbers(text: Column) -> Column:
 
 
 def blank_symbols(text: Column) -> Column:
-    """Lower case; every other symbol becomes a space."""
-    return collapse_space(F.regexp_replace(F.lower(text), fixed.V2_BLANKED, " "))
+    """Lower case; symbols and white space between words become one space."""
+    return F.trim(F.regexp_replace(F.lower(text), fixed.V2_BLANKED, " "))
 
 
 def preprocess_v2(text: Column) -> Column:
