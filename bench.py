@@ -51,21 +51,21 @@ def fits(spark, results: dict[str, float]) -> None:
     for stage in classifiers.tfidf_stages(1):
         model = stage.fit(frame) if hasattr(stage, "fit") else stage
         frame = model.transform(frame)
-    frame = frame.select("msg_id", "label", "w", "tfidf_v1").persist()
-    rows = frame.count()
+    frame = frame.select("msg_id", "label", "tfidf_v1").persist()
+    frame.count()
     results["fit_tfidf_and_transform"] = round(time.perf_counter() - start, 3)
-    small = classifiers._fewer_tasks(frame)
     for name, pipeline in {
         "fit_lr": classifiers.lr_pipeline(),
         "fit_rf": classifiers.rf_pipeline(),
         "fit_gbt_20_rounds": classifiers.gbt_pipeline(20),
     }.items():
-        results[name] = timed(lambda p=pipeline: p.getStages()[-1].fit(small))
+        learner = pipeline.getStages()[-1]
+        rows = classifiers.fewer_tasks(frame, learner)
+        results[name] = timed(lambda f=learner, r=rows: f.fit(r))
     frame.unpersist()
     results["fit_embed"] = timed(
         lambda: classifiers.fit_models(train, {"transformer": classifiers.embed_pipeline()})
     )
-    assert rows
 
 
 def main() -> None:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from functools import cache
 
-from pyspark import keyword_only
+from pyspark import inheritable_thread_target, keyword_only
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -34,8 +35,9 @@ from tidings.operators.labelled import class_weights
 from tidings.session import enable_checkpoints
 
 
-# Sparse rows a task can take in one pass of an iterative learner.
-ROWS_PER_TASK = 1_000
+# Rows worth a task in one pass: trees compute more per row than gradients do.
+ROWS_PER_TREE_TASK = 1_000
+ROWS_PER_TASK = 10_000
 
 
 class RegularizedLogistic(Estimator, DefaultParamsReadable, DefaultParamsWritable):
@@ -238,16 +240,19 @@ def balance(df: DataFrame, label: str = "label", id_col: str = "msg_id") -> Data
     return df.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).drop("_copy")
 
 
-def fit_models(train: DataFrame, pipelines: Mapping[str, Pipeline]) -> dict[str, PipelineModel]:
+def fit_models(
+    train: DataFrame, pipelines: Mapping[str, Pipeline], parallelism: int = 4
+) -> dict[str, PipelineModel]:
     """Fit several pipelines, each shared feature stage only once.
 
     The featurised rows are kept on executors while learners that share them
-    run, and recomputed from the table if an executor is lost.
+    run, and recomputed from the table if an executor is lost.  Learners do not
+    depend on each other, so several run at a time.
     """
     enable_checkpoints(train.sparkSession)
     fitted: dict[str, object] = {}
     frames: dict[tuple[str, ...], DataFrame] = {}
-    models: dict[str, PipelineModel] = {}
+    jobs: dict[str, tuple[list, Estimator, DataFrame]] = {}
     for key, pipeline in pipelines.items():
         df, done = train, []
         *features, learner = pipeline.getStages()
@@ -262,17 +267,27 @@ def fit_models(train: DataFrame, pipelines: Mapping[str, Pipeline]) -> dict[str,
             frames[path] = df.select(
                 *[c for c in needed if c not in ("text", "split")]
             ).persist(StorageLevel.MEMORY_AND_DISK)
-        models[key] = PipelineModel([*done, learner.fit(_fewer_tasks(frames[path]))])
-    for frame in frames.values():
-        frame.unpersist()
-    return models
-
-
-def _fewer_tasks(frame: DataFrame) -> DataFrame:
+        jobs[key] = (done, learner, fewer_tasks(frames[path], learner))
+    try:
+        in_session = inheritable_thread_target(train.sparkSession)
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            running = {
+                key: pool.submit(in_session(learner.fit), frame)
+                for key, (_, learner, frame) in jobs.items()
+            }
+            return {k: PipelineModel([*jobs[k][0], run.result()]) for k, run in running.items()}
+    finally:
+        for frame in frames.values():
+            frame.unpersist()
+
+
+def fewer_tasks(frame: DataFrame, learner: Estimator) -> DataFrame:
     """Merge partitions that are too small to pay for a task per iteration.
 
     Learners run hundreds of short passes.  This only ever lowers the number of
     partitions, without a shuffle; large tables keep theirs.
     """
-    wanted = max(1, math.ceil(frame.count() / ROWS_PER_TASK))
+    trees = isinstance(learner, RandomForestClassifier | GBTClassifier)
+    each = ROWS_PER_TREE_TASK if trees else ROWS_PER_TASK
+    wanted = max(1, math.ceil(frame.count() / each))
     return frame.coalesce(wanted) if wanted < frame.rdd.getNumPartitions() else frame

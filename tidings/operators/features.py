@@ -24,6 +24,10 @@ from tidings.functions.tokens import ngrams, pad, sequence_words, tokens
 from tidings.operators.vocabulary import fit_vocab, fit_word_index
 
 
+# Parts a word's uses are spread over when they meet a large word index.
+SALTS = 16
+
+
 class _Stage(HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """Input and output column plus default persistence."""
 
@@ -253,14 +257,19 @@ def to_ids(
     """Word arrays to id arrays in word order: the input plus ``ids``.
 
     A word index within the bound is looked up inside each row.  A larger one is
-    joined, and the ids of a message are put back in order.
+    joined, and the ids of a message are put back in order.  That join is salted,
+    since a few words make up much of any text.
     """
     entries = word_index.select("word", "idx").limit(bound + 1).collect()
     if len(entries) <= bound:
         index = {r["word"]: r["idx"] for r in entries}
         return df.withColumn("ids", known_ids(F.col(words), index, oov))
     placed = df.select(id_col, F.posexplode(words).alias("pos", "word"))
-    joined = placed.join(word_index.select("word", "idx"), "word", "left")
+    salt = F.pmod(F.xxhash64(id_col, "pos"), F.lit(SALTS))
+    copies = word_index.select("word", "idx", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    joined = placed.withColumn("salt", salt).join(
+        copies.withColumn("salt", F.col("salt").cast("long")), ["word", "salt"], "left"
+    )
     if oov is None:
         joined = joined.where(F.col("idx").isNotNull())
     ids = joined.groupBy(id_col).agg(

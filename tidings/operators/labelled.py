@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidings import fixed
@@ -38,20 +38,24 @@ def split_sizes(df: DataFrame) -> DataFrame:
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """Per class: rows, the weight of positives against negatives, balanced weight.
 
-    One aggregate over the data; what follows works on one row per class.
+    One aggregate over the data; the window sees one row per class.
     """
     counts = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(
         F.count("*").alias("n")
     )
-    of_class = lambda c: counts.where(F.col("label") == c).agg(F.sum("n")).scalar()
-    total, classes = (counts.agg(f).scalar() for f in (F.sum("n"), F.count("*")))
+    classes = Window.partitionBy()
+
+    def rows(condition: Column) -> Column:
+        return F.sum(F.when(condition, F.col("n"))).over(classes)
+
+    c = F.col("label")
     return counts.select(
         "label",
         "n",
-        F.when(F.col("label") == 1, F.try_divide(of_class(0), of_class(1)))
+        F.when(c == 1, F.try_divide(rows(c == 0), rows(c == 1)))
         .otherwise(F.lit(1.0))
         .alias("scale_pos"),
-        (total / (classes * F.col("n"))).alias("balanced"),
+        (rows(c.isNotNull()) / (F.count("*").over(classes) * F.col("n"))).alias("balanced"),
     )
 
 

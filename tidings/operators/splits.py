@@ -71,14 +71,16 @@ def assign_split_exact(
         _hex_number(digest, 5, 4).alias("b2"),
     )
     first = keys.groupBy("b1").agg(F.count("*").alias("n"))
-    total = first.agg(F.sum("n")).scalar()
-    n_test = F.ceil(total * F.lit(test))
-    n_val = F.ceil((total - n_test) * F.lit(val))
+    # Over at most 65,536 histogram rows.
+    total = F.sum("n").over(Window.partitionBy())
+    n_test = F.ceil(F.col("total") * F.lit(test))
+    n_val = F.ceil((F.col("total") - n_test) * F.lit(val))
     wanted = F.array(
         F.struct(F.lit("test").alias("cut"), n_test.alias("rank")),
         F.struct(F.lit("val").alias("cut"), (n_test + n_val).alias("rank")),
     )
-    cut1 = _narrow(first.select("*", F.inline(wanted)), "b1", ["cut"])
+    targets = first.withColumn("total", total).select("b1", "n", F.inline(wanted))
+    cut1 = _narrow(targets, "b1", ["cut"])
     second = (
         keys.join(F.broadcast(cut1), "b1")
         .groupBy("cut", "b1", "rank", "b2")

@@ -578,12 +578,16 @@ BOOSTING_ROUNDS = 20  # library defaults are 100 and 250
 
 
 def _train(spark: SparkSession, sf: str) -> DataFrame:
-    return labelled.with_weights(_split(spark, sf, "train"), "scale_pos")
+    return _split(spark, sf, "train")
 
 
-def _predict(key: str, pipeline: Callable, name: str) -> None:
+def _weighted(spark: SparkSession, sf: str) -> DataFrame:
+    return labelled.with_weights(_train(spark, sf), "scale_pos")
+
+
+def _predict(key: str, pipeline: Callable, name: str, train: Query = _train) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        model = classifiers.fit_models(_train(spark, sf), {key: pipeline()})[key]
+        model = classifiers.fit_models(train(spark, sf), {key: pipeline()})[key]
         return scoring.predict(_split(spark, sf, "test"), model, key)
 
     run.__name__ = name
@@ -593,7 +597,9 @@ def _predict(key: str, pipeline: Callable, name: str) -> None:
 _predict("lr", classifiers.lr_pipeline, "predict_lr")
 _predict("rf", classifiers.rf_pipeline, "predict_rf")
 _predict("xgb", lambda: classifiers.gbt_pipeline(BOOSTING_ROUNDS), "predict_gbt")
-_predict("xgb_v2", lambda: classifiers.gbt_v2_pipeline(BOOSTING_ROUNDS), "predict_gbt_v2")
+_predict(
+    "xgb_v2", lambda: classifiers.gbt_v2_pipeline(BOOSTING_ROUNDS), "predict_gbt_v2", _weighted
+)
 _predict("cnn", classifiers.ngram_pipeline, "predict_ngram")
 _predict("transformer", classifiers.embed_pipeline, "predict_embed")
 
@@ -636,7 +642,7 @@ def eval_models(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def eval_v1_v2(spark: SparkSession, sf: str) -> DataFrame:
     """Each version with its own normaliser, vocabulary and length."""
-    train = _train(spark, sf)
+    train = _weighted(spark, sf)
     models = classifiers.fit_models(
         train,
         {
