@@ -89,23 +89,24 @@ MAXLEN_V2 = 60
 THRESHOLD = 0.5
 
 # ------------------------------------------------------- explanation of a verdict
+# Label, and the words (any case) or else the pattern that earns it.
 INDICATORS = [
-    ("Winning Claim", rf"(?i){ASCII_START}(win|winner|won){ASCII_END}"),
+    ("Winning Claim", ["win", "winner", "won"]),
     (
         "Financial Bait",
-        rf"(?i){ASCII_START}(free|prize|reward|gift|cash|bonus|promo|coupon){ASCII_END}",
+        ["free", "prize", "reward", "gift", "cash", "bonus", "promo", "coupon"],
     ),
     (
         "Urgency / Pressure",
-        rf"(?i){ASCII_START}(urgent|now|limited|alert|expire|action required){ASCII_END}",
+        ["urgent", "now", "limited", "alert", "expire", "action required"],
     ),
+    ("Call to Action", ["claim", "call", "text", "reply", "contact", "apply"]),
     (
-        "Call to Action",
-        rf"(?i){ASCII_START}(claim|call|text|reply|contact|apply){ASCII_END}",
+        "Currency / Money",
+        rf"(?=[£$0-9])(?i:£|\$|[0-9]+[{JS_SPACE}]*pound|[0-9]+[{JS_SPACE}]*dollar)",
     ),
-    ("Currency / Money", rf"(?i)£|\$|[0-9]+[{JS_SPACE}]*pound|[0-9]+[{JS_SPACE}]*dollar"),
-    ("Shortcode / Phone Number", rf"{ASCII_START}[0-9]{{4,}}{ASCII_END}"),
-    ("ALL CAPS", rf"{ASCII_START}[A-Z]{{3,}}{ASCII_END}"),
+    ("Shortcode / Phone Number", rf"(?=[0-9]){ASCII_START}[0-9]{{4,}}{ASCII_END}"),
+    ("ALL CAPS", rf"(?=[A-Z]){ASCII_START}[A-Z]{{3,}}{ASCII_END}"),
 ]
 NO_INDICATOR = "Length / Cap Ratio"
 HIGHLIGHTED = [

@@ -9,14 +9,28 @@ from tidings import fixed
 from tidings.functions.text import escape_html
 
 
+def _initials(words: list[str]) -> str:
+    first = "".join(sorted({w[0] for w in words}))
+    return first + first.upper()
+
+
+def _rule(spec: list[str] | str) -> str:
+    """Whole words in any case; the lookahead skips positions no word starts with."""
+    if isinstance(spec, str):
+        return spec
+    return (
+        f"(?=[{_initials(spec)}]){fixed.ASCII_START}(?i:{'|'.join(spec)}){fixed.ASCII_END}"
+    )
+
+
 def matched_indicators(text: Column) -> Column:
     """Labels of the rules that match, in rule order."""
-    rules = [F.when(text.rlike(rule), F.lit(label)) for label, rule in fixed.INDICATORS]
+    rules = [F.when(text.rlike(_rule(r)), F.lit(label)) for label, r in fixed.INDICATORS]
     return F.array_compact(F.array(*rules))
 
 
 def indicator_count(text: Column) -> Column:
-    hits = [text.rlike(rule).cast("int") for _, rule in fixed.INDICATORS]
+    hits = [text.rlike(_rule(r)).cast("int") for _, r in fixed.INDICATORS]
     return sum(hits[1:], hits[0])
 
 
@@ -36,8 +50,8 @@ def highlight(text: Column) -> Column:
     """
     words = [w for w in fixed.HIGHLIGHTED if w.split()[-1] == w]
     pattern = (
-        rf"(?i)([£$]|{fixed.ASCII_START}[0-9]{{4,}}{fixed.ASCII_END}"
-        rf"|{fixed.ASCII_START}(?:{'|'.join(words)}){fixed.ASCII_END})"
+        rf"(?=[£$0-9{_initials(words)}])([£$]|{fixed.ASCII_START}"
+        rf"(?:[0-9]{{4,}}|(?i:{'|'.join(words)})){fixed.ASCII_END})"
     )
     wrapped = f"{fixed.HIGHLIGHT_OPEN}$1{fixed.HIGHLIGHT_CLOSE}"
     return F.regexp_replace(escape_html(text), pattern, wrapped)
