@@ -1,0 +1 @@
+"""Labelled-message analytics on Spark."""

@@ -1,0 +1 @@
+"""Column to Column functions."""

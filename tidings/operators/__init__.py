@@ -1,0 +1 @@
+"""DataFrame operators, feature stages and classifiers."""

@@ -182,7 +182,8 @@ ORACLE["label_encode"] = f"""
 WITH {SMS}, both_kinds AS (
   SELECT msg_id, label FROM sms
   UNION ALL SELECT conv_id * 1000 + turn, role FROM conversations)
-SELECT msg_id, label, CASE label WHEN 'ham' THEN 0 WHEN 'spam' THEN 1 END AS code FROM both_kinds"""
+SELECT msg_id, label, CASE label WHEN 'ham' THEN '0' WHEN 'spam' THEN '1' END AS code
+FROM both_kinds"""
 
 _NA = ", ".join(_q(w) for w in fixed.NA_WORDS)
 ORACLE["drop_missing"] = f"""

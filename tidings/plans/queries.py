@@ -94,7 +94,7 @@ def label_encode(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), F.col("role").alias("label")
     )
     return df.select("msg_id", "label").unionByName(roles).select(
-        "msg_id", "label", scores.encode_label(F.col("label")).alias("code")
+        "msg_id", "label", scores.encode_label(F.col("label")).cast("string").alias("code")
     )
 
 
