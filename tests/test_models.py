@@ -108,6 +108,18 @@ def test_balancing_repeats_the_smaller_class(parts):
     assert counts[0] == before
 
 
+def test_balancing_leaves_vocabularies_alone(parts):
+    train = parts["train"].where("label = 1 OR msg_id % 2 = 0")
+    words = []
+    for balanced in ((), ("tf_v2",)):
+        classifiers.sequence_stages.cache_clear()
+        model = classifiers.fit_models(
+            train, {"tf_v2": classifiers.embed_pipeline(dim=4, version=2, max_iter=2, key="tf_v2")}, balanced
+        )["tf_v2"]
+        words.append(model.stages[1].getOrDefault("words"))
+    assert words[0] == words[1]
+
+
 def test_logistic_penalty_counts_rows(parts, models):
     weights = models["lr"].stages[-1]
     assert weights.getRegParam() == pytest.approx(1 / parts["train"].count())

@@ -104,31 +104,37 @@ def test_lookup_tables_are_folded_into_the_plan(spark):
     assert "from_json" not in plan
 
 
-SPACES = "".join(fixed.SPACE_CHARS)
 ALPHABET = st.text(alphabet="aZé9ſК !?.,-+()/£$&_'\"<>\n\t\xa0\x1c😀wcom", max_size=60)
 
 
 @settings(max_examples=15, deadline=None)
 @given(st.lists(ALPHABET, min_size=20, max_size=40))
 def test_normaliser_properties(spark, values):
-    v1 = run(spark, values, text.clean_v1)
-    assert v1 == [re.sub(r"[^a-z0-9\s]", "", v.lower()) for v in values]
-    assert run(spark, v1, text.clean_v1) == v1
-    for cleaned in run(spark, values, text.preprocess_v2):
-        assert re.fullmatch(r"([a-z0-9_]+( [a-z0-9_]+)*)?", cleaned)
-    assert run(spark, values, text.collapse_space) == [
-        re.sub(r"\s+", " ", v).strip() for v in values
-    ]
-    assert run(spark, values, text.strip) == [v.strip() for v in values]
-    assert run(spark, values, lambda c: tokens.tokens(c, 1)) == [
-        re.findall(r"\b\w+\b", v.lower()) for v in values
-    ]
-    assert run(spark, values, lambda c: tokens.tokens(c, 2)) == [
-        re.findall(r"\b\w\w+\b", v.lower()) for v in values
-    ]
-    assert run(spark, values, text.replace_numbers) == [
-        re.sub(r"\b\d+\b", " tok_num ", v) for v in values
-    ]
+    t = F.col("t")
+    df = spark.createDataFrame(list(enumerate(values)), "i INT, t STRING")
+    rows = (
+        df.select(
+            "i",
+            text.clean_v1(t).alias("v1"),
+            text.clean_v1(text.clean_v1(t)).alias("twice"),
+            text.preprocess_v2(t).alias("v2"),
+            text.collapse_space(t).alias("collapsed"),
+            text.strip(t).alias("stripped"),
+            tokens.tokens(t, 1).alias("one"),
+            tokens.tokens(t, 2).alias("two"),
+            text.replace_numbers(t).alias("numbers"),
+        )
+        .orderBy("i")
+        .collect()
+    )
+    for v, r in zip(values, rows, strict=True):
+        assert r["v1"] == r["twice"] == re.sub(r"[^a-z0-9\s]", "", v.lower())
+        assert re.fullmatch(r"([a-z0-9_]+( [a-z0-9_]+)*)?", r["v2"])
+        assert r["collapsed"] == re.sub(r"\s+", " ", v).strip()
+        assert r["stripped"] == v.strip()
+        assert r["one"] == re.findall(r"\b\w+\b", v.lower())
+        assert r["two"] == re.findall(r"\b\w\w+\b", v.lower())
+        assert r["numbers"] == re.sub(r"\b\d+\b", " tok_num ", v)
 
 
 @pytest.mark.parametrize(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from functools import cache
 
@@ -241,10 +241,16 @@ def balance(df: DataFrame, label: str = "label", id_col: str = "msg_id") -> Data
 
 
 def fit_models(
-    train: DataFrame, pipelines: Mapping[str, Pipeline], parallelism: int = 4
+    train: DataFrame,
+    pipelines: Mapping[str, Pipeline],
+    balanced: Iterable[str] = (),
+    parallelism: int = 4,
 ) -> dict[str, PipelineModel]:
     """Fit several pipelines, each shared feature stage only once.
 
+    Learners named in ``balanced`` see rows of the smaller class repeated; their
+    vocabularies are still those of the table as it is.
+
     The featurised rows are kept on executors while learners that share them
     run, and recomputed from the table if an executor is lost.  Learners do not
     depend on each other, so several run at a time.
@@ -267,7 +273,8 @@ def fit_models(
             frames[path] = df.select(
                 *[c for c in needed if c not in ("text", "split")]
             ).persist(StorageLevel.MEMORY_AND_DISK)
-        jobs[key] = (done, learner, fewer_tasks(frames[path], learner))
+        rows = fewer_tasks(frames[path], learner)
+        jobs[key] = (done, learner, balance(rows) if key in balanced else rows)
     try:
         in_session = inheritable_thread_target(train.sparkSession)
         with ThreadPoolExecutor(max_workers=parallelism) as pool:

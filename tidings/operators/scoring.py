@@ -45,9 +45,9 @@ def predict(
     df: DataFrame, model: PipelineModel, key: str, keep: Iterable[str] = ("msg_id",)
 ) -> DataFrame:
     """Score messages with one model: kept columns plus the reply fields."""
-    scored = model.transform(df)
     p = _spam_probability(model.stages[-1])
-    return scored.select(*keep, record(key, p).alias("r")).select(*keep, "r.*")
+    scored = model.transform(df).select(*keep, p.alias("_p"))
+    return scored.select(*keep, record(key, F.col("_p")).alias("r")).select(*keep, "r.*")
 
 
 def predict_requests(
@@ -96,7 +96,8 @@ def compare_all(
             out = stage.transform(out)
         for key in keys:
             learner = models[key].stages[-1]
-            out = learner.transform(out).withColumn(f"_{key}", record(key, _spam_probability(learner)))
+            out = learner.transform(out).withColumn("_p", _spam_probability(learner))
+            out = out.withColumn(f"_{key}", record(key, F.col("_p")))
         base += [f"_{key}" for key in keys]
         out = out.select(*base)
     results = out.select(*keep, F.array(*[f"_{key}" for key in order]).alias("results"))

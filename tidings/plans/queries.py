@@ -642,17 +642,15 @@ def eval_models(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def eval_v1_v2(spark: SparkSession, sf: str) -> DataFrame:
     """Each version with its own normaliser, vocabulary and length."""
-    train = _weighted(spark, sf)
     models = classifiers.fit_models(
-        train,
+        _weighted(spark, sf),
         {
             "xgb_v1": classifiers.gbt_pipeline(BOOSTING_ROUNDS, key="xgb_v1"),
             "xgb_v2": classifiers.gbt_v2_pipeline(BOOSTING_ROUNDS),
             "tf_v1": classifiers.embed_pipeline(key="tf_v1"),
+            "tf_v2": classifiers.embed_pipeline(dim=64, version=2, key="tf_v2"),
         },
-    )
-    models |= classifiers.fit_models(
-        classifiers.balance(train), {"tf_v2": classifiers.embed_pipeline(dim=64, version=2, key="tf_v2")}
+        balanced={"tf_v2"},
     )
     compared = scoring.compare_all(_test(spark, sf), models, ("msg_id", "truth"))
     known = schemas.versioned_registry(spark)
