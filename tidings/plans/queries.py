@@ -31,8 +31,8 @@ def _work(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _split(spark: SparkSession, sf: str, part: str | None = None) -> DataFrame:
-    df = splits.assign_split(derived.labelled(spark, sf))
+def _split(spark: SparkSession, sf: str, part: str | None = None, texts: bool = True) -> DataFrame:
+    df = splits.assign_split(derived.labelled(spark, sf, texts))
     return df.where(F.col("split") == part) if part else df
 
 
@@ -118,7 +118,7 @@ def drop_missing(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def class_distribution(spark: SparkSession, sf: str) -> DataFrame:
-    return labelled.class_distribution(_split(spark, sf), "split")
+    return labelled.class_distribution(_split(spark, sf, texts=False), "split")
 
 
 @query
@@ -129,7 +129,7 @@ def class_distribution_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def class_weights(spark: SparkSession, sf: str) -> DataFrame:
-    df = labelled.class_weights(_split(spark, sf, "train"))
+    df = labelled.class_weights(_split(spark, sf, "train", texts=False))
     return df.select(
         "label", "n",
         F.round("scale_pos", 6).alias("scale_pos"), F.round("balanced", 6).alias("balanced"),
@@ -138,22 +138,22 @@ def class_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def split_assign(spark: SparkSession, sf: str) -> DataFrame:
-    return _split(spark, sf).select("msg_id", "split")
+    return _split(spark, sf, texts=False).select("msg_id", "split")
 
 
 @query
 def split_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    return labelled.split_sizes(_split(spark, sf))
+    return labelled.split_sizes(_split(spark, sf, texts=False))
 
 
 @query
 def split_exact(spark: SparkSession, sf: str) -> DataFrame:
-    return splits.assign_split_exact(derived.sms(spark, sf)).select("msg_id", "split")
+    return splits.assign_split_exact(derived.sms(spark, sf, texts=False)).select("msg_id", "split")
 
 
 @query
 def split_exact_documents(spark: SparkSession, sf: str) -> DataFrame:
-    df = splits.assign_split_exact(derived.table(spark, sf, "documents"), "doc_id")
+    df = splits.assign_split_exact(derived.table(spark, sf, "documents", texts=False), "doc_id")
     return df.select("doc_id", "split")
 
 

@@ -36,9 +36,10 @@ FROM {conversations}
 TEXT_TABLES = {"conversations", "documents", "pages"}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, texts: bool = True) -> DataFrame:
+    """A given table; say ``texts=False`` when only its ids are wanted."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    return spread(df) if texts and name in TEXT_TABLES else df
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -51,15 +52,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
-def sms(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sms(spark: SparkSession, sf_dir: str, texts: bool = True) -> DataFrame:
     """msg_id, label (ham or spam), text."""
     return spark.sql(
         SMS_SQL.replace("{conversations}", "{turns}"),
-        turns=table(spark, sf_dir, "conversations"),
+        turns=table(spark, sf_dir, "conversations", texts),
     )
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def labelled(spark: SparkSession, sf_dir: str, texts: bool = True) -> DataFrame:
     """The same with the label as a number."""
-    messages = sms(spark, sf_dir)
+    messages = sms(spark, sf_dir, texts)
     return messages.withColumn("label", encode_label(messages["label"]))
