@@ -22,7 +22,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidings.llm.common import WORD, documents, text_or_empty
+from tidings.llm.common import BLANKS, WORD, documents, text_or_empty
 
 MIN_WORDS = 50
 MAX_REPEATED = 50  # percent of the words
@@ -43,29 +43,36 @@ SYMBOLS = "#*$%&|<>"
 _CLASSES = ["lower", "upper", "digit", "blank", "symbol", "rest"]
 
 
-def _removed(text: Column, pattern: str) -> Column:
+def _removed(text: str, pattern: str) -> Column:
     """Characters that the pattern takes away."""
-    return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+    return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("long")
 
 
 def _histograms(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """``df`` with ``_words``, ``_lang``, ``_classes`` and ``_common`` (arrays of long)."""
-    text = F.col("_text")
+    """``df`` with ``_n_words``, ``_lang``, ``_classes`` and ``_common`` (arrays of long)."""
     df = df.withColumn("_text", text_or_empty(text_col))
-    df = df.withColumn("_words", F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)))
     lang = F.col(lang_col).cast("string")
+    # words two blanks apart, with one at either end; what is no small letter is short
+    apart = F.regexp_replace(F.lower("_text"), BLANKS + "+", "  ")
     df = df.withColumns(
         {
-            "_n_words": F.size("_words").cast("long"),
-            "_word_chars": F.length(F.array_join("_words", "")).cast("long"),
-            "_n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-            "_upper": _removed(text, r"\p{Lu}+"),
-            "_letters": _removed(text, r"\p{L}+"),
-            "_digits": _removed(text, r"\p{N}+"),
-            "_spaced": F.concat(F.lit(" "), F.lower(F.array_join("_words", "  ")), F.lit(" ")),
+            "_spaced": F.concat(F.lit(" "), F.trim(apart), F.lit(" ")),
+            "_few": F.regexp_replace("_text", r"\p{Ll}+", ""),
             "_lang": F.when(lang.isin(*COMMON), lang).otherwise(F.lit(OTHER)),
         }
     )
+    gaps = (F.octet_length("_spaced") - F.octet_length(F.replace(F.col("_spaced"), F.lit("  "), F.lit("")))) / 2
+    df = df.withColumns(
+        {
+            "_n_words": F.when(F.length("_spaced") == 2, 0).otherwise(gaps + 1).cast("long"),
+            "_n_symbols": (F.length("_few") - F.length(F.translate("_few", SYMBOLS, ""))).cast("long"),
+            "_blank": _removed("_few", BLANKS + "+"),
+            "_upper": _removed("_few", r"\p{Lu}+"),
+            "_digits": _removed("_few", r"\p{N}+"),
+            "_size": F.length("_text").cast("long"),
+        }
+    )
+    df = df.withColumn("_word_chars", F.col("_size") - F.col("_blank"))
     lists = reduce(
         lambda rest, item: F.when(F.col("_lang") == item[0], F.array(*map(F.lit, item[1]))).otherwise(rest),
         COMMON.items(),
@@ -77,9 +84,8 @@ def _histograms(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
         gone = F.octet_length("_spaced") - F.octet_length(F.replace(F.col("_spaced"), inside, F.lit("")))
         return (gone / F.octet_length(inside)).cast("long")
 
-    blank = F.length(text) - F.col("_word_chars")
-    known = [F.col("_letters") - F.col("_upper"), F.col("_upper"), F.col("_digits"), blank, F.col("_n_symbols")]
-    counts = [*known, F.length(text) - reduce(add, known)]
+    known = [F.col("_size") - F.length("_few"), *map(F.col, ("_upper", "_digits", "_blank", "_n_symbols"))]
+    counts = [*known, F.col("_size") - reduce(add, known)]
     return df.withColumns(
         {"_classes": F.array(*[c.cast("long") for c in counts]), "_found": F.transform(lists, times)}
     ).withColumn(
@@ -127,6 +133,7 @@ def judged(
     """``docs`` with ``_``-prefixed measures and ``_kept``; no row is lost and texts are not shuffled."""
     ref = references(docs, text_col, lang_col) if reference is None else reference
     df = _histograms(docs, text_col, lang_col)
+    df = df.withColumn("_words", F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)))
     n = F.col("_n_words")
     lines = F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     window = F.transform(
@@ -207,7 +214,7 @@ w AS (SELECT *, regexp_extract_all(text, '{_W}') AS words, row_number() OVER ()
 m AS (SELECT *, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
         length(text) - length(translate(text, '{SYMBOLS}', '')) AS n_symbols,
         length(text) - length(regexp_replace(text, '\\p{{Lu}}+', '', 'g')) AS up,
-        length(text) - length(regexp_replace(text, '\\p{{L}}+', '', 'g')) AS letters,
+        length(text) - length(regexp_replace(text, '\\p{{Ll}}+', '', 'g')) AS low_letters,
         length(text) - length(regexp_replace(text, '\\p{{N}}+', '', 'g')) AS digits,
         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines,
         list_transform(words, lambda x: lower(x)) AS low,
@@ -218,8 +225,8 @@ pos AS (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM m),
 win AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, words[i], words[i + 1], words[i + 2]) AS c FROM pos),
 cov AS (SELECT rid, count(DISTINCT i + k) AS n FROM win, (SELECT unnest([0, 1, 2]) AS k) WHERE c > 1 GROUP BY rid),
 h AS (SELECT m.*, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,
-        [letters - up, up, digits, length(text) - word_chars, n_symbols,
-         word_chars - letters - digits - n_symbols] AS classes,
+        [low_letters, up, digits, length(text) - word_chars, n_symbols,
+         word_chars - low_letters - up - digits - n_symbols] AS classes,
         list_transform(common, lambda c: len(list_filter(low, lambda x: x = c))) AS found
       FROM m LEFT JOIN cov USING (rid)),
 g AS (SELECT *, list_append(found, n_words - list_sum(found)) AS commons FROM h),
