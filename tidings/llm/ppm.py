@@ -25,20 +25,24 @@ training texts gives the uniform model; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidings.llm.common import documents, small_batches, stored, text_or_empty
+from tidings.llm.common import Numbers, documents, small_batches, stored, text_or_empty
+from tidings.session import shared_folder
 
 ORDER = 5
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 32 << 20
+SLICE_BYTES = 4 << 20
 END = b"\n"  # never part of a word
 _DENSE = 1 << 25
 
@@ -137,14 +141,22 @@ def _key(windows: np.ndarray, order: int) -> list[bytes]:
     return [flat[i : i + n] for i in range(0, len(flat), n)]
 
 
+def _numbers(raw: np.ndarray) -> np.ndarray:
+    """Rows of bytes as big-endian numbers."""
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, 8 - raw.shape[1] :] = raw
+    return wide.view(">u8").reshape(-1).astype(np.uint64)
+
+
 def _chunked(docs: DataFrame, id_col: str, text_col: str, train, chunk_bytes: int) -> DataFrame:
-    """``chunk, id, body, train``: coded texts in chunks of bounded size."""
+    """``chunk, id, body, train``: coded texts, compressed, in chunks of bounded size."""
     rows = docs.select(
         F.col(id_col).alias("id"), text_or_empty(text_col).cast("binary").alias("body"), train.alias("train")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, filled = TaskContext.get().partitionId() << 32, 0
+        pack = zstandard.ZstdCompressor(level=1).compress
         for batch in small_batches(batches):
             bodies = [coded_bytes(x) for x in batch.column(1).to_pylist()]
             chunks = []
@@ -153,8 +165,9 @@ def _chunked(docs: DataFrame, id_col: str, text_col: str, train, chunk_bytes: in
                     chunk, filled = chunk + 1, 0
                 filled += len(body)
                 chunks.append(chunk)
+            packed = [pack(b) for b in bodies]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(chunks, pa.int64()), batch.column(0), pa.array(bodies, pa.binary()), batch.column(2)],
+                [pa.array(chunks, pa.int64()), batch.column(0), pa.array(packed, pa.binary()), batch.column(2)],
                 names=["chunk", "id", "body", "train"],
             )
 
@@ -164,24 +177,45 @@ def _chunked(docs: DataFrame, id_col: str, text_col: str, train, chunk_bytes: in
     return rows.mapInArrow(run, schema)
 
 
-def _keys_of(rows: DataFrame, order: int) -> DataFrame:
-    """``chunk, key, n``: distinct windows and words of each chunk, with training counts.
+def _sliced(bodies: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of bounded size."""
+    at = 0
+    while at < len(bodies):
+        end, size = at, 0
+        while end < len(bodies) and (end == at or size + len(bodies[end]) <= SLICE_BYTES):
+            size += len(bodies[end])
+            end += 1
+        yield at, end
+        at = end
 
-    A chunk may come from several tasks; its counts are then given in parts.
-    """
 
-    def count(chunk: int, bodies: list[bytes], train: list[bool]) -> pa.RecordBatch:
-        body, starts = _body(bodies, order)
+def _gram_counts(bodies: list[bytes], train: list[bool], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct windows of the texts and their counts in those to learn from."""
+    every, n = [np.zeros(0, np.uint64)], [np.zeros(0)]
+    for a, b in _sliced(bodies):
+        body, starts = _body(bodies[a:b], order)
         at, keys = _windows(body, order)
         own = np.ones(len(at), bool)
         # windows that end in the marks before a text belong to no byte
         for k in range(order):
             inner = starts[1:-1] + k - order
             own[inner[inner >= 0]] = False
-        doc = np.repeat(np.arange(len(bodies)), np.diff(starts))[order:]
-        learn = np.array(train, bool)[doc] & own
-        counts = np.bincount(at[learn], minlength=len(keys))
+        learn = np.repeat(np.array(train[a:b], bool), np.diff(starts))[order:] & own
         used = np.bincount(at[own], minlength=len(keys)) > 0
+        every.append(keys[used])
+        n.append(np.bincount(at[learn], minlength=len(keys))[used].astype(float))
+    keys, at = np.unique(np.concatenate(every), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate(n), len(keys)).astype(np.int64)
+
+
+def _keys_of(rows: DataFrame, order: int) -> DataFrame:
+    """``chunk, key, n``: distinct windows and words of each chunk, with training counts.
+
+    A chunk may come from several tasks; its counts are then given in parts.
+    """
+
+    def count(chunk: int, bodies: list[bytes], train: list[bool]) -> Iterator[pa.RecordBatch]:
+        keys, counts = _gram_counts(bodies, train, order)
         words: Counter = Counter()
         for text, t in zip(bodies, train):
             if t:
@@ -190,29 +224,51 @@ def _keys_of(rows: DataFrame, order: int) -> DataFrame:
             if not t:
                 words.update(dict.fromkeys(text.split(), 0))
         words[END] += sum(train)
-        names = _key(keys[used], order) + list(words)
-        n = counts[used].tolist() + list(words.values())
-        return pa.RecordBatch.from_arrays(
-            [pa.array([chunk] * len(names), pa.int64()), pa.array(names, pa.binary()), pa.array(n, pa.int64())],
-            names=["chunk", "key", "n"],
-        )
+        names = _key(keys, order) + list(words)
+        n = counts.tolist() + list(words.values())
+        for at in range(0, len(names), 100_000):
+            some = names[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([chunk] * len(some), pa.int64()), pa.array(some, pa.binary()), pa.array(n[at : at + 100_000], pa.int64())],
+                names=["chunk", "key", "n"],
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, bodies, train = None, [], []
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in small_batches(batches):
             for c, body, t in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2))):
                 if c != chunk and bodies:
-                    yield count(chunk, bodies, train)
+                    yield from count(chunk, bodies, train)
                     bodies, train = [], []
                 chunk = c
-                bodies.append(body)
+                bodies.append(unpack(body))
                 train.append(t)
         if bodies:
-            yield count(chunk, bodies, train)
+            yield from count(chunk, bodies, train)
 
     return rows.select("chunk", "body", "train").mapInArrow(run, "chunk long, key binary, n long")
 
 
+def _by_key(keys: DataFrame) -> DataFrame:
+    """The same rows in buckets of the key, so that later steps need not deal them again."""
+    spark = keys.sparkSession
+    name = f"llm_keys_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (
+        keys.repartition(parts, "key")
+        .write.bucketBy(parts, "key")
+        .sortBy("key")
+        .option("path", f"{shared_folder(spark)}/{name}")
+        .option("compression", "zstd")
+        .saveAsTable(name)
+    )
+    table = spark.table(name)
+    table.schema  # resolved: files and buckets are known from here on
+    spark.sql(f"DROP TABLE {name}")  # the entry; the files stay
+    return table
+
+
 def codes(windows: np.ndarray, counts: np.ndarray, low: np.ndarray, order: int) -> np.ndarray:
     """log10 probability of each window's last byte after the bytes before it.
 
@@ -276,9 +332,8 @@ def _coded(grams: DataFrame, low: np.ndarray, order: int) -> DataFrame:
             n.append(batch.column(1).to_numpy())
         if not keys:
             return
-        raw = np.zeros((len(keys), 8), np.uint8)
-        raw[:, 7 - order :] = np.frombuffer(b"".join(keys), np.uint8).reshape(len(keys), -1)[:, 1:]
-        values = codes(raw.view(">u8").reshape(-1).astype(np.uint64), np.concatenate(n), low, order)
+        raw = np.frombuffer(b"".join(keys), np.uint8).reshape(len(keys), -1)[:, 1:]
+        values = codes(_numbers(raw), np.concatenate(n), low, order)
         for at in range(0, len(keys), 50_000):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys[at : at + 50_000], pa.binary()), pa.array(values[at : at + 50_000])], names=["key", "value"]
@@ -300,14 +355,16 @@ def scores(
 
     ``train`` is a boolean column: texts to learn from.  ``base_score`` is the
     add-one unigram model over words and the end mark.  ``order`` is 2 to 6.
+    Texts whose chunk is shared are scored together, a slice at a time.
     """
     spark = docs.sparkSession
     texts = stored(_chunked(docs, id_col, text_col, train, chunk_bytes), "texts")
-    keys = stored(_keys_of(texts, order), "keys")
+    keys = _by_key(_keys_of(texts, order))
     total = stored(keys.groupBy("key").agg(F.sum("n").alias("n")), "totals")
     is_gram = (F.octet_length("key") == order + 2) & F.startswith("key", F.lit(END))
     grams, words = total.where(is_gram), total.where(~is_gram)
     n_train, n_kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
+    share = math.log10(n_train + n_kinds + 1)
     # windows of two and three bytes: at most 65,536 rows reach the driver
     three = grams.where("n > 0").select(F.substring("key", order, 3).alias("g")).distinct()
     low = np.zeros((256, 256), np.int64)
@@ -315,38 +372,44 @@ def scores(
         a, s = bytes(row["p"])
         low[a, s] = row["count"]
     values = _coded(grams, low, order).union(words.select("key", F.col("n").cast("double").alias("value")))
-    needed = keys.select("chunk", "key").distinct().join(values, "key")
+    needed = keys.select("chunk", "key").join(values, "key")
 
     def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        table = dict(zip(right.column("key").to_pylist(), right.column("value").to_pylist()))
-        ids, train_, bodies = left.column("id"), left.column("train"), left.column("body").to_pylist()
-        out: list[np.ndarray] = []
-        n_tokens, n_known, base = [], [], []
-        at = 0
-        share = n_train + n_kinds + 1
-        logs = {w: math.log10((v + 1) / share) for w, v in table.items() if len(w) != order + 2 or w[:1] != END}
-        while at < len(bodies):  # slices of about 4 MB
-            end, size = at, 0
-            while end < len(bodies) and (end == at or size + len(bodies[end]) < 4 << 20):
-                size += len(bodies[end])
-                end += 1
-            body, starts = _body(bodies[at:end], order)
-            number, grams_ = _windows(body, order)
-            code = np.array([table.get(k, 0.0) for k in _key(grams_, order)])[number]
-            sums = np.r_[np.zeros(order + 1), np.cumsum(code)]
-            # bytes of text i: from its start + order to the next start
-            out.append(sums[starts[1:]] - sums[starts[:-1] + order])
-            at = end
-        for text in bodies:
-            tokens = [*text.split(), END]
-            n_tokens.append(len(tokens))
-            n_known.append(sum(table[t] > 0 for t in tokens))
-            base.append(math.fsum(logs[t] for t in tokens))
-        n = len(bodies)
+        names = right.column("key").combine_chunks()
+        values = right.column("value").to_numpy()
+        offsets = np.frombuffer(names.buffers()[1], np.int32)[names.offset : names.offset + len(names) + 1]
+        data = np.frombuffer(names.buffers()[2], np.uint8)
+        gram = (np.diff(offsets) == order + 2) & (data[offsets[:-1]] == END[0])
+        known = _numbers(data[offsets[:-1][gram][:, None] + np.arange(1, order + 2)])
+        sort = np.argsort(known)
+        known, code_of = known[sort], values[gram][sort]
+        numbers = Numbers()
+        numbers.of(names.filter(pa.array(~gram)).to_pylist())
+        counts = np.zeros(len(numbers))
+        counts[numbers.of(names.filter(pa.array(~gram)).to_pylist())] = values[~gram]
+        logs = np.log10(counts + 1)
+        unpack = zstandard.ZstdDecompressor().decompress
+        packed = left.column("body").to_pylist()
+        n_tokens, n_known, base, sums = [], [], [], []
+        for first in range(0, len(packed), 1000):
+            bodies = [unpack(x) for x in packed[first : first + 1000]]
+            for a, b in _sliced(bodies):
+                body, starts = _body(bodies[a:b], order)
+                number, grams_ = _windows(body, order)
+                place = np.minimum(np.searchsorted(known, grams_), len(known) - 1)
+                total = np.r_[np.zeros(order + 1), np.cumsum(code_of[place][number])]
+                # bytes of text i: from its start + order to the next start
+                sums.append(total[starts[1:]] - total[starts[:-1] + order])
+            for text in bodies:
+                at = numbers.of([*text.split(), END])
+                n_tokens.append(len(at))
+                n_known.append(int((counts[at] > 0).sum()))
+                base.append(math.fsum(logs[at]) - len(at) * share)
+        n = len(packed)
         return pa.table(
             [
-                ids.combine_chunks(), train_.combine_chunks(), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
-                pa.array([n_train] * n, pa.int64()), pa.array(base, pa.float64()), pa.array(np.concatenate(out)),
+                left.column("id"), left.column("train"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
+                pa.array([n_train] * n, pa.int64()), pa.array(base, pa.float64()), pa.array(np.concatenate(sums)),
             ],
             names=["id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
