@@ -182,7 +182,8 @@ def judged(
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with its columns."""
-    return judged(docs, text_col, lang_col).where("_kept").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    return judged(rows).where("_kept").select("row.*")
 
 
 def op8_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
