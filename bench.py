@@ -60,8 +60,7 @@ def fits(spark, results: dict[str, float]) -> None:
         "fit_gbt_20_rounds": classifiers.gbt_pipeline(20),
     }.items():
         learner = pipeline.getStages()[-1]
-        rows = classifiers.fewer_tasks(frame, learner)
-        results[name] = timed(lambda f=learner, r=rows: f.fit(r))
+        results[name] = timed(lambda f=learner, r=frame: f.fit(r))
     frame.unpersist()
     results["fit_embed"] = timed(
         lambda: classifiers.fit_models(train, {"transformer": classifiers.embed_pipeline()})

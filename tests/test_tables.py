@@ -105,17 +105,19 @@ def test_hot_word_counts(spark):
 def test_ids_by_lookup_and_by_join_agree(spark, docs, oov):
     index = vocabulary.fit_word_index(docs, 3, oov=oov is not None)
     near = features.to_ids(docs, index, oov).select("msg_id", "ids")
-    far = features.to_ids(docs, index, oov, bound=1).select("msg_id", "ids")
+    far = features.to_ids(docs, index, oov, join=True).select("msg_id", "ids")
     assert {r["msg_id"]: r["ids"] for r in near.collect()} == {
         r["msg_id"]: r["ids"] for r in far.collect()
     }
 
 
-def test_lookup_refuses_large_tables(spark):
+def test_lookup_of_many_entries(spark):
     from tidings.functions.lookup import literal_lookup
 
-    with pytest.raises(ValueError, match="join a table"):
-        literal_lookup({str(i): i for i in range(20_001)}, "int")
+    index = {f"w{i}": i for i in range(30_000)}
+    df = spark.createDataFrame([("w29999",), ("x",), (None,)], "w string")
+    found = [r[0] for r in df.select(literal_lookup(index, "int")(F.col("w"))).collect()]
+    assert found == [29_999, None, None]
 
 
 def test_tfidf_against_plain_arithmetic(docs):
@@ -336,3 +338,19 @@ def test_padding_is_constant_length(spark, sf):
     widths = QUERIES["seq_v1"](spark, sf).select(F.size(F.split("ids", " ")).alias("n")).distinct().collect()
     assert [r["n"] for r in widths] == [fixed.MAXLEN]
     assert tokens.token_pattern(2).endswith("{2,}")
+
+
+def test_history_over_batches(spark, tmp_path):
+    from tidings.streaming import history
+
+    path = str(tmp_path / "h")
+    for i in range(4):
+        batch = spark.range(i * 15, i * 15 + 15).selectExpr(
+            "id", "timestamp_seconds(id) AS ts", "true AS is_spam", "1.0 AS confidence", "'lr' AS model_name", "'m' AS message"
+        )
+        history.update_history(batch, i, path)
+    history.update_history(batch, 3, path)
+    assert sorted(r.id for r in history.read_history(spark, path).collect()) == list(range(40, 60))
+    assert len(list((tmp_path / "h").glob("batch_id=*"))) == 2
+    with pytest.raises(FileNotFoundError):
+        history.update_history(batch, 9, path)

@@ -227,3 +227,11 @@ def test_sequence_words_keep_apostrophes_and_signal_words(spark):
     assert run(spark, values, tokens.sequence_words) == [["don't", "stop", "tok", "url"]]
     v2 = lambda c: tokens.sequence_words(c, fixed.SEQUENCE_FILTERS_V2)
     assert run(spark, values, v2) == [["don't", "stop", "tok_url"]]
+
+
+def test_previews_count_utf16_units(spark):
+    rows = spark.createDataFrame([("😀" * 71,), ("a" + "😀" * 40,), ("b" * 70,), (None,)], "t string")
+    got = [r[0] for r in rows.select(text.preview(F.col("t"), 70)).collect()]
+    assert got[0] == "😀" * 35 + fixed.ELLIPSIS  # 70 units
+    assert got[1] == "a" + "😀" * 34 + fixed.ELLIPSIS  # the 70th unit would part a pair
+    assert got[2:] == ["b" * 70, None]

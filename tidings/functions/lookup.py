@@ -15,13 +15,9 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_ENTRIES = 20_000
-
 
 def literal_lookup(entries: Mapping[str, object], value_type: str) -> Callable[[Column], Column]:
     """A function from a string column to the entry's value, null when absent."""
-    if len(entries) > MAX_ENTRIES:
-        raise ValueError(f"{len(entries)} entries; join a table beyond {MAX_ENTRIES}")
     n = max(1, len(entries) // 4)
     buckets: list[dict[str, object]] = [{} for _ in range(n)]
     for key, value in entries.items():

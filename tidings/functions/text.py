@@ -83,10 +83,13 @@ def escape_html(text: Column) -> Column:
 
 
 def preview(text: Column, n: int, ellipsis: bool = True) -> Column:
-    """The first n characters, marked when something was cut."""
-    cut = F.substring(text, 1, n)
+    """The first n UTF-16 units, marked when something was cut; no pair is parted."""
+    units = F.encode(text, "UTF-16BE")
+    parted = F.hex(F.substring(units, 2 * n - 1, 1)).between("D8", "DB")
+    head = F.when(parted, F.substring(units, 1, 2 * n - 2)).otherwise(F.substring(units, 1, 2 * n))
+    cut = F.when(utf16_length(text) > n, F.decode(head, "UTF-16BE")).otherwise(text)
     if ellipsis:
-        cut = F.when(F.length(text) > n, F.concat(cut, F.lit(fixed.ELLIPSIS))).otherwise(cut)
+        cut = F.when(utf16_length(text) > n, F.concat(cut, F.lit(fixed.ELLIPSIS))).otherwise(cut)
     return cut
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from functools import cache
@@ -15,7 +14,7 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import Word2Vec
+from pyspark.ml.feature import HashingTF, Word2Vec
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
@@ -25,7 +24,6 @@ from pyspark.storagelevel import StorageLevel
 from tidings import fixed
 from tidings.operators.features import (
     IdsToWords,
-    PresenceVectorizer,
     SequenceVectorizer,
     TextNormalizer,
     TfidfVectorizer,
@@ -35,9 +33,8 @@ from tidings.operators.labelled import class_weights
 from tidings.session import enable_checkpoints
 
 
-# Rows worth a task in one pass: trees compute more per row than gradients do.
-ROWS_PER_TREE_TASK = 1_000
-ROWS_PER_TASK = 10_000
+# Bins that phrases of the n-gram detector are hashed to.
+PHRASE_BINS = 1 << 18
 
 
 class RegularizedLogistic(Estimator, DefaultParamsReadable, DefaultParamsWritable):
@@ -70,36 +67,6 @@ class RegularizedLogistic(Estimator, DefaultParamsReadable, DefaultParamsWritabl
         return learner.fit(df)
 
 
-class ScaledWord2Vec(Estimator, DefaultParamsReadable, DefaultParamsWritable):
-    """Word vectors fitted on as many partitions as the message count asks for."""
-
-    vectorSize = Param(Params._dummy(), "vectorSize", "dimensions", TypeConverters.toInt)
-    inputCol = Param(Params._dummy(), "inputCol", "words", TypeConverters.toString)
-    outputCol = Param(Params._dummy(), "outputCol", "vector", TypeConverters.toString)
-    perPartition = Param(Params._dummy(), "perPartition", "messages each", TypeConverters.toInt)
-
-    @keyword_only
-    def __init__(self, *, inputCol="words", outputCol="vector", vectorSize=32, perPartition=100_000):
-        super().__init__()
-        self._setDefault(
-            inputCol="words", outputCol="vector", vectorSize=32, perPartition=100_000
-        )
-        self._set(**self._input_kwargs)
-
-    def _fit(self, df: DataFrame):
-        parts = max(1, math.ceil(df.count() / self.getOrDefault(self.perPartition)))
-        learner = Word2Vec(
-            vectorSize=self.getOrDefault(self.vectorSize),
-            inputCol=self.getOrDefault(self.inputCol),
-            outputCol=self.getOrDefault(self.outputCol),
-            minCount=1,
-            seed=fixed.SPLIT_SEED,
-            numPartitions=parts,
-            maxIter=min(parts, 10),
-        )
-        return learner.fit(df)
-
-
 def _outputs(prefix: str) -> dict[str, str]:
     start = f"{prefix}_" if prefix else ""
     return {
@@ -149,8 +116,11 @@ def lr_pipeline(max_iter: int = 200, key: str = "lr") -> Pipeline:
     return Pipeline(stages=[*tfidf_stages(1), learner])
 
 
-def rf_pipeline(trees: int = 50, depth: int = 20, seed: int = 42, key: str = "rf") -> Pipeline:
-    """Random forest on TF-IDF."""
+def rf_pipeline(trees: int = 50, depth: int = 30, seed: int = 42, key: str = "rf") -> Pipeline:
+    """Random forest on TF-IDF; 30 is the greatest depth the engine allows.
+
+    Bagging is seeded per partition, so another partitioning gives another forest.
+    """
     learner = RandomForestClassifier(
         numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt",
         featuresCol="tfidf_v1", **_outputs(key),
@@ -159,7 +129,7 @@ def rf_pipeline(trees: int = 50, depth: int = 20, seed: int = 42, key: str = "rf
 
 
 def _gbt(key: str, **params: object) -> GBTClassifier:
-    learner = GBTClassifier(seed=42, **params)
+    learner = GBTClassifier(seed=42, cacheNodeIds=True, checkpointInterval=10, **params)
     for param, column in _outputs(key).items():
         learner.set(learner.getParam(param), column)
     return learner
@@ -199,22 +169,37 @@ def ngram_pipeline(n: int = 5, key: str = "cnn") -> Pipeline:
         stages=[
             *sequence_stages(1),
             IdsToWords(inputCol="ids_v1", outputCol="phrases", maxN=n),
-            PresenceVectorizer(inputCol="phrases", outputCol="phrases_seen"),
+            HashingTF(
+                inputCol="phrases", outputCol="phrases_seen", binary=True, numFeatures=PHRASE_BINS
+            ),
             RegularizedLogistic(featuresCol="phrases_seen", prefix=key),
         ]
     )
 
 
 def embed_pipeline(
-    dim: int = 32, hidden: int = 32, version: int = 1, max_iter: int = 100, key: str = "transformer"
+    dim: int = 32,
+    hidden: int = 32,
+    version: int = 1,
+    max_iter: int = 100,
+    key: str = "transformer",
+    passes: int = 10,
+    partitions: int = 1,
 ) -> Pipeline:
-    """Word vectors, mean pooling over words that are not padding, dense head."""
+    """Word vectors, mean pooling over words that are not padding, dense head.
+
+    Word vectors take ``passes`` over the messages on ``partitions`` partitions;
+    more partitions fit faster and want more passes.
+    """
     words, vector = f"words_v{version}", f"embedding_v{version}"
     return Pipeline(
         stages=[
             *sequence_stages(version),
             IdsToWords(inputCol=f"ids_v{version}", outputCol=words),
-            ScaledWord2Vec(inputCol=words, outputCol=vector, vectorSize=dim),
+            Word2Vec(
+                inputCol=words, outputCol=vector, vectorSize=dim, minCount=1,
+                seed=fixed.SPLIT_SEED, numPartitions=partitions, maxIter=passes,
+            ),
             MultilayerPerceptronClassifier(
                 layers=[dim, hidden, 2], seed=42, maxIter=max_iter, featuresCol=vector,
                 **_outputs(key),
@@ -230,6 +215,8 @@ def balance(df: DataFrame, label: str = "label", id_col: str = "msg_id") -> Data
     fraction is settled by a hash of the id, so the result is reproducible.
     """
     weights = {r["label"]: r["n"] for r in class_weights(df, label).collect()}
+    if not weights:
+        raise ValueError("no labelled row to balance")
     largest = max(weights.values())
     times = F.lit(1.0)
     for cls, n in weights.items():
@@ -245,6 +232,7 @@ def fit_models(
     pipelines: Mapping[str, Pipeline],
     balanced: Iterable[str] = (),
     parallelism: int = 4,
+    partitions: int | None = None,
 ) -> dict[str, PipelineModel]:
     """Fit several pipelines, each shared feature stage only once.
 
@@ -253,29 +241,31 @@ def fit_models(
 
     The featurised rows are kept on executors while learners that share them
     run, and recomputed from the table if an executor is lost.  Learners do not
-    depend on each other, so several run at a time.
+    depend on each other, so several run at a time.  ``partitions`` merges the
+    featurised rows to at most so many, which suits small tables; by default they
+    stay as they are read.
     """
     enable_checkpoints(train.sparkSession)
     fitted: dict[str, object] = {}
     frames: dict[tuple[str, ...], DataFrame] = {}
     jobs: dict[str, tuple[list, Estimator, DataFrame]] = {}
-    for key, pipeline in pipelines.items():
-        df, done = train, []
-        *features, learner = pipeline.getStages()
-        for stage in features:
-            if stage.uid not in fitted:
-                fitted[stage.uid] = stage.fit(df) if isinstance(stage, Estimator) else stage
-            done.append(fitted[stage.uid])
-            df = done[-1].transform(df)
-        path = tuple(s.uid for s in features)
-        if path not in frames:
-            needed = [*train.columns, learner.getOrDefault("featuresCol")]
-            frames[path] = df.select(
-                *[c for c in needed if c not in ("text", "split")]
-            ).persist(StorageLevel.MEMORY_AND_DISK)
-        rows = fewer_tasks(frames[path], learner)
-        jobs[key] = (done, learner, balance(rows) if key in balanced else rows)
     try:
+        for key, pipeline in pipelines.items():
+            df, done = train, []
+            *features, learner = pipeline.getStages()
+            for stage in features:
+                if stage.uid not in fitted:
+                    fitted[stage.uid] = stage.fit(df) if isinstance(stage, Estimator) else stage
+                done.append(fitted[stage.uid])
+                df = done[-1].transform(df)
+            path = tuple(s.uid for s in features)
+            if path not in frames:
+                needed = [*train.columns, learner.getOrDefault("featuresCol")]
+                frames[path] = df.select(
+                    *[c for c in needed if c not in ("text", "split")]
+                ).persist(StorageLevel.MEMORY_AND_DISK)
+            rows = frames[path].coalesce(partitions) if partitions else frames[path]
+            jobs[key] = (done, learner, balance(rows) if key in balanced else rows)
         in_session = inheritable_thread_target(train.sparkSession)
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
             running = {
@@ -286,15 +276,3 @@ def fit_models(
     finally:
         for frame in frames.values():
             frame.unpersist()
-
-
-def fewer_tasks(frame: DataFrame, learner: Estimator) -> DataFrame:
-    """Merge partitions that are too small to pay for a task per iteration.
-
-    Learners run hundreds of short passes.  This only ever lowers the number of
-    partitions, without a shuffle; large tables keep theirs.
-    """
-    trees = isinstance(learner, RandomForestClassifier | GBTClassifier)
-    each = ROWS_PER_TREE_TASK if trees else ROWS_PER_TASK
-    wanted = max(1, math.ceil(frame.count() / each))
-    return frame.coalesce(wanted) if wanted < frame.rdd.getNumPartitions() else frame

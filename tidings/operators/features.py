@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidings import fixed
-from tidings.functions.lookup import MAX_ENTRIES, literal_lookup
+from tidings.functions.lookup import literal_lookup
 from tidings.functions.text import clean_v1, preprocess_v2
 from tidings.functions.tokens import ngrams, pad, sequence_words, tokens
 from tidings.operators.vocabulary import fit_vocab, fit_word_index
@@ -124,32 +124,6 @@ class TfidfVectorizer(Estimator, _Stage):
         return PipelineModel([counter, scaler, unit])
 
 
-class PresenceVectorizer(Estimator, _Stage):
-    """Which of the most frequent terms occur at all."""
-
-    maxFeatures = _int_param("maxFeatures", "number of terms kept")
-    minDf = _int_param("minDf", "fewest messages a term occurs in")
-
-    @keyword_only
-    def __init__(self, *, inputCol="tokens", outputCol="features", maxFeatures=5000, minDf=2):
-        super().__init__()
-        self._setDefault(
-            inputCol="tokens", outputCol="features", maxFeatures=5000, minDf=2
-        )
-        self._set(**self._input_kwargs)
-
-    def _fit(self, df: DataFrame) -> CountVectorizerModel:
-        words = df.select(F.lit(0).alias("msg_id"), F.col(self.getInputCol()).alias("tokens"))
-        vocab = fit_vocab(
-            words, self.getOrDefault(self.maxFeatures), self.getOrDefault(self.minDf)
-        )
-        terms = [r["term"] for r in vocab.orderBy("idx").collect()]
-        model = CountVectorizerModel.from_vocabulary(
-            terms, inputCol=self.getInputCol(), outputCol=self.getOutputCol()
-        )
-        return model.setBinary(True)
-
-
 class _SequenceParams(_Stage):
     numWords = _int_param("numWords", "ids stay below this number")
     maxLen = _int_param("maxLen", "length of every id array")
@@ -252,17 +226,16 @@ def to_ids(
     oov: int | None = None,
     words: str = "words",
     id_col: str = "msg_id",
-    bound: int = MAX_ENTRIES,
+    join: bool = False,
 ) -> DataFrame:
     """Word arrays to id arrays in word order: the input plus ``ids``.
 
-    A word index within the bound is looked up inside each row.  A larger one is
-    joined, and the ids of a message are put back in order.  That join is salted,
-    since a few words make up much of any text.
+    The word index is looked up inside each row, or joined on request, for an
+    index too large for a plan.  Both give the same ids, and null for null words.
+    The join is salted, since a few words make up much of any text.
     """
-    entries = word_index.select("word", "idx").limit(bound + 1).collect()
-    if len(entries) <= bound:
-        index = {r["word"]: r["idx"] for r in entries}
+    if not join:
+        index = {r["word"]: r["idx"] for r in word_index.select("word", "idx").collect()}
         return df.withColumn("ids", known_ids(F.col(words), index, oov))
     placed = df.select(id_col, F.posexplode(words).alias("pos", "word"))
     salt = F.pmod(F.xxhash64(id_col, "pos"), F.lit(SALTS))
@@ -279,7 +252,9 @@ def to_ids(
         ).alias("ids")
     )
     empty = F.array().cast("array<int>")
-    return df.join(ids, id_col, "left").withColumn("ids", F.coalesce("ids", empty))
+    return df.join(ids, id_col, "left").withColumn(
+        "ids", F.when(F.col(words).isNotNull(), F.coalesce("ids", empty))
+    )
 
 
 def vector_entries(df: DataFrame, vector: str, id_col: str = "msg_id") -> DataFrame:

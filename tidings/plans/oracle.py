@@ -513,7 +513,7 @@ FROM e JOIN m USING (model_key)"""
 # ------------------------------------------------------------------ files and back
 ORACLE["src_tsv_roundtrip"] = f"WITH {SMS} SELECT label, {_collapse('text')} AS text FROM sms"
 ORACLE["splits_roundtrip"] = f"""
-WITH {SPLIT} SELECT msg_id, text, label FROM split WHERE split = 'test' AND text NOT IN ({_NA})"""
+WITH {SPLIT} SELECT msg_id, text, label, split FROM split WHERE text NOT IN ({_NA})"""
 
 # ------------------------------------------------------------------------- history
 _NEWEST = f"""

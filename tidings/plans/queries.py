@@ -31,8 +31,8 @@ def _work(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _split(spark: SparkSession, sf: str, part: str | None = None, texts: bool = True) -> DataFrame:
-    df = splits.assign_split(derived.labelled(spark, sf, texts))
+def _split(spark: SparkSession, sf: str, part: str | None = None) -> DataFrame:
+    df = splits.assign_split(derived.labelled(spark, sf))
     return df.where(F.col("split") == part) if part else df
 
 
@@ -118,7 +118,7 @@ def drop_missing(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def class_distribution(spark: SparkSession, sf: str) -> DataFrame:
-    return labelled.class_distribution(_split(spark, sf, texts=False), "split")
+    return labelled.class_distribution(_split(spark, sf), "split")
 
 
 @query
@@ -129,7 +129,7 @@ def class_distribution_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def class_weights(spark: SparkSession, sf: str) -> DataFrame:
-    df = labelled.class_weights(_split(spark, sf, "train", texts=False))
+    df = labelled.class_weights(_split(spark, sf, "train"))
     return df.select(
         "label", "n",
         F.round("scale_pos", 6).alias("scale_pos"), F.round("balanced", 6).alias("balanced"),
@@ -138,32 +138,30 @@ def class_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def split_assign(spark: SparkSession, sf: str) -> DataFrame:
-    return _split(spark, sf, texts=False).select("msg_id", "split")
+    return _split(spark, sf).select("msg_id", "split")
 
 
 @query
 def split_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    return labelled.split_sizes(_split(spark, sf, texts=False))
+    return labelled.split_sizes(_split(spark, sf))
 
 
 @query
 def split_exact(spark: SparkSession, sf: str) -> DataFrame:
-    return splits.assign_split_exact(derived.sms(spark, sf, texts=False)).select("msg_id", "split")
+    return splits.assign_split_exact(derived.sms(spark, sf)).select("msg_id", "split")
 
 
 @query
 def split_exact_documents(spark: SparkSession, sf: str) -> DataFrame:
-    df = splits.assign_split_exact(derived.table(spark, sf, "documents", texts=False), "doc_id")
+    df = splits.assign_split_exact(derived.table(spark, sf, "documents"), "doc_id")
     return df.select("doc_id", "split")
 
 
 @query
 def split_raw_and_clean(spark: SparkSession, sf: str) -> DataFrame:
-    """Raw and cleaned text of the test part, aligned by id, not by position."""
-    df = derived.sms(spark, sf)
-    raw = splits.assign_split(df.select("msg_id", F.col("text").alias("raw_text")))
-    clean = splits.assign_split(df.select("msg_id", text.preprocess_v2(F.col("text")).alias("text")))
-    return raw.where("split = 'test'").join(clean.where("split = 'test'").drop("split"), "msg_id").drop("split")
+    """Raw and cleaned text of the test part, in one row."""
+    rows = splits.assign_split(derived.sms(spark, sf)).where("split = 'test'")
+    return rows.select("msg_id", F.col("text").alias("raw_text"), text.preprocess_v2(F.col("text")).alias("text"))
 
 
 # ------------------------------------------------------------------------ features
@@ -485,10 +483,10 @@ def src_tsv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def splits_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Split table written by part; only the test folder is read."""
+    """Split table written by part and read back whole."""
     path = _work(spark, "splits")
     messages.write_splits(_split(spark, sf), path)
-    return messages.read_split(spark, path, "test").select("msg_id", "text", "label")
+    return messages.read_split(spark, path).select("msg_id", "text", "label", "split")
 
 
 @query
@@ -510,12 +508,16 @@ def comparison_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------------- history
-def _verdicts(turns: DataFrame, events: DataFrame) -> DataFrame:
-    """Messages with the time of their event and a rule verdict."""
-    timed = turns.join(
+def _timed(turns: DataFrame, events: DataFrame) -> DataFrame:
+    """Messages with the time of their event."""
+    return turns.join(
         events.select(F.col("event_id").alias("e"), "ts"),
         F.expr("msg_id DIV 1000 * 10 + msg_id % 1000") == F.col("e"),
     )
+
+
+def _verdicts(timed: DataFrame) -> DataFrame:
+    """Messages with a time and a rule verdict."""
     points = F.least(F.lit(100), explain.indicator_count(F.col("text")) * 15 + 10) / 100
     reply = scoring.record("lr", points)
     return timed.select("msg_id", "ts", "text", reply.alias("r")).select(
@@ -530,9 +532,9 @@ def _verdicts(turns: DataFrame, events: DataFrame) -> DataFrame:
 
 @query
 def history_top20(spark: SparkSession, sf: str) -> DataFrame:
-    verdicts = _verdicts(derived.sms(spark, sf), derived.table(spark, sf, "events"))
-    newest = history.history_top(history.history_entries(verdicts))
-    return history.render_history(newest).select(
+    timed = _timed(derived.sms(spark, sf), derived.table(spark, sf, "events"))
+    verdicts = _verdicts(history.history_top(timed, id_col="msg_id"))
+    return history.render_history(history.history_entries(verdicts)).select(
         "id", "verdict", "shown", "time", "confidence", "model_name"
     )
 
@@ -547,10 +549,13 @@ def _turn_stream(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def stream_history(spark: SparkSession, sf: str) -> DataFrame:
     path = _work(spark, "history")
-    verdicts = _verdicts(_turn_stream(spark, sf), derived.table(spark, sf, "events"))
+    turns = derived.table(spark, sf, "conversations")
+    turns.repartition(4).write.parquet(f"{path}/turns")  # a batch for each file
+    stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/turns")
+    stream = spark.sql(derived.SMS_SQL.replace("{conversations}", "{turns}"), turns=stream)
+    verdicts = _verdicts(_timed(stream, derived.table(spark, sf, "events")))
     history.history_stream(verdicts, f"{path}/state", f"{path}/checkpoint").awaitTermination()
-    newest = history.history_top(spark.read.parquet(f"{path}/state").drop("batch_id"))
-    return history.render_history(newest).select("id", "verdict", "shown", "time")
+    return history.render_history(history.read_history(spark, f"{path}/state")).select("id", "verdict", "shown", "time")
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> str:
@@ -574,9 +579,6 @@ def stream_rejects(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ learned models
-BOOSTING_ROUNDS = 20  # library defaults are 100 and 250
-
-
 def _train(spark: SparkSession, sf: str) -> DataFrame:
     return _split(spark, sf, "train")
 
@@ -596,10 +598,8 @@ def _predict(key: str, pipeline: Callable, name: str, train: Query = _train) ->
 
 _predict("lr", classifiers.lr_pipeline, "predict_lr")
 _predict("rf", classifiers.rf_pipeline, "predict_rf")
-_predict("xgb", lambda: classifiers.gbt_pipeline(BOOSTING_ROUNDS), "predict_gbt")
-_predict(
-    "xgb_v2", lambda: classifiers.gbt_v2_pipeline(BOOSTING_ROUNDS), "predict_gbt_v2", _weighted
-)
+_predict("xgb", classifiers.gbt_pipeline, "predict_gbt")
+_predict("xgb_v2", classifiers.gbt_v2_pipeline, "predict_gbt_v2", _weighted)
 _predict("cnn", classifiers.ngram_pipeline, "predict_ngram")
 _predict("transformer", classifiers.embed_pipeline, "predict_embed")
 
@@ -610,7 +610,7 @@ def _all_models(spark: SparkSession, sf: str):
         {
             "lr": classifiers.lr_pipeline(),
             "rf": classifiers.rf_pipeline(),
-            "xgb": classifiers.gbt_pipeline(BOOSTING_ROUNDS),
+            "xgb": classifiers.gbt_pipeline(),
             "cnn": classifiers.ngram_pipeline(),
             "transformer": classifiers.embed_pipeline(),
         },
@@ -645,8 +645,8 @@ def eval_v1_v2(spark: SparkSession, sf: str) -> DataFrame:
     models = classifiers.fit_models(
         _weighted(spark, sf),
         {
-            "xgb_v1": classifiers.gbt_pipeline(BOOSTING_ROUNDS, key="xgb_v1"),
-            "xgb_v2": classifiers.gbt_v2_pipeline(BOOSTING_ROUNDS),
+            "xgb_v1": classifiers.gbt_pipeline(key="xgb_v1"),
+            "xgb_v2": classifiers.gbt_v2_pipeline(),
             "tf_v1": classifiers.embed_pipeline(key="tf_v1"),
             "tf_v2": classifiers.embed_pipeline(dim=64, version=2, key="tf_v2"),
         },

@@ -32,35 +32,20 @@ FROM {conversations}
 """
 
 
-# Tables whose rows are long texts, so that work on them is bound by CPU.
-TEXT_TABLES = {"conversations", "documents", "pages"}
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table as its files lie; their splits decide on the tasks."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, texts: bool = True) -> DataFrame:
-    """A given table; say ``texts=False`` when only its ids are wanted."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if texts and name in TEXT_TABLES else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core when the files are too few to do so by themselves.
-
-    A table of at least as many files as cores is left alone, so large tables
-    are never shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
-def sms(spark: SparkSession, sf_dir: str, texts: bool = True) -> DataFrame:
+def sms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """msg_id, label (ham or spam), text."""
     return spark.sql(
         SMS_SQL.replace("{conversations}", "{turns}"),
-        turns=table(spark, sf_dir, "conversations", texts),
+        turns=table(spark, sf_dir, "conversations"),
     )
 
 
-def labelled(spark: SparkSession, sf_dir: str, texts: bool = True) -> DataFrame:
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with the label as a number."""
-    messages = sms(spark, sf_dir, texts)
+    messages = sms(spark, sf_dir)
     return messages.withColumn("label", encode_label(messages["label"]))

@@ -17,6 +17,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(hadoop_path, True)
+
+
 def read_messages(
     spark: SparkSession, path: str, sep: str = "\t", multiline: bool = False
 ) -> DataFrame:
@@ -35,7 +41,7 @@ def read_messages(
 
 
 def read_split(
-    spark: SparkSession, path: str, split: str | None = None, fmt: str = "csv"
+    spark: SparkSession, path: str, split: str | None = None, fmt: str = "parquet"
 ) -> DataFrame:
     """A written split table without missing rows; the split filter prunes folders."""
     reader = spark.read.schema(f"{schemas.SPLIT}, split STRING")
@@ -47,7 +53,7 @@ def read_split(
     return drop_missing(df)
 
 
-def write_splits(df: DataFrame, path: str, fmt: str = "csv") -> None:
+def write_splits(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """One folder per split, replaced as a whole."""
     writer = df.select("msg_id", "text", "label", "split").write.mode("overwrite")
     if fmt == "csv":

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidings import fixed
 from tidings.functions.text import clock, escape_html, preview
-from tidings.sources.messages import path_exists
+from tidings.sources.messages import path_exists, remove_path
 
 COLUMNS = ["id", "ts", "is_spam", "confidence", "model_name", "message"]
 
@@ -21,9 +21,9 @@ def history_entries(df: DataFrame) -> DataFrame:
     )
 
 
-def history_top(df: DataFrame, n: int = fixed.HISTORY_SIZE) -> DataFrame:
+def history_top(df: DataFrame, n: int = fixed.HISTORY_SIZE, id_col: str = "id") -> DataFrame:
     """The newest n entries."""
-    return df.orderBy(F.desc("ts"), F.desc("id")).limit(n)
+    return df.orderBy(F.desc("ts"), F.desc(id_col)).limit(n)
 
 
 def render_history(df: DataFrame) -> DataFrame:
@@ -43,13 +43,24 @@ def update_history(
     """Merge a batch into the stored history.
 
     Every batch reads the state its predecessor left and writes its own, so
-    replaying one changes nothing.
+    replaying one changes nothing.  The last two states are kept.
     """
-    entries = history_entries(batch)
-    before = f"{path}/batch_id={batch_id - 1}"
-    if batch_id > 0 and path_exists(batch.sparkSession, before):
-        entries = entries.unionByName(batch.sparkSession.read.parquet(before))
+    spark, entries = batch.sparkSession, history_entries(batch)
+    if batch_id > 0:
+        before = f"{path}/batch_id={batch_id - 1}"
+        if not path_exists(spark, before):
+            raise FileNotFoundError(f"{before}: the state before this batch is gone")
+        entries = entries.unionByName(spark.read.parquet(before))
     history_top(entries, n).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    if batch_id > 1:
+        remove_path(spark, f"{path}/batch_id={batch_id - 2}")
+
+
+def read_history(spark: SparkSession, path: str, n: int = fixed.HISTORY_SIZE) -> DataFrame:
+    """The stored history: the state of the last batch alone."""
+    states = spark.read.parquet(path)
+    last = states.agg(F.max("batch_id")).first()[0]
+    return history_top(states.where(F.col("batch_id") == last).drop("batch_id"), n)
 
 
 def history_stream(verdicts: DataFrame, path: str, checkpoint: str, **trigger: object) -> StreamingQuery:
