@@ -183,7 +183,9 @@ def judged(
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with its columns."""
     rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    return judged(rows).where("_kept").select("row.*")
+    # an id keeps the filter above the projections; pushed below, it would repeat them
+    rows = judged(rows).withColumn("_place", F.monotonically_increasing_id())
+    return rows.where("_kept AND _place >= 0").select("row.*")
 
 
 def op8_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
