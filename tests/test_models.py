@@ -64,6 +64,12 @@ def test_comparing_equals_scoring_one_by_one(parts, models, compared):
         assert alone.exceptAll(together.select(alone.columns)).isEmpty()
 
 
+def test_comparing_applies_each_stage_once(parts, models):
+    plan = scoring.compare_all(parts["test"], models)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("AS clean_v1") == 1
+    assert plan.count("AS ids_v1") <= 2  # looked up, then padded
+
+
 def test_comparing_reads_messages_once_without_shuffle(spark, parts, models, tmp_path):
     parts["test"].write.parquet(str(tmp_path / "t"))
     out = scoring.compare_all(spark.read.parquet(str(tmp_path / "t")), models)

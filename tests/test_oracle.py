@@ -7,8 +7,8 @@ import pytest
 from tidings.plans.oracle import ORACLE
 from tidings.plans.queries import QUERIES
 
-# covered by test_streaming and test_classifiers, which fit models once
-SLOW = {"stream_rejects"}
+# full boosting rounds; test_models has the same checks with few rounds
+SLOW = {"compare_contract", "eval_contract", "versions_contract"}
 
 
 def _plain(value):

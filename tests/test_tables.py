@@ -257,12 +257,48 @@ def test_response_json(spark, sf):
 def test_quoted_tsv(spark, tmp_path):
     path = tmp_path / "sms.tsv"
     path.write_text('ham\tplain text\nspam\t"with ""quotes"" and\ttab"\n', encoding="utf-8")
-    rows = messages.read_messages(spark, str(path)).orderBy("msg_id").collect()
+    rows = messages.read_messages(spark, str(path)).orderBy("label").collect()
     assert [(r["label"], r["text"]) for r in rows] == [
         ("ham", "plain text"), ("spam", 'with "quotes" and\ttab'),
     ]
 
 
+def test_ids_outlast_changes_of_files(spark, tmp_path):
+    lines = [f"ham\tmessage {i % 150}" for i in range(200)] + ["spam\tsame"] * 100
+    for name, parts in (("old", 1), ("new", 5)):
+        (tmp_path / name).mkdir()
+        for i in range(parts):
+            (tmp_path / name / f"{name}{i}.tsv").write_text("\n".join(lines[i::parts]), encoding="utf-8")
+    (tmp_path / "new" / "added.tsv").write_text("ham\tmessage 7\nham\tanother", encoding="utf-8")
+    old, new = (
+        splits.assign_split(messages.read_messages(spark, str(tmp_path / n))) for n in ("old", "new")
+    )
+    assert old.select("msg_id").distinct().count() == 300
+    assert old.exceptAll(new).isEmpty()
+    assert new.select("msg_id").distinct().count() == 302
+
+
+def test_weights_need_both_classes(spark):
+    with pytest.raises(ValueError):
+        labelled.with_weights(spark.createDataFrame([(1,)], "label INT"), "scale_pos")
+
+
+def test_compare_requests(spark):
+    bodies = ['{"text": " "}', '{"text": "hi", "model": "zz"}', '{"text": "hi", "model": 5}', '{"text": 5}', "[1]"]
+    df = spark.createDataFrame(list(enumerate(bodies)), "i INT, value STRING")
+    parsed = scoring.parse_requests(df, for_model=False)
+    for loaded, wanted in ((["rf"], [400, 200, 200, 500, 500]), ([], [400, 503, 503, 500, 500])):
+        rows = scoring.validate_compare(parsed, loaded).orderBy("i").collect()
+        assert [r["status"] for r in rows] == wanted
+
+
+def test_pooling(spark):
+    df = spark.createDataFrame([(1, [1.0, 5.0]), (1, [3.0, -1.0]), (2, None), (2, [0.0, 0.0])], "k INT, v ARRAY<DOUBLE>")
+    for how, wanted in (("max", [3.0, 5.0, 0.0, 0.0]), ("mean", [2.0, 2.0, 0.0, 0.0])):
+        rows = features.pool(df, "v", "k", how).orderBy("k", "dim").collect()
+        assert [r["value"] for r in rows] == wanted
+
+
 @pytest.mark.parametrize("fmt", ["csv", "parquet"])
 def test_splits_on_disk(spark, tmp_path, fmt):
     df = spark.createDataFrame(

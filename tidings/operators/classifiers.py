@@ -76,13 +76,19 @@ def _outputs(prefix: str) -> dict[str, str]:
     }
 
 
+@cache
+def normalizer(version: int) -> TextNormalizer:
+    """The stage that all pipelines of a version start with."""
+    return TextNormalizer(outputCol=f"clean_v{version}", version=version)
+
+
 @cache
 def tfidf_stages(version: int = 1) -> tuple:
     """Raw text to TF-IDF rows.  Pipelines share these very stages."""
     clean, words, out = f"clean_v{version}", f"tokens_v{version}", f"tfidf_v{version}"
     v2 = version == 2
     return (
-        TextNormalizer(outputCol=clean, version=version),
+        normalizer(version),
         WordTokenizer(
             inputCol=clean, outputCol=words, minChars=1 if v2 else 2, maxN=2 if v2 else 1
         ),
@@ -107,7 +113,7 @@ def sequence_stages(version: int = 1) -> tuple:
         )
     else:
         ids = SequenceVectorizer(inputCol=clean, outputCol=out)
-    return TextNormalizer(outputCol=clean, version=version), ids
+    return normalizer(version), ids
 
 
 def lr_pipeline(max_iter: int = 200, key: str = "lr") -> Pipeline:

@@ -257,6 +257,19 @@ def to_ids(
     )
 
 
+def pool(df: DataFrame, vector: str, by: str, how: str = "max") -> DataFrame:
+    """Largest (``max``) or average (``mean``) value of each dimension over a group's vectors.
+
+    ``by, dim, value``.  Values combine on the map side, so a group with most of
+    the vectors is one row a dimension and task.
+    """
+    combine = {"max": F.max, "mean": F.avg}[how]
+    values = df.select(by, F.posexplode(vector).alias("dim", "value"))
+    return values.groupBy(by, F.col("dim").cast("long").alias("dim")).agg(
+        combine(F.col("value").cast("double")).alias("value")
+    )
+
+
 def vector_entries(df: DataFrame, vector: str, id_col: str = "msg_id") -> DataFrame:
     """Non-zero entries of a sparse vector column: msg_id, idx, weight."""
     parts = F.unwrap_udt(F.col(vector))

@@ -68,6 +68,8 @@ def with_weights(
     """
     by_class = {r["label"]: r[kind] for r in class_weights(df, label).collect()}
     value = F.lit(1.0)
+    if None in by_class.values():
+        raise ValueError(f"{kind} weights need rows of both classes")
     for cls, w in by_class.items():
         value = F.when(F.col(label) == cls, F.lit(float(w))).otherwise(value)
     return df.withColumn(weight, value)

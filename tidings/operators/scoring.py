@@ -80,30 +80,38 @@ def compare_all(
 ) -> DataFrame:
     """Every loaded model on every message: kept columns plus ``results``.
 
-    Messages are read once.  Models that share feature stages share their
-    output, and because all replies for a message meet in one row, picking the
-    best needs no shuffle.
+    Messages are read once and every feature stage is applied once, for all the
+    models whose stages agree up to it.  Because all replies for a message meet in
+    one row, picking the best needs no shuffle.
     """
     order = [k for k in fixed.COMPARE_ORDER if k in models]
     order += [k for k in models if k not in order]
-    by_features: dict[tuple[str, ...], list[str]] = {}
-    for key in order:
-        path = tuple(s.uid for s in models[key].stages[:-1])
-        by_features.setdefault(path, []).append(key)
-    out, base = df, list(dict.fromkeys([*keep, "text"]))
-    for keys in by_features.values():
-        for stage in models[keys[0]].stages[:-1]:
-            out = stage.transform(out)
-        for key in keys:
-            learner = models[key].stages[-1]
-            out = learner.transform(out).withColumn("_p", _spam_probability(learner))
-            out = out.withColumn(f"_{key}", record(key, F.col("_p")))
-        base += [f"_{key}" for key in keys]
-        out = out.select(*base)
+    out = _score_branch(df.select(*dict.fromkeys([*keep, "text"])), models, order, 0)
     results = out.select(*keep, F.array(*[f"_{key}" for key in order]).alias("results"))
     return results.withColumn("results", number_results(F.col("results")))
 
 
+def _score_branch(
+    df: DataFrame, models: Mapping[str, PipelineModel], keys: list[str], depth: int
+) -> DataFrame:
+    """``df`` with a reply ``_key`` for each model; their first ``depth`` stages are applied."""
+    out, columns = df, df.columns
+    branches: dict[str, list[str]] = {}
+    for key in keys:
+        *features, learner = models[key].stages
+        if depth < len(features):
+            branches.setdefault(features[depth].uid, []).append(key)
+            continue
+        out = learner.transform(out).withColumn("_p", _spam_probability(learner))
+        columns = [*columns, f"_{key}"]
+        out = out.withColumn(f"_{key}", record(key, F.col("_p"))).select(*columns)
+    for shared in branches.values():
+        out = models[shared[0]].stages[depth].transform(out)
+        columns = [*columns, *[f"_{key}" for key in shared]]
+        out = _score_branch(out, models, shared, depth + 1).select(*columns)
+    return out
+
+
 def long_results(compared: DataFrame, keep: Iterable[str] = ("msg_id",)) -> DataFrame:
     """One row per message and model.
 
@@ -130,11 +138,12 @@ _PY_TYPES = [("BIGINT", "int"), ("DECIMAL", "float"), ("DOUBLE", "float"), ("BOO
              ("ARRAY", "list"), ("OBJECT", "dict")]
 
 
-def parse_requests(df: DataFrame, body: str = "value") -> DataFrame:
+def parse_requests(df: DataFrame, body: str = "value", for_model: bool = True) -> DataFrame:
     """JSON bodies to ``text``, ``model`` and ``fault``.
 
     Missing and falsy values take their defaults.  A value of another type is a
-    fault, as is a body that is not a JSON object.
+    fault, as is a body that is not a JSON object.  Requests to compare all
+    models (``for_model=False``) may hold anything as their model.
     """
     v = F.col("_v")
 
@@ -148,6 +157,8 @@ def parse_requests(df: DataFrame, body: str = "value") -> DataFrame:
 
     text, text_fault = field("text")
     model, model_fault = field("model")
+    if not for_model:
+        model_fault = F.lit(None).cast("string")
     is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
     fault = F.when(~is_object, F.lit("malformed JSON body")).otherwise(
         F.format_string(fixed.ERROR_BAD_TYPE, F.coalesce(text_fault, model_fault))
@@ -181,10 +192,8 @@ def validate_requests(df: DataFrame, available: Iterable[str] | Column) -> DataF
     """
     if not isinstance(available, Column):
         available = F.array(*[F.lit(k) for k in available]).cast("array<string>")
-    fault = F.col("fault") if "fault" in df.columns else F.lit(None).cast("string")
     checks = [
-        (fault.isNotNull(), 500, fault),
-        (strip(F.col("text")) == "", 400, F.lit(fixed.ERROR_TEXT_MISSING)),
+        *_text_checks(df),
         (
             ~F.col("model").isin(fixed.COMPARE_ORDER),
             400,
@@ -196,6 +205,32 @@ def validate_requests(df: DataFrame, available: Iterable[str] | Column) -> DataF
             F.format_string(fixed.ERROR_NOT_LOADED, F.col("model")),
         ),
     ]
+    return _first_failed(df, checks)
+
+
+def validate_compare(df: DataFrame, available: Iterable[str] | Column) -> DataFrame:
+    """The same for requests to compare all models: the model asked for is ignored.
+
+    Without any loaded model a request fails with 503.
+    """
+    if not isinstance(available, Column):
+        available = F.array(*[F.lit(k) for k in available]).cast("array<string>")
+    none = (F.size(available) == 0, 503, F.lit(fixed.ERROR_NO_MODELS))
+    return _first_failed(df, [*_text_checks(df), none])
+
+
+_Check = tuple[Column, int, Column]
+
+
+def _text_checks(df: DataFrame) -> list[_Check]:
+    fault = F.col("fault") if "fault" in df.columns else F.lit(None).cast("string")
+    return [
+        (fault.isNotNull(), 500, fault),
+        (strip(F.col("text")) == "", 400, F.lit(fixed.ERROR_TEXT_MISSING)),
+    ]
+
+
+def _first_failed(df: DataFrame, checks: list[_Check]) -> DataFrame:
     status, error = F.lit(200), F.lit(None).cast("string")
     for failed, code, reason in reversed(checks):
         status = F.when(failed, F.lit(code)).otherwise(status)

@@ -414,6 +414,33 @@ ORACLE["request_parse"] = f"WITH {REQUESTS} SELECT msg_id, text, model, fault FR
 ORACLE["request_validate"] = (
     f"WITH {_checked(_q('lr') + ', ' + _q('rf'))} SELECT msg_id, model, status, error FROM checked"
 )
+ORACLE["compare_validate"] = f"""
+WITH {REQUESTS}
+SELECT msg_id,
+       CASE WHEN fault IS NOT NULL THEN 500 WHEN text = '' THEN 400 WHEN msg_id % 19 = 4 THEN 503 ELSE 200 END AS status,
+       CASE WHEN fault IS NOT NULL THEN fault WHEN text = '' THEN 'text field is required'
+            WHEN msg_id % 19 = 4 THEN 'No models are loaded. Run training scripts first.' END AS error
+FROM asked"""
+_SOUND = "true AS label_agrees, true AS confident"
+ORACLE["compare_contract"] = f"""
+WITH {SPLIT}, {_MODELS}
+SELECT msg_id, model_key, model_name, model_type, member,
+       row_number() OVER (PARTITION BY msg_id ORDER BY ord) AS display_idx, true AS one_best, {_SOUND}
+FROM split, m WHERE split.split = 'test'"""
+_TOTALS = "count(*) FILTER (label = 0) AS negatives, count(*) FILTER (label = 1) AS positives"
+ORACLE["eval_contract"] = f"""
+WITH {SPLIT}, {_MODELS} SELECT model_key, {_TOTALS} FROM split, m WHERE split.split = 'test' GROUP BY model_key"""
+ORACLE["versions_contract"] = f"""
+WITH {SPLIT}, {_VERSIONED}
+SELECT model_key, family, version, {_TOTALS} FROM split, m WHERE split.split = 'test' GROUP BY ALL"""
+ORACLE["stream_contract"] = f"""
+WITH {_checked(_q('lr'))}
+SELECT msg_id, 'lr' AS model_key, 'Logistic Regression' AS model_name, 'ML' AS model_type, 1 AS member, {_SOUND}
+FROM checked WHERE status = 200"""
+ORACLE["pool_max"] = """
+WITH v AS (
+  SELECT label, unnest(embedding) AS value, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)
+SELECT label, dim, max(value)::DOUBLE AS value FROM v GROUP BY label, dim"""
 ORACLE["stream_rejects"] = (
     f"WITH {_checked(_q('lr'))} SELECT msg_id, status, error FROM checked WHERE status <> 200"
 )
@@ -425,7 +452,7 @@ _KNOWN = """known(model_key, status_name, name, short, color, reg, ord) AS (VALU
   ('lstm', 'LSTM', 'LSTM', 'LSTM', '#ec4899', 4, 5),
   ('xgb', 'XGBoost', 'XGBoost', 'XGB', '#f59e0b', 5, 3),
   ('transformer', 'Transformer', 'Transformer', 'TF', '#10b981', 6, 6))"""
-_READY = f"{SCORED}, {_KNOWN}, ready AS (SELECT DISTINCT model_key FROM decided)"
+_READY = f"{_KNOWN}, ready(model_key) AS (VALUES ('lr'))"
 ORACLE["model_status"] = f"""
 WITH {_READY}
 SELECT model_key, status_name,
@@ -511,7 +538,16 @@ SELECT model_key, family, version, f1, tn AS "TN", fp AS "FP", fn AS "FN", tp AS
 FROM e JOIN m USING (model_key)"""
 
 # ------------------------------------------------------------------ files and back
-ORACLE["src_tsv_roundtrip"] = f"WITH {SMS} SELECT label, {_collapse('text')} AS text FROM sms"
+ORACLE["src_tsv_roundtrip"] = f"""
+WITH {SMS}, lines AS (SELECT label, {_collapse('text')} AS text FROM sms),
+keyed AS (SELECT *, row_number() OVER (PARTITION BY label, text) - 1 AS ordinal FROM lines),
+given AS (
+  SELECT label, text,
+         ('0x' || substr(md5(md5(label || chr(9) || text) || ':' || ordinal::VARCHAR), 1, 15))::BIGINT AS msg_id
+  FROM keyed)
+SELECT msg_id, label, text, CASE WHEN {_bucket('msg_id')} < 150 THEN 'test'
+       WHEN {_bucket('msg_id')} < 300 THEN 'val' ELSE 'train' END AS split
+FROM given"""
 ORACLE["splits_roundtrip"] = f"""
 WITH {SPLIT} SELECT msg_id, text, label, split FROM split WHERE text NOT IN ({_NA})"""
 

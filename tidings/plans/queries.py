@@ -14,7 +14,7 @@ from tidings.functions import explain, scores, text, tokens
 from tidings.operators import classifiers, evaluation, features, labelled, scoring, splits, vocabulary
 from tidings.plans.rules import VERSIONED_RULES, rule_predictions, rule_results
 from tidings.session import shared_folder
-from tidings.sources import derived, messages, metrics, replies
+from tidings.sources import artifacts, derived, messages, metrics, replies
 from tidings.streaming import history, scoring as stream_scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -290,6 +290,12 @@ def pad_mask(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def pool_max(spark: SparkSession, sf: str) -> DataFrame:
+    """Largest value of each dimension over the vectors of a label."""
+    return features.pool(derived.table(spark, sf, "embeddings"), "embedding", "label")
+
+
 def _fill_rate():
     """A batch scorer: the share of an id row that is not padding."""
 
@@ -374,16 +380,34 @@ def request_validate(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def compare_validate(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests to compare all models; for some of them none is loaded."""
+    parsed = scoring.parse_requests(_requests(derived.sms(spark, sf)), for_model=False)
+    loaded = F.when(F.col("msg_id") % 19 == 4, F.array().cast("array<string>")).otherwise(F.array(F.lit("lr")))
+    return scoring.validate_compare(parsed, loaded).select("msg_id", "status", "error")
+
+
+def _stored_models(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys of the registered models that have an artifact: one is fitted and saved."""
+    path = _work(spark, "models")
+    fitted = classifiers.fit_models(_split(spark, sf, "train"), {"lr": classifiers.lr_pipeline()})
+    for key, model in fitted.items():
+        artifacts.save_model(model, f"{path}/{key}")
+    loaded = artifacts.load_models(spark, {key: f"{path}/{key}" for key in fixed.COMPARE_ORDER})
+    return artifacts.available(spark, loaded)
+
+
 @query
 def model_status(spark: SparkSession, sf: str) -> DataFrame:
-    """Models that have scored something are ready, others missing."""
-    status = scoring.model_status(schemas.registry(spark), rule_predictions(derived.labelled(spark, sf)))
+    """Models with a stored artifact are ready, others missing."""
+    status = scoring.model_status(schemas.registry(spark), _stored_models(spark, sf))
     return status.select("model_key", "status_name", "state")
 
 
 @query
 def model_health(spark: SparkSession, sf: str) -> DataFrame:
-    status = scoring.model_status(schemas.registry(spark), rule_predictions(derived.labelled(spark, sf)))
+    status = scoring.model_status(schemas.registry(spark), _stored_models(spark, sf))
     return scoring.health(status).select(
         F.array_join("loaded_models", ",").alias("loaded_models"), "total_loaded"
     )
@@ -391,8 +415,7 @@ def model_health(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def model_skipped(spark: SparkSession, sf: str) -> DataFrame:
-    ready = rule_predictions(derived.labelled(spark, sf)).select("model_key").distinct()
-    return scoring.skipped(schemas.registry(spark), ready).select("model_key", "model_name")
+    return scoring.skipped(schemas.registry(spark), _stored_models(spark, sf)).select("model_key", "model_name")
 
 
 # ---------------------------------------------------------------------- evaluation
@@ -478,7 +501,7 @@ def src_tsv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     path = _work(spark, "tsv")
     one_line = derived.sms(spark, sf).select("label", text.collapse_space(F.col("text")).alias("text"))
     one_line.write.options(sep="\t", quote='"', escape='"').csv(path)
-    return messages.read_messages(spark, path).select("label", "text")
+    return splits.assign_split(messages.read_messages(spark, path)).select("msg_id", "label", "text", "split")
 
 
 @query
@@ -632,6 +655,49 @@ def compare_all(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.long_results(compared)
 
 
+def _sound(label: str = "label") -> list[Column]:
+    """What holds for every reply: its label is its prediction's, its confidence 50 to 100."""
+    return [
+        (F.col(label) == scores.decode_label(F.col("prediction"))).alias("label_agrees"),
+        F.col("confidence").between(50, 100).alias("confident"),
+    ]
+
+
+@query
+def compare_contract(spark: SparkSession, sf: str) -> DataFrame:
+    """What holds for the replies of fitted models, whatever they learned."""
+    compared = scoring.compare_all(_test(spark, sf), _all_models(spark, sf))
+    one_best = (F.size(F.filter("results", lambda r: r["is_best"])) == 1).alias("one_best")
+    rows = compared.select("msg_id", one_best, F.inline_outer("results"))
+    return rows.select(
+        "msg_id", "model_key", "model_name", "model_type", "member", "display_idx", "one_best", *_sound()
+    )
+
+
+def _class_totals(measured: DataFrame, *keys: str) -> DataFrame:
+    return measured.select(
+        *keys, (F.col("tn") + F.col("fp")).alias("negatives"), (F.col("fn") + F.col("tp")).alias("positives")
+    )
+
+
+@query
+def eval_contract(spark: SparkSession, sf: str) -> DataFrame:
+    """Confusion counts of fitted models add up to the classes."""
+    return _class_totals(eval_models(spark, sf), "model_key")
+
+
+@query
+def versions_contract(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for both versions."""
+    return _class_totals(eval_v1_v2(spark, sf), "model_key", "family", "version")
+
+
+@query
+def stream_contract(spark: SparkSession, sf: str) -> DataFrame:
+    """Every accepted request of a stream is answered once."""
+    return stream_score(spark, sf).select("msg_id", "model_key", "model_name", "model_type", "member", *_sound())
+
+
 @query
 def eval_models(spark: SparkSession, sf: str) -> DataFrame:
     compared = scoring.compare_all(_test(spark, sf), _all_models(spark, sf), ("msg_id", "truth"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidings import schemas
@@ -28,16 +28,35 @@ def read_messages(
 ) -> DataFrame:
     """Header-less ``label, text`` files: msg_id, label, text.
 
-    Ids are given at ingest, in file order; write the table before relying on
-    them.  Quoted fields that span lines need ``multiline``, which makes a file
-    one task.
+    Ids depend on content alone, so files may be added, split or renamed.  Quoted
+    fields that span lines need ``multiline``, which makes a file one task.
     """
     raw = (
         spark.read.schema(schemas.RAW_MESSAGES)
         .options(sep=sep, quote='"', escape='"', multiLine=multiline)
         .csv(path)
     )
-    return raw.select(F.monotonically_increasing_id().alias("msg_id"), "label", "text")
+    return with_content_ids(raw)
+
+
+def with_content_ids(df: DataFrame) -> DataFrame:
+    """``label, text`` rows with ``msg_id``: 60 bits of a hash of both and an ordinal.
+
+    The ordinal counts equal rows from 0 (null equals empty).  It is the row's place
+    among its equals in its own input partition plus their number in earlier ones, so
+    a text that makes up most rows is numbered by as many tasks as it is read by.
+    Two of n rows share an id with a chance of about n * n / 2 ** 61.
+    """
+    content = F.concat(F.coalesce("label", F.lit("")), F.lit("\t"), F.coalesce("text", F.lit("")))
+    rows = df.select("label", "text", F.md5(content).alias("_key"), F.spark_partition_id().alias("_part"))
+    earlier = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("_part", "_key").agg(F.count("*").alias("n"))
+    sizes = sizes.select("_part", "_key", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("_part", "_key").orderBy("_part")) - 1
+    placed = rows.withColumn("own", own).join(sizes, ["_part", "_key"])
+    ordinal = (F.col("own") + F.col("before")).cast("string")
+    digest = F.md5(F.concat("_key", F.lit(":"), ordinal))
+    return placed.select(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("msg_id"), "label", "text")
 
 
 def read_split(
