@@ -56,6 +56,22 @@ def test_templates_find_copies_and_new_parameters(spark):
     assert [r.doc_id for r in decontaminate.decontaminate(docs, items).orderBy("doc_id").collect()] == [3, 4, 5]
 
 
+def test_templates_find_copies_in_other_letters(spark):
+    item = "Élan Óscar says that Žofie met Tom Brown near the old école of Zürich and paid 12 euros"
+    short = "Which river flows through Élan town"
+    cries = "!! ".join(item.upper().split())
+    docs = spark.createDataFrame(
+        [
+            (1, f"so they {cries} he said"), (2, item.lower()), (3, f"well, as asked before {item} indeed"),
+            (4, f"we ask {short} again"), (5, short.upper()), (6, "Which river flows through some other town"),
+        ],
+        "doc_id long, text string",
+    )
+    items = spark.createDataFrame([(1, item), (2, short)], "item_id long, text string")
+    found = {(r.id, r.item) for r in decontaminate.matches(docs, items).collect()}
+    assert found == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 2)}
+
+
 def test_templates_find_every_planted_passage(spark, sf, texts):
     items = {r.item_id: WORD.findall(r.text.lower()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     want = {

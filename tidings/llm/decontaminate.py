@@ -3,7 +3,9 @@
 Template of a text: its words without punctuation at their ends and lower-cased, with
 typed placeholders for numbers, units and names (capitalised words that do not start a
 sentence).  Windows of ``WINDOW`` template words are hashed; shorter benchmark items
-are one window of their own length.  Windows of documents that hit a bitmap of the
+are one window of their own length.  What looks like a name depends on case and on the
+sentence around it, so a window with names is hashed once more with them as plain words:
+copies are found in capitals, in small letters and in the midst of a sentence.  Windows of documents that hit a bitmap of the
 benchmark's windows are joined with those by hash.  The bitmap has a fixed size and
 only saves work; the join decides.
 
@@ -57,6 +59,13 @@ _SLOT_HASH = np.array([0, 0xA11CE5A11CE5A11D, 0xB0B5B0B5B0B5B0B7, 0xC0DEC0DEC0DE
 _BASE = 0x9E3779B97F4A7C15
 
 
+def _lower(word: bytes) -> bytes:
+    """All letters in lower case, not just A-Z."""
+    if word.isascii():
+        return word.lower()
+    return word.decode("utf-8", "replace").lower().encode("utf-8", "replace")
+
+
 class Templates:
     """Template words of texts, through a bounded table of known words."""
 
@@ -71,7 +80,7 @@ class Templates:
 
     def _learn(self, number: int, word: bytes) -> None:
         core = word.strip(_EDGE)
-        low = core.lower()
+        low = _lower(core)
         kind = _LITERAL
         if NUMBER.fullmatch(low) or low in NUMBER_WORDS:
             kind = _NUMBER
@@ -85,7 +94,7 @@ class Templates:
         self.table[number] = (_HASH(low or word), kind, capital, ends)
 
     def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Hash and kind of each template word, and the words."""
+        """Hash (of the word itself) and kind of each template word, and the words."""
         if len(self.numbers) > self.most:
             self._clear()
         words: list[bytes] = []
@@ -102,19 +111,28 @@ class Templates:
         starts[1:] = ends[:-1]
         starts[[f for f in firsts if f < len(words)]] = True
         kinds = np.where((kinds == _LITERAL) & capital & ~starts, _NAME, kinds)
-        return np.where(kinds == _LITERAL, hashes, _SLOT_HASH[kinds]), kinds, words
+        return hashes, kinds, words
+
+    def windows(
+        self, text: bytes, lengths: list[int]
+    ) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+        """``length, window hashes, their positions, kinds, words`` for each window length.
 
-    def windows(self, text: bytes, lengths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[bytes]]]:
-        """``length, window hashes, kinds, words`` for each window length."""
+        A length comes twice when there are names; the second time names are plain
+        words, and only windows that hold one are given.
+        """
         hashes, kinds, words = self.of(text)
-        total = np.zeros(len(hashes), np.uint64)
-        with np.errstate(over="ignore"):
-            for n in range(1, max(lengths) + 1):
-                if len(words) < n:
-                    return
-                total = total[: len(words) - n + 1] * np.uint64(_BASE) + hashes[n - 1 :]
+        named = np.r_[0, np.cumsum(kinds == _NAME)]
+        for names in (True, False) if named[-1] else (True,):
+            kinds = kinds if names else np.where(kinds == _NAME, _LITERAL, kinds)
+            each = np.where(kinds == _LITERAL, hashes, _SLOT_HASH[kinds])
+            total = np.zeros(len(each), np.uint64)
+            for n in range(1, min(max(lengths), len(words)) + 1):
+                with np.errstate(over="ignore"):
+                    total = total[: len(words) - n + 1] * np.uint64(_BASE) + each[n - 1 :]
                 if n in lengths:
-                    yield n, mix64(total ^ np.uint64(n)), kinds, words
+                    at = np.arange(len(total)) if names else np.flatnonzero(named[n:] > named[:-n])
+                    yield n, mix64(total[at] ^ np.uint64(n)), at, kinds, words
 
 
 _HITS = T.StructType(
@@ -140,14 +158,14 @@ def _window_rows(rows: DataFrame, lengths: list[int] | None, bitmap: np.ndarray
             out: list[tuple] = []
             for place, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 mine = lengths or [min(WINDOW, max(1, len(text.split())))]
-                for n, hashes, kinds, words in templates.windows(text, mine):
-                    at = np.arange(len(hashes))
+                for n, hashes, at, kinds, words in templates.windows(text, mine):
                     if bitmap is not None:
                         bit = hashes >> np.uint64(64 - MAP_BITS)
-                        at = np.flatnonzero((bitmap[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1))
-                    for i, h in zip(at.tolist(), hashes[at].view(np.int64).tolist()):
+                        hit = np.flatnonzero((bitmap[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1))
+                        hashes, at = hashes[hit], at[hit]
+                    for i, h in zip(at.tolist(), hashes.view(np.int64).tolist()):
                         slots = [
-                            words[k].strip(_EDGE).lower().decode("utf-8", "replace")
+                            _lower(words[k].strip(_EDGE)).decode("utf-8", "replace")
                             for k in range(i, i + n) if kinds[k]
                         ]
                         out.append((place, i, h, slots))
