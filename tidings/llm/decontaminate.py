@@ -43,6 +43,8 @@ MAP_BITS = 24  # the bitmap has 2 ** MAP_BITS bits: 2 MB, whatever the benchmark
 
 _HASH = partial(xxhash.xxh64_intdigest, seed=7)
 _EDGE = bytes(set(range(33, 127)) - set(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+_SMALL = frozenset(bytes([x]) for x in b"abcdefghijklmnopqrstuvwxyz0123456789")
+_STOPS = (b".", b"!", b"?", b":")
 NUMBER = re.compile(rb"[0-9][0-9.,:/x*^%-]*[a-z%]{0,3}")
 NUMBER_WORDS = set(
     b"zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen"
@@ -78,20 +80,26 @@ class Templates:
         self.numbers.forget()
         self.table = np.zeros(1 << 12, [("hash", "u8"), ("kind", "i1"), ("capital", "?"), ("ends", "?")])
 
-    def _learn(self, number: int, word: bytes) -> None:
-        core = word.strip(_EDGE)
-        low = _lower(core)
-        kind = _LITERAL
-        if NUMBER.fullmatch(low) or low in NUMBER_WORDS:
-            kind = _NUMBER
-        elif low in UNITS:
-            kind = _UNIT
-        if number >= len(self.table):
+    def _learn(self, first: int, words: list[bytes]) -> None:
+        """Facts of new words, numbered from ``first``."""
+        rows = []
+        for word in words:
+            core = word.strip(_EDGE)
+            low = core.lower() if core.isascii() else _lower(core)
+            kind = _LITERAL
+            if low[:1].isdigit() and NUMBER.fullmatch(low) or low in NUMBER_WORDS:
+                kind = _NUMBER
+            elif low in UNITS:
+                kind = _UNIT
+            capital = False
+            if len(core) > 1 and core[:1] not in _SMALL:
+                letters = core.decode("utf-8", "replace")
+                capital = len(letters) > 1 and letters[0].isupper() and letters[1:].islower()
+            ends = word.rstrip(b"\"')]").endswith(_STOPS)
+            rows.append((_HASH(low or word), kind, capital, ends))
+        while first + len(rows) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        first = core.decode("utf-8", "replace")
-        capital = len(first) > 1 and first[0].isupper() and first[1:].islower()
-        ends = word.rstrip(b"\"')]")[-1:] in (b".", b"!", b"?", b":")
-        self.table[number] = (_HASH(low or word), kind, capital, ends)
+        self.table[first : first + len(rows)] = rows
 
     def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Hash (of the word itself) and kind of each template word, and the words."""
@@ -103,9 +111,9 @@ class Templates:
             firsts.append(len(words))
             words += line.split()
         at = self.numbers.of(words)
-        for number, word in enumerate(self.numbers.new, len(self.numbers) - len(self.numbers.new)):
-            self._learn(number, word)
-        self.numbers.new = []
+        if new := self.numbers.new:
+            self._learn(len(self.numbers) - len(new), new)
+            self.numbers.new = []
         hashes, kinds, capital, ends = (self.table[x][at] for x in ("hash", "kind", "capital", "ends"))
         starts = np.zeros(len(words), bool)
         starts[1:] = ends[:-1]
