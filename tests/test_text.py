@@ -235,3 +235,22 @@ def test_previews_count_utf16_units(spark):
     assert got[0] == "😀" * 35 + fixed.ELLIPSIS  # 70 units
     assert got[1] == "a" + "😀" * 34 + fixed.ELLIPSIS  # the 70th unit would part a pair
     assert got[2:] == ["b" * 70, None]
+
+
+def test_values_that_twins_share():
+    """SQL twins take these from the library, so they are pinned here (fixed values)."""
+    assert fixed.HTML_ESCAPES == [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")]
+    assert fixed.SEQUENCE_FILTERS == '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n'
+    assert set(fixed.SEQUENCE_FILTERS) - set(fixed.SEQUENCE_FILTERS_V2) == {"_"}
+    assert ", ".join(fixed.HIGHLIGHTED) == (
+        "win, winner, won, free, prize, reward, gift, cash, bonus, urgent, now, limited, offer, text now, reply, "
+        "claim, exclusive, alert, apply, contact, call, expire, expires, selected, congratulations"
+    )
+    # what the CSV reader of pandas takes for missing, besides the empty field
+    import io
+
+    import pandas as pd
+
+    words = ["", *fixed.NA_WORDS, "null ", "none", "na", "Null", "nil", "-", "x"]
+    table = pd.read_csv(io.StringIO("t,i\n" + "\n".join(f'"{w}",1' for w in words)))
+    assert [w for w, gone in zip(words, table["t"].isna()) if gone] == ["", *fixed.NA_WORDS]
