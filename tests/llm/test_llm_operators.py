@@ -183,6 +183,26 @@ def test_simhash_components(spark, texts, bucket):
     assert {r.id: r.component_id for r in simhash.grouped(df, scheme).collect()} == _groups(rows, scheme)
 
 
+def test_oversized_buckets_of_wide_fingerprints_lose_no_pair(spark):
+    rng = np.random.default_rng(5)
+    bits = rng.integers(0, 2, (160, 512), np.uint8)
+    bits[:, :16] = 1  # one common block
+    for k in range(0, 120, 2):  # 80 differing bits, some in each of the other 31 blocks
+        bits[k + 1] = bits[k]
+        for block in range(1, 32):
+            bits[k + 1, block * 16 + rng.permutation(16)[: 2 + (block < 19)]] ^= 1
+    fps = [x.tobytes() for x in np.packbits(bits, axis=1)]
+    df = spark.createDataFrame([(i + 1, bytearray(x)) for i, x in enumerate(fps)], "node long, fp binary")
+    seen = []
+    for bucket in (100_000, 10):
+        scheme = dataclasses.replace(simhash.SIMILAR, bucket_rows=bucket)
+        forest = simhash._Forest()
+        for r in simhash.links(df, scheme).collect():
+            forest.union(r.u, r.v)
+        seen.append([forest.find(i + 1) for i in range(160)])
+    assert seen[0] == seen[1] == [i - (i % 2 == 0 and i <= 120) for i in range(1, 161)]
+
+
 def test_fingerprint_by_hand():
     import xxhash
 

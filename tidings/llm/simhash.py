@@ -11,10 +11,12 @@ Fingerprints
 
 Links
     Equal fingerprints are one node.  Nodes meet in buckets that share a block of
-    bits and are compared there.  A bucket beyond ``bucket_rows`` is dealt anew
-    by blocks of the bits that its members need not share yet, again and again,
-    until every bucket fits one task; nothing is dropped.  Inside a bucket the
-    search walks from node to unvisited nodes, so a dense group of near copies
+    bits and are compared there.  A bucket beyond ``bucket_rows`` is dealt anew,
+    again and again, until every bucket fits one task; no pair that met in it is
+    lost.  With more blocks than differing bits that is by blocks of the bits that
+    its members need not share yet.  With fewer, another shared block is no
+    certainty, so the bucket is cut into tiles and any two tiles meet in one of
+    the new buckets (the lines of a projective plane).  Inside a bucket the search walks from node to unvisited nodes, so a dense group of near copies
     costs about one comparison a member, and only the links of a spanning forest
     leave the task.
 
@@ -56,6 +58,10 @@ class Scheme:
     def bits(self) -> int:
         return 64 * self.lanes
 
+    @property
+    def pigeonhole(self) -> bool:
+        return self.blocks > self.distance
+
 
 #: Exact: 4 blocks of 16 bits, at most 3 bits differ.
 EXACT = Scheme()
@@ -104,7 +110,7 @@ def _layout(path: bytes, bits: int, blocks: int, block_bits: int) -> tuple[tuple
     open_bits = list(range(bits))
     parts: tuple[tuple[int, ...], ...] = ()
     for step in range(len(path) + 1):
-        n = min(blocks, len(open_bits)) if not parts or blocks <= 8 else len(parts) - 1
+        n = min(blocks, len(open_bits))
         cuts = [len(open_bits) * i // n for i in range(n + 1)]
         parts = tuple(tuple(open_bits[a:b])[:block_bits] for a, b in zip(cuts, cuts[1:]))
         if step < len(path):
@@ -125,6 +131,22 @@ def _deal(fps: np.ndarray, keys: np.ndarray, path: bytes, scheme: Scheme) -> Ite
         yield path + bytes([number]), key
 
 
+#: Tiles and lines of the projective plane of order 3: tile t lies on the lines
+#: t - d, and any two of the 13 tiles have one of these lines in common.
+TILES = 13
+_PLANE = (0, 1, 3, 9)
+
+
+def _tile(node: np.ndarray, keys: np.ndarray, path: bytes) -> Iterator[tuple[bytes, np.ndarray]]:
+    """New path and bucket key of each row, for each line of its tile."""
+    with np.errstate(over="ignore"):
+        salt = np.uint64(len(path)) * np.uint64(0xD1342543DE82EF95)  # wraps; other tiles on each level
+        tile = mix64(node.view(np.uint64) ^ salt) % np.uint64(TILES)
+        for step in _PLANE:
+            line = (tile + np.uint64(TILES - step)) % np.uint64(TILES)
+            yield path + b"\0", mix64(keys + mix64(line + np.uint64(1)))
+
+
 _DEALT = "key long, node long, path binary, fp binary, other long"
 
 
@@ -146,7 +168,11 @@ def _redeal(node, fps, keys, paths, scheme) -> Iterator[pa.RecordBatch]:
     for path in sorted(set(paths)):
         mine = np.array([p == path for p in paths])
         raw = [x.tobytes() for x in fps[mine]]
-        for new, key in _deal(fps[mine], keys[mine], path, scheme):
+        if scheme.pigeonhole:
+            dealt = _deal(fps[mine], keys[mine], path, scheme)
+        else:
+            dealt = _tile(node[mine], keys[mine], path)
+        for new, key in dealt:
             yield _batch(key, node[mine], new, raw, None)
 
 
