@@ -72,6 +72,21 @@ def test_templates_find_copies_in_other_letters(spark):
     assert found == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 2)}
 
 
+def test_one_conflicting_slot_drops_its_windows_only(spark):
+    words = "the old mill by the river grinds corn for all people who live there and bakes"
+    item = f"{words} 12 loaves while {words.replace('mill', 'barn')} 12 cakes and 3 pies and 5 buns before the sun goes down"
+    texts = [
+        item.replace("12 cakes", "13 cakes"), item.replace("12 cakes", "twelve cakes"),
+        item.replace("3 pies and 5", "4 pies and 4"), item,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = {r.id: r for r in decontaminate.matches(docs, items).collect()}
+    assert {d: r.copied for d, r in found.items()} == {0: False, 1: True, 2: False, 3: True}
+    n = found[3].item_windows
+    assert found[3].windows == found[1].windows == n and n - 8 <= found[0].windows < n and n / 2 < found[2].windows < n
+
+
 def test_templates_find_every_planted_passage(spark, sf, texts):
     items = {r.item_id: WORD.findall(r.text.lower()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     want = {

@@ -10,11 +10,13 @@ benchmark's windows are joined with those by hash.  The bitmap has a fixed size
 only saves work; the join decides.
 
 Hits of a document and an item that lie on one diagonal (equal difference of
-positions) are one alignment.  An alignment is consistent if equal slot values of the
-item always meet equal slot values of the document, and different ones different
-ones.  Windows of consistent alignments count; a document is contaminated by an item
-when they cover ``COVERAGE`` of the item's windows or ``RUN`` windows.  It is a copy
-if all slots agree, else the question with other parameters.
+positions) are one alignment.  There equal slot values of the item must meet equal slot
+values of the document, and different ones different ones.  Where they do not, the
+value that more places have wins; of as many places none does, except in an alignment
+that is else unchanged, where the unchanged value wins.  Windows over places that lost
+are dropped, all others count; a document is contaminated by an item when they cover
+``COVERAGE`` of the item's windows or ``RUN`` windows.  It is a copy if all slots agree,
+else the question with other parameters.  Number words are numbers: twelve equals 12.
 
 Defined results: null and empty texts and items have no window and never match; items
 without a word are left out; repeated documents and null ids give a row each; repeated
@@ -24,6 +26,7 @@ items match each under their id; an empty table on either side gives an empty re
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import partial
 
@@ -46,9 +49,13 @@ _EDGE = bytes(set(range(33, 127)) - set(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKL
 _SMALL = frozenset(bytes([x]) for x in b"abcdefghijklmnopqrstuvwxyz0123456789")
 _STOPS = (b".", b"!", b"?", b":")
 NUMBER = re.compile(rb"[0-9][0-9.,:/x*^%-]*[a-z%]{0,3}")
-NUMBER_WORDS = set(
-    b"zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen"
-    b" eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split()
+_DIGITS = [*range(21), *range(30, 100, 10), 100, 1000, 1_000_000]
+NUMBER_WORDS = dict(
+    zip(
+        b"zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen"
+        b" eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split(),
+        (b"%d" % x for x in _DIGITS),
+    )
 )
 UNITS = set(
     b"mm cm m km meter meters metre metres inch inches foot feet yard yards mile miles mg g kg gram grams kilogram"
@@ -148,13 +155,23 @@ _HITS = T.StructType(
         T.StructField("place", T.LongType()),
         T.StructField("pos", T.LongType()),
         T.StructField("hash", T.LongType()),
+        T.StructField("offsets", T.ArrayType(T.IntegerType())),
         T.StructField("slots", T.ArrayType(T.StringType())),
+        T.StructField("length", T.IntegerType()),
     ]
 )
 
 
+def _slot(word: bytes) -> str:
+    """What a slot is compared by: the bare word in lower case, numbers in digits."""
+    low = _lower(word.strip(_EDGE))
+    return NUMBER_WORDS.get(low, low).decode("utf-8", "replace")
+
+
 def _window_rows(rows: DataFrame, lengths: list[int] | None, bitmap: np.ndarray | None) -> DataFrame:
-    """``place, pos, hash, slots`` of the windows of ``place, body``.
+    """``place, pos, hash, offsets, slots, length`` of the windows of ``place, body``.
+
+    Offsets are the places of the slots in the window.
 
     Without ``lengths`` a text gives windows of the usual length, or one of its own.
     With a bitmap only windows that hit it are given.
@@ -172,14 +189,11 @@ def _window_rows(rows: DataFrame, lengths: list[int] | None, bitmap: np.ndarray
                         hit = np.flatnonzero((bitmap[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1))
                         hashes, at = hashes[hit], at[hit]
                     for i, h in zip(at.tolist(), hashes.view(np.int64).tolist()):
-                        slots = [
-                            _lower(words[k].strip(_EDGE)).decode("utf-8", "replace")
-                            for k in range(i, i + n) if kinds[k]
-                        ]
-                        out.append((place, i, h, slots))
+                        offsets = np.flatnonzero(kinds[i : i + n]).tolist()
+                        out.append((place, i, h, offsets, [_slot(words[i + k]) for k in offsets], n))
             if out:
                 columns = list(zip(*out))
-                kinds_ = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())]
+                kinds_ = [pa.int64()] * 3 + [pa.list_(pa.int32()), pa.list_(pa.string()), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds_)], names=_HITS.names)
 
     return rows.mapInArrow(run, _HITS)
@@ -197,6 +211,50 @@ def _bitmap(windows: DataFrame) -> np.ndarray:
     return table.view(np.uint64)
 
 
+def agreeing(hits: list[dict]) -> tuple[list[int], set[tuple[str, str]]]:
+    """Positions of the item's windows that count in one alignment, and its slot pairs (item, document)."""
+    at = {h["item_pos"] + k: pair for h in hits for k, pair in zip(h["offsets"], zip(h["item_slots"], h["slots"]))}
+    count = Counter(at.values())
+    by_item, by_doc = defaultdict(set), defaultdict(set)
+    for pair in count:
+        by_item[pair[0]].add(pair)
+        by_doc[pair[1]].add(pair)
+    rivals = {p: r for p in count if (r := (by_item[p[0]] | by_doc[p[1]]) - {p})}
+    unchanged = all(a == b for a, b in count if (a, b) not in rivals)
+
+    def wins(pair: tuple[str, str]) -> bool:
+        ties = unchanged and pair[0] == pair[1]
+        return all(count[pair] > count[r] or (ties and count[pair] == count[r]) for r in rivals[pair])
+
+    lost = {k for k, pair in at.items() if pair in rivals and not wins(pair)}
+    kept = {h["item_pos"] for h in hits if lost.isdisjoint(range(h["item_pos"], h["item_pos"] + h["length"]))}
+    return sorted(kept), set(count)
+
+
+_ALIGNED = T.StructType(
+    [
+        T.StructField("place", T.LongType()),
+        T.StructField("item_place", T.LongType()),
+        T.StructField("at", T.ArrayType(T.LongType())),
+        T.StructField("pairs", T.LongType()),
+        T.StructField("changed", T.LongType()),
+    ]
+)
+
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Alignments (``place, item_place, hits``) with a window that counts."""
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+    for batch in small_batches(batches):
+        out = []
+        for place, item, hits in zip(*(c.to_pylist() for c in batch.columns)):
+            at, pairs = agreeing(hits)
+            if at:
+                out.append((place, item, at, len(pairs), sum(a != b for a, b in pairs)))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=_ALIGNED.names)
+
+
 def matches(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -227,25 +285,21 @@ def matches(
         F.monotonically_increasing_id().alias("place"), text_or_empty(text_col).cast("binary").alias("body"),
         F.col(id_col).alias("id"),
     )
-    hits = _window_rows(rows.select("place", "body"), sorted(lengths), bits)
+    hits = _window_rows(rows.select("place", "body"), sorted(lengths), bits).drop("offsets", "length")
     mine = parts.select(
-        F.col("place").alias("item_place"), F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots")
-    )
+        F.col("place").alias("item_place"), F.col("pos").alias("item_pos"), "hash",
+        "offsets", F.col("slots").alias("item_slots"), "length",
+    )
     joined = hits.join(mine, "hash").where(F.size("slots") == F.size("item_slots"))
     # one alignment: at most as many rows as the item has windows
     aligned = joined.groupBy("place", "item_place", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(
-        F.collect_set("item_pos").alias("at"),
-        F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("item_slots", "slots")))).alias("pairs"),
-    )
-    pairs = F.size("pairs")
-    aligned = aligned.where(
-        (F.size(F.array_distinct("pairs.item_slots")) == pairs) & (F.size(F.array_distinct("pairs.slots")) == pairs)
+        F.collect_set(F.struct("item_pos", "length", "offsets", "item_slots", "slots")).alias("hits")
     )
-    changed = F.size(F.filter("pairs", lambda p: p["item_slots"] != p["slots"]))
+    aligned = aligned.select("place", "item_place", "hits").mapInArrow(_aligned, _ALIGNED)
     found = aligned.groupBy("place", "item_place").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("windows"),
-        F.sum(pairs).alias("slots"),
-        F.sum(changed).alias("changed"),
+        F.sum("pairs").alias("slots"),
+        F.sum("changed").alias("changed"),
     )
     sizes = parts.groupBy(F.col("place").alias("item_place")).agg(F.countDistinct("pos").alias("item_windows"))
     found = found.join(sizes, "item_place").where(
