@@ -87,6 +87,23 @@ def test_one_conflicting_slot_drops_its_windows_only(spark):
     assert found[3].windows == found[1].windows == n and n - 8 <= found[0].windows < n and n / 2 < found[2].windows < n
 
 
+def test_names_at_the_start_of_sentences_are_slots(spark):
+    question = "Alice has 5 apples. Alice buys 3 more. How many apples does Alice have?"
+    plain = "Alice has 5 red apples. Alice gives 3 of them away.\nAlice wants to know what is left"
+    initials = "we know that J. MILLER has a new house with a garden and trees"
+    new = [
+        question.replace("Alice", "Bob").replace("5", "7").replace("3", "2"),
+        plain.replace("Alice", "Bob").replace("5", "7").replace("3", "2"),
+        initials.replace("J. MILLER", "K. JONES"), "it costs 17 or 12 cm", "a cut of 42 is 12 mm",
+    ]
+    docs = spark.createDataFrame(list(enumerate(new)), "doc_id long, text string")
+    items = [question, plain, initials, "12 cm", "42"]
+    items = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r.id, r.item): r for r in decontaminate.matches(docs, items).collect()}
+    assert set(found) == {(i, i) for i in range(3)} | {(3, 3), (4, 4)}
+    assert [found[i, i].copied for i in range(5)] == [False, False, False, True, True]
+
+
 def test_templates_find_every_planted_passage(spark, sf, texts):
     items = {r.item_id: WORD.findall(r.text.lower()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     want = {

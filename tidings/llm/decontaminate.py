@@ -2,10 +2,14 @@
 
 Template of a text: its words without punctuation at their ends and lower-cased, with
 typed placeholders for numbers, units and names (capitalised words that do not start a
-sentence).  Windows of ``WINDOW`` template words are hashed; shorter benchmark items
-are one window of their own length.  What looks like a name depends on case and on the
-sentence around it, so a window with names is hashed once more with them as plain words:
-copies are found in capitals, in small letters and in the midst of a sentence.  Windows of documents that hit a bitmap of the
+sentence, or that are capitalised in mid-sentence elsewhere in the text).  Windows of ``WINDOW``
+template words are hashed; shorter benchmark items are one window of their own length.
+What looks like a name depends on case and on the sentence around it, so a window with
+names is hashed once more with them as plain words: copies are found in capitals, in
+small letters and in the midst of a sentence.  A window with other words that may be
+names (capitalised ones at the start of a sentence, words in capitals, initials) is
+hashed once more with them as names.  A window with fewer than ``LITERALS`` plain words
+says little: it only counts where all slots are equal.  Windows of documents that hit a bitmap of the
 benchmark's windows are joined with those by hash.  The bitmap has a fixed size and
 only saves work; the join decides.
 
@@ -42,6 +46,7 @@ from tidings.llm.common import Numbers, documents, mix64, small_batches, stored,
 WINDOW = 8
 COVERAGE = 0.5
 RUN = 24
+LITERALS = 2
 MAP_BITS = 24  # the bitmap has 2 ** MAP_BITS bits: 2 MB, whatever the benchmark
 
 _HASH = partial(xxhash.xxh64_intdigest, seed=7)
@@ -66,6 +71,8 @@ UNITS = set(
 _LITERAL, _NUMBER, _UNIT, _NAME = range(4)
 _SLOT_HASH = np.array([0, 0xA11CE5A11CE5A11D, 0xB0B5B0B5B0B5B0B7, 0xC0DEC0DEC0DEC0DF], np.uint64)
 _BASE = 0x9E3779B97F4A7C15
+#: of a window's words, the first one's last: the powers that its hash takes
+_POWERS = np.array([pow(_BASE, k, 1 << 64) for k in range(WINDOW - 1, -1, -1)], np.uint64)
 
 
 def _lower(word: bytes) -> bytes:
@@ -85,7 +92,7 @@ class Templates:
 
     def _clear(self) -> None:
         self.numbers.forget()
-        self.table = np.zeros(1 << 12, [("hash", "u8"), ("kind", "i1"), ("capital", "?"), ("ends", "?")])
+        self.table = np.zeros(1 << 12, [("hash", "u8"), ("kind", "i1"), ("capital", "?"), ("maybe", "?"), ("ends", "?")])
 
     def _learn(self, first: int, words: list[bytes]) -> None:
         """Facts of new words, numbered from ``first``."""
@@ -98,18 +105,20 @@ class Templates:
                 kind = _NUMBER
             elif low in UNITS:
                 kind = _UNIT
-            capital = False
-            if len(core) > 1 and core[:1] not in _SMALL:
+            capital = maybe = False
+            if core and core[:1] not in _SMALL:
                 letters = core.decode("utf-8", "replace")
                 capital = len(letters) > 1 and letters[0].isupper() and letters[1:].islower()
+                # all in capitals, mixed (McKay), or an initial with its stop
+                maybe = letters[0].isupper() and (len(letters) > 1 or word.lstrip(b"\"'([").startswith(core + b"."))
             ends = word.rstrip(b"\"')]").endswith(_STOPS)
-            rows.append((_HASH(low or word), kind, capital, ends))
+            rows.append((_HASH(low or word), kind, capital, maybe, ends))
         while first + len(rows) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         self.table[first : first + len(rows)] = rows
 
-    def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Hash (of the word itself) and kind of each template word, and the words."""
+    def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """Hash (of the word itself) and kind of each template word, whether a plain one may be a name, the words."""
         if len(self.numbers) > self.most:
             self._clear()
         words: list[bytes] = []
@@ -121,33 +130,42 @@ class Templates:
         if new := self.numbers.new:
             self._learn(len(self.numbers) - len(new), new)
             self.numbers.new = []
-        hashes, kinds, capital, ends = (self.table[x][at] for x in ("hash", "kind", "capital", "ends"))
+        hashes, kinds, capital, maybe, ends = (self.table[x][at] for x in ("hash", "kind", "capital", "maybe", "ends"))
         starts = np.zeros(len(words), bool)
         starts[1:] = ends[:-1]
         starts[[f for f in firsts if f < len(words)]] = True
-        kinds = np.where((kinds == _LITERAL) & capital & ~starts, _NAME, kinds)
-        return hashes, kinds, words
+        maybe &= kinds == _LITERAL
+        capital &= maybe
+        names = capital & ~starts
+        if names.any() and (first := np.flatnonzero(capital & starts)).size:
+            names[first[np.isin(hashes[first], hashes[names])]] = True
+        return hashes, np.where(names, _NAME, kinds), maybe & ~names, words
 
     def windows(
         self, text: bytes, lengths: list[int]
     ) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
         """``length, window hashes, their positions, kinds, words`` for each window length.
 
-        A length comes twice when there are names; the second time names are plain
-        words, and only windows that hold one are given.
+        A length comes again when there are names, with these as plain words, and when
+        there are words that may be names, with these as names too; then only windows
+        that hold such a word are given.
         """
-        hashes, kinds, words = self.of(text)
-        named = np.r_[0, np.cumsum(kinds == _NAME)]
-        for names in (True, False) if named[-1] else (True,):
-            kinds = kinds if names else np.where(kinds == _NAME, _LITERAL, kinds)
+        hashes, kinds, maybe, words = self.of(text)
+        variants = [(kinds, None)]
+        if (named := kinds == _NAME).any():
+            variants.append((np.where(named, _LITERAL, kinds), named))
+        if maybe.any():
+            variants.append((np.where(maybe, _NAME, kinds), maybe))
+        for kinds, marked in variants:
             each = np.where(kinds == _LITERAL, hashes, _SLOT_HASH[kinds])
-            total = np.zeros(len(each), np.uint64)
-            for n in range(1, min(max(lengths), len(words)) + 1):
-                with np.errstate(over="ignore"):
-                    total = total[: len(words) - n + 1] * np.uint64(_BASE) + each[n - 1 :]
-                if n in lengths:
-                    at = np.arange(len(total)) if names else np.flatnonzero(named[n:] > named[:-n])
-                    yield n, mix64(total[at] ^ np.uint64(n)), at, kinds, words
+            if marked is not None:
+                sums = np.r_[0, np.cumsum(marked)]
+            for n in lengths:
+                if n > len(words):
+                    continue
+                total = np.correlate(each, _POWERS[-n:], "valid")
+                at = np.arange(len(total)) if marked is None else np.flatnonzero(sums[n:] > sums[:-n])
+                yield n, mix64(total[at] ^ np.uint64(n)), at, kinds, words
 
 
 _HITS = T.StructType(
@@ -290,7 +308,10 @@ def matches(
         F.col("place").alias("item_place"), F.col("pos").alias("item_pos"), "hash",
         "offsets", F.col("slots").alias("item_slots"), "length",
     )
-    joined = hits.join(mine, "hash").where(F.size("slots") == F.size("item_slots"))
+    equal = F.col("slots") == F.col("item_slots")
+    joined = hits.join(mine, "hash").where(
+        (F.size("slots") == F.size("item_slots")) & (equal | (F.col("length") - F.size("slots") >= LITERALS))
+    )
     # one alignment: at most as many rows as the item has windows
     aligned = joined.groupBy("place", "item_place", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(
         F.collect_set(F.struct("item_pos", "length", "offsets", "item_slots", "slots")).alias("hits")
