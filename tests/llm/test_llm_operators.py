@@ -329,6 +329,23 @@ def test_line_blocks():
     assert html.main_text("") == ""
 
 
+def test_silent_elements_end_where_they_should():
+    text = "word " * 30
+    for page in (
+        f"<html><head><title>t</title><meta charset=x><body><p>{text}</p>",
+        f"<head><title>t</title><p>{text}</p>",
+        f"<title>t</title><div><iframe src=x></div><p>{text}</p>",
+        f"<div><svg><path d=x></div><p>{text}</p>",
+        f"<svg viewBox=x/><iframe src=x /><p>{text}</p><script>x()</script>",
+        f"<p>{text}</p><div><select><option>a</div><!-- <script src=x> -->",
+        f"<!-- <script src=x> --><p>{text}</p><script>'<!--'</script><noscript><p>x</p></noscript>",
+        f"<div><object><p>x</div><template><p>x</p></template><p>{text}</p>",
+        f"<p><select><option>a<p>{text}</p>",
+    ):
+        assert html.main_text(page) == text.strip(), page
+    assert html.main_text(f"<p>{text}<noscript><div>x</div></noscript> on</p>") == f"{text}on"
+
+
 def test_articles_of_the_table(spark, sf):
     import html as entities
 

@@ -31,12 +31,14 @@ BLOCK = 3
 SURGE = 80
 
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL
-)
-SILENT = re.compile(
-    r"<(script|style|noscript|template|svg|textarea|select|iframe|object|head|title)\b[^>]*>.*?(?:</\1\s*>|\Z)",
-    re.DOTALL | re.IGNORECASE,
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL
 )
+#: elements whose content is raw text up to their end tag
+RAW = set("script style textarea title iframe".split())
+#: elements with content that is not shown
+HIDDEN = set("head noscript template svg foreignobject select object".split())
+#: what a head may hold; anything else ends it
+IN_HEAD = set("base basefont bgsound link meta noscript script style template title".split())
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure"
@@ -58,6 +60,15 @@ _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+def _end_of(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.IGNORECASE)
+
+
+_BODY = re.compile(r"<body(?=[\s/>])", re.IGNORECASE)
+_RAW_END = {x: _end_of(x) for x in RAW}
+_RAW_START = {x: re.compile(rf"<{x}(?=[\s/>])", re.IGNORECASE) for x in RAW}
+
+
 def _is_aside(name: str, attributes: str, in_main: bool) -> bool:
     if name in ASIDE or (name == "header" and not in_main):
         return True
@@ -77,10 +88,9 @@ def _is_aside(name: str, attributes: str, in_main: bool) -> bool:
 
 def lines(page: str) -> list[tuple[str, int, int]]:
     """``(text, weight, main)`` of each line; weight zero for boilerplate."""
-    page = SILENT.sub(" ", page)
     found: list[tuple[str, int, int]] = []
-    stack: list[tuple[str, int, int]] = []  # name, aside depth before, main depth before
-    aside = main = 0
+    stack: list[tuple[str, int, int, int]] = []  # name; aside, main and hidden depth before
+    aside = main = hidden = 0
     words: list[str] = []
     linked = 0
     in_link = 0
@@ -94,41 +104,82 @@ def lines(page: str) -> list[tuple[str, int, int]]:
             found.append((text, weight, main))
         words, linked = [], 0
 
-    for m in TAG.finditer(page):
-        if m.start() > at:
-            words.append(page[at : m.start()])
+    def add(text: str) -> None:
+        nonlocal linked, aside, main, hidden
+        if stack and stack[-1][0] == "head" and not text.isspace():
+            _, aside, main, hidden = stack.pop()
+        if not hidden:
+            words.append(text)
             if in_link:
-                linked += m.start() - at
+                linked += len(text)
+
+    def after_raw(name: str, closed: bool) -> int:
+        """Where a raw element ends: at its end tag, else with its parent."""
+        end = _RAW_END[name].search(page, at)
+        if closed:  # taken at its word unless an end tag follows that is its own
+            again = _RAW_START[name].search(page, at)
+            if not end or (again and again.start() < end.start()):
+                return at
+        if end:
+            return end.end()
+        for parent, *_ in reversed(stack):
+            if end := _end_of(parent).search(page, at):
+                return end.start()
+        body = _BODY.search(page, at) if stack and stack[-1][0] == "head" else None
+        return body.start() if body else len(page)
+
+    while m := TAG.search(page, at):
+        if m.start() > at:
+            add(page[at : m.start()])
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
             continue
+        if not m[1] and stack:
+            over = stack[-1][0]
+            # flow content ends a head; blocks end a drawing and an open choice
+            if (over == "head" and name not in IN_HEAD) or (over in ("svg", "select") and name in BLOCKS and name != "hr"):
+                _, aside, main, hidden = stack.pop()
+        if name in RAW:
+            if not m[1]:
+                at = after_raw(name, m[3].endswith("/"))
+                if not hidden:
+                    words.append(" ")
+            continue
         if name == "br":
-            words.append(" ")
+            add(" ")
             continue
         if name == "a":
             in_link = 0 if m[1] else 1
             continue
-        if name in BLOCKS:
+        if name in BLOCKS and not hidden:
             close()
+        elif name in HIDDEN and not hidden:
+            words.append(" ")
         if name in VOID or m[3].endswith("/"):
             continue
         if not m[1]:
             if name in BLOCKS:
                 if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == name:
-                    _, aside, main = stack.pop()
-                stack.append((name, aside, main))
+                    _, aside, main, hidden = stack.pop()
+                stack.append((name, aside, main, hidden))
                 aside += _is_aside(name, m[3], main > 0)
                 main += name in MAIN or 'role="main"' in m[3]
-        elif name in BLOCKS:
+            elif name in HIDDEN:
+                stack.append((name, aside, main, hidden))
+                hidden += 1
+        elif name in BLOCKS or name in HIDDEN:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    _, aside, main = stack[i]
+                    if hidden and not stack[i][3] and name in BLOCKS:
+                        close()
+                    _, aside, main, hidden = stack[i]
                     del stack[i:]
                     break
-            in_link = 0
+            if name in BLOCKS:
+                in_link = 0
     if at < len(page):
-        words.append(page[at:])
+        add(page[at:])
     close()
     return found
 
