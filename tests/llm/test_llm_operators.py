@@ -329,6 +329,19 @@ def test_line_blocks():
     assert html.main_text("") == ""
 
 
+def test_surge_and_dive_decide_with_and_without_a_container():
+    body, ad = ("word " * 30).strip(), "<div class=ad>buy</div>" * 4
+    for page, want in (
+        (f"<body><p>{body}</p>{ad}<p>The end.</p>", f"{body}\nThe end."),
+        ("<body><div><h1>Short</h1><p>Just this.</p></div>", "Short\nJust this."),
+        (f"<body><article><p>A teaser</p></article><div><p>{body}</p></div>", f"A teaser\n{body}"),
+        (f"<body><article><p>{body}</p></article>{ad}<article><p>Other</p></article>", body),
+        (f"<body><main><p>{body}</p>{ad}<div><p>Last.</p></div></main><div>bar</div>", f"{body}\nLast."),
+        (f"<body><div><p>{body}</p></div>{ad}<div><p>far</p></div>", body),
+    ):
+        assert html.main_text(page) == want, page
+
+
 def test_silent_elements_end_where_they_should():
     text = "word " * 30
     for page in (

@@ -4,10 +4,12 @@ Markup is stripped to lines: every block element starts a line, scripts, styles,
 comments and the head leave nothing.  Lines inside menus, headers, footers,
 sidebars, forms, notices, adverts and reader comments (by element, role, class or
 id) carry text of length zero, as does the text of links that make up most of a
-line.  The length of a block is the sum over ``BLOCK`` successive lines.  Where it
-surges above the threshold the main text starts, and where it falls to zero it ends;
-everything between is kept, short lines too.  A page that marks its article is
-searched inside that alone, where any text is a surge.
+line.  The length of a block is the sum over ``BLOCK`` successive lines.  A segment ends
+where that falls to zero, and where a marked container (article, main) starts or ends.
+A segment where it surges to the threshold is main text, all of its lines, short ones too.
+A container is a hint: lines inside count ``HINT`` times.  Where no segment surges, in
+containers or on a page without them, the longest is kept.  Segments too short to surge
+go with a kept neighbour in the same parent element or container.
 
 Defined results: a null or empty page gives an empty text; broken markup is read as
 far as it goes, unclosed elements end with their parent; repeated rows are extracted
@@ -29,6 +31,7 @@ from tidings.llm.common import small_batches, text_or_empty
 
 BLOCK = 3
 SURGE = 80
+HINT = 2
 
 TAG = re.compile(
     r"<!--(?:-?>|.*?(?:--!?>|\Z))|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL
@@ -86,10 +89,15 @@ def _is_aside(name: str, attributes: str, in_main: bool) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, int]]:
-    """``(text, weight, main)`` of each line; weight zero for boilerplate."""
-    found: list[tuple[str, int, int]] = []
+def lines(page: str) -> list[tuple[str, int, int, set[int]]]:
+    """``(text, weight, main, homes)`` of each line; weight zero for boilerplate.
+
+    Homes are the numbers of the parent element and of the containers around it.
+    """
+    found: list[tuple[str, int, int, set[int]]] = []
     stack: list[tuple[str, int, int, int]] = []  # name; aside, main and hidden depth before
+    numbers: list[int] = []  # of the elements in the stack
+    n_elements = 0
     aside = main = hidden = 0
     words: list[str] = []
     linked = 0
@@ -101,13 +109,28 @@ def lines(page: str) -> list[tuple[str, int, int]]:
         text = _SPACE.sub(" ", entities.unescape("".join(words))).strip()
         if text:
             weight = 0 if aside or (linked * 2 > len(text) and not main) else len(text)
-            found.append((text, weight, main))
+            homes = set(numbers[-2:-1])
+            for i in range(len(stack) if main else 0):
+                if (stack[i + 1][2] if i + 1 < len(stack) else main) > stack[i][2]:
+                    homes.add(numbers[i])
+            found.append((text, weight, main, homes))
         words, linked = [], 0
 
+    def push(name: str) -> None:
+        nonlocal n_elements
+        n_elements += 1
+        stack.append((name, aside, main, hidden))
+        numbers.append(n_elements)
+
+    def pop(i: int = -1) -> None:
+        nonlocal aside, main, hidden
+        _, aside, main, hidden = stack[i]
+        del stack[i:], numbers[i:]
+
     def add(text: str) -> None:
-        nonlocal linked, aside, main, hidden
+        nonlocal linked
         if stack and stack[-1][0] == "head" and not text.isspace():
-            _, aside, main, hidden = stack.pop()
+            pop()
         if not hidden:
             words.append(text)
             if in_link:
@@ -139,7 +162,7 @@ def lines(page: str) -> list[tuple[str, int, int]]:
             over = stack[-1][0]
             # flow content ends a head; blocks end a drawing and an open choice
             if (over == "head" and name not in IN_HEAD) or (over in ("svg", "select") and name in BLOCKS and name != "hr"):
-                _, aside, main, hidden = stack.pop()
+                pop()
         if name in RAW:
             if not m[1]:
                 at = after_raw(name, m[3].endswith("/"))
@@ -161,20 +184,19 @@ def lines(page: str) -> list[tuple[str, int, int]]:
         if not m[1]:
             if name in BLOCKS:
                 if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == name:
-                    _, aside, main, hidden = stack.pop()
-                stack.append((name, aside, main, hidden))
+                    pop()
+                push(name)
                 aside += _is_aside(name, m[3], main > 0)
                 main += name in MAIN or 'role="main"' in m[3]
             elif name in HIDDEN:
-                stack.append((name, aside, main, hidden))
+                push(name)
                 hidden += 1
         elif name in BLOCKS or name in HIDDEN:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     if hidden and not stack[i][3] and name in BLOCKS:
                         close()
-                    _, aside, main, hidden = stack[i]
-                    del stack[i:]
+                    pop(i)
                     break
             if name in BLOCKS:
                 in_link = 0
@@ -184,26 +206,38 @@ def lines(page: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def segments(rows: list[tuple[str, int, int, set[int]]]) -> list[list[int]]:
+    """Lines with text of each segment: up to a dive or to a container's border."""
+    found: list[list[int]] = []
+    for i, (_, weight, main, _) in enumerate(rows):
+        if not weight:
+            continue
+        if not found or i - found[-1][-1] > BLOCK or (main > 0) != (rows[found[-1][-1]][2] > 0):
+            found.append([])
+        found[-1].append(i)
+    return found
+
+
 def main_text(page: str) -> str:
     rows = lines(page)
-    if any(m and w for _, w, m in rows):
-        rows = [(t, w if m else 0, m) for t, w, m in rows]
-    weights = [w for _, w, _ in rows] + [0] * BLOCK
-    sums = [sum(weights[i : i + BLOCK]) for i in range(len(rows))]
-    kept: list[str] = []
-    i = 0
-    while i < len(rows):
-        if not weights[i]:
-            i += 1
-            continue
-        end, peak = i, 0
-        while end < len(rows) and sums[end]:  # the dive
-            peak = max(peak, sums[end])
-            end += 1
-        if peak >= SURGE or any(m for _, _, m in rows[i:end]):
-            kept += [t for t, w, _ in rows[i:end] if w]
-        i = end + 1
-    return "\n".join(kept)
+    parts = segments(rows)
+    weights = [w * (HINT if m else 1) for _, w, m, _ in rows]
+    inside = [rows[part[0]][2] > 0 for part in parts]
+    homes = [set().union(*(rows[i][3] for i in part)) for part in parts]
+    kept = [
+        any(sum(weights[k] for k in part[j : j + BLOCK] if k < i + BLOCK) >= SURGE for j, i in enumerate(part))
+        for part in parts
+    ]
+    # something of a container and of a page is always main text
+    for those in ([k for k, x in enumerate(inside) if x], range(len(parts))):
+        if those and not any(kept[k] for k in those):
+            kept[max(those, key=lambda k: sum(weights[i] for i in parts[k]))] = True
+    for order in (range(1, len(parts)), range(len(parts) - 2, -1, -1)):
+        back = 1 if order.step < 0 else -1
+        for k in order:
+            if kept[k + back] and inside[k] == inside[k + back] and homes[k] & homes[k + back]:
+                kept[k] = True
+    return "\n".join(rows[i][0] for part, keep in zip(parts, kept) if keep for i in part)
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
