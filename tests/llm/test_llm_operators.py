@@ -300,6 +300,31 @@ def test_secret_structures():
     assert kinds(base64.b64encode(ssh).decode()) == ["ssh"]
 
 
+def test_secrets_across_breaks_and_inside_runs():
+    number = _der(2, b"\x01" + bytes(range(40, 80)))
+    rsa = _der(0x30, _der(2, b"\0") + number * 8)
+    ssh = secrets.SSH_MAGIC + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b""))
+    ssh += (1).to_bytes(4, "big") + b"".join(len(x).to_bytes(4, "big") + x for x in (b"p" * 30, b"k" * 61))
+    for raw, kind in ((rsa, "der"), (ssh, "ssh")):
+        for text, width in ((base64.b64encode(raw).decode(), 64), (base64.b64encode(raw).decode(), 76), (raw.hex(), 64)):
+            rows = [text[i : i + width] for i in range(0, len(text), width)]
+            forms = ["\n".join(rows), "\r\n  ".join(rows), "\\n".join(rows), '" +\n  "'.join(rows), "\\n'\n'".join(rows), "\n> ".join(rows)]
+            forms += [text, text.replace("/", "\\/")]
+            if width == 64 and rows[0][:2] in ("30", "6f"):
+                forms += [":".join(text[i : i + 2] for i in range(0, len(text), 2)), ", 0x".join(text[i : i + 2] for i in range(0, len(text), 2))]
+            for form in forms:
+                for before, behind in (("x = '", "' y"), ("/path/", "\nmore words"), ("id_", ""), ("0x", "\n"), ("-", ".")):
+                    spans = [x for x in secrets.scan(f"{before}{form}{behind}".encode()) if x[1] > 2]
+                    assert [secrets.KINDS[k] for _, k, _ in spans] == [kind], (before, form)
+                    assert spans[0][0] == len(before) and spans[0][2] == len(before + form), (before, form)
+    text = base64.b64encode(rsa).decode()
+    lines = [text[i : i + 64] for i in range(0, len(text), 64)]
+    for gap in ("\\n", "\\\\n", '\\n"\n"', '" +\n"', "\n"):
+        pem = gap.join(["-----BEGIN PRIVATE KEY-----", *lines, "-----END PRIVATE KEY-----"])
+        assert [secrets.KINDS[k] for _, k, _ in secrets.scan(f'{{"key": "{pem}"}}'.encode())] == ["pem"], gap
+    assert secrets.scan(("\n".join(lines))[:-9].encode()) == []
+
+
 def test_secret_base_spans(spark):
     text = "é api_key = 'abcdef1' PASSWORD:short Token=0123456789abcdef01234567 AKIA" + "A1" * 9 + "\nſecret=abcdefgh"
     rows = spark.createDataFrame([(1, text), (2, None), (3, text)], "doc_id long, text string")

@@ -7,7 +7,11 @@ kinds are candidates that are decoded and parsed before they are reported:
 ``jwt``   three base64url parts, the first a JSON object that names an algorithm
 ``der``   a base64 or hexadecimal run whose DER lengths nest exactly and whose
           elements are those of a private key
-``ssh``   a base64 run of the OpenSSH private form with nested length prefixes
+``ssh``   the same of the OpenSSH private form with nested length prefixes
+
+Keys are read from their first bytes on, wherever these stand in a run, for as many
+digits as their own lengths ask for.  Line breaks, real or escaped, quote marks and what
+joins quoted lines may stand between the digits.
 
 Offsets are code points, ends exclusive; spans come by start, then by kind.  Defined
 results: a null text is empty and has no span; repeated rows are scanned each by
@@ -39,11 +43,37 @@ ASSIGN = re.compile(
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{24,}")  # the maximal runs of 24 and more
 PEM = re.compile(
-    rb"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,.-]*?)-----END \1-----"
+    rb"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,.\\\"'`;>#*|&-]*?)-----END \1-----"
 )
 JWT = re.compile(rb"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-RUN = re.compile(rb"[A-Za-z0-9+/_-]{40,}={0,2}")
-HEX_RUN = re.compile(rb"[0-9a-fA-F]{64,}")
+# between lines of digits: quoted parts that are joined, escaped breaks and slashes, blanks, quotes, margins
+JOIN = rb"""["'`]\s*[+.&]\s*["'`]|\\+(?:[nrt]|\r?\n|(?=/))|[\s"'`,;>#*|]"""
+JOINED = re.compile(JOIN)
+BREAK = re.compile(rb"(?:" + JOIN + rb")+")
+HEX_BREAK = re.compile(rb"(?:" + JOIN + rb"|:|0x|\\+x)+")
+DIGITS = re.compile(rb"[A-Za-z0-9+/_-]+")
+HEX_DIGITS = re.compile(rb"(?:(?!0x)[0-9a-fA-F])+")
+LEAST = 30  # bytes of a key
+# a DER sequence in base64 begins with M and one of A to P
+DER_START = re.compile(rb"M(?=[A-P][A-Za-z0-9+/_-]{18})")
+SSH_START = re.compile(rb"b3BlbnNzaC1rZXktdjEA")
+
+
+def _hex_bytes(pattern: str) -> bytes:
+    """Pattern of hexadecimal bytes, ``..`` being any, each with a mark before it or not."""
+    mark = r"(?:[:\s]|,?\s*0x|\\+x)?"
+    return "".join(mark + ("[0-9a-f]" * 2 if x == ".." else x) for x in pattern.split()).encode()
+
+
+_HEX_SIZES = ["[0-7][0-9a-f]", "81 ..", "82 .. ..", "83 .. .. .."]
+HEX_START = re.compile(
+    rb"30(?=" + rb"|".join(
+        _hex_bytes(f"{size} {inner}")
+        for size in _HEX_SIZES for inner in ("02 01 0[01]", *(f"30 {x} 06" for x in _HEX_SIZES[:3]))
+    ) + rb")",
+    re.IGNORECASE,
+)
+HEX_SSH_START = re.compile(b"6f" + _hex_bytes(" ".join(f"{x:02x}" for x in b"penssh-key-v1\0")), re.IGNORECASE)
 SSH_MAGIC = b"openssh-key-v1\0"
 
 
@@ -101,23 +131,96 @@ def private_der(data: bytes) -> bool:
     return False
 
 
-def private_ssh(data: bytes) -> bool:
-    """Whether the bytes are an OpenSSH private key: magic, then length-prefixed strings."""
+def ssh_size(data: bytes) -> int | None:
+    """Length of the OpenSSH private key that starts the bytes: magic, then length-prefixed strings."""
     if not data.startswith(SSH_MAGIC):
-        return False
+        return None
     at = len(SSH_MAGIC)
     for _ in range(3):  # cipher, derivation and its options
         if at + 4 > len(data):
-            return False
+            return None
         at += 4 + int.from_bytes(data[at : at + 4], "big")
     if at + 4 > len(data):
-        return False
+        return None
     count, at = int.from_bytes(data[at : at + 4], "big"), at + 4
     for _ in range(count + 1 if count < 100 else 0):  # public keys, then the private part
         if at + 4 > len(data):
-            return False
+            return None
         at += 4 + int.from_bytes(data[at : at + 4], "big")
-    return at == len(data)
+    return at if at <= len(data) else None
+
+
+def private_ssh(data: bytes) -> bool:
+    """Whether the bytes are one OpenSSH private key."""
+    return ssh_size(data) == len(data)
+
+
+def der_size(head: bytes) -> int | None:
+    """Length of the DER private key that may start with these bytes (15 or more)."""
+
+    def content(at: int) -> tuple[int, int] | None:
+        n = head[at + 1]
+        if n < 0x80:
+            return at + 2, n
+        width = n & 0x7F
+        if not 0 < width <= 4:
+            return None
+        return at + 2 + width, int.from_bytes(head[at + 2 : at + 2 + width], "big")
+
+    if head[0] != 0x30 or not (top := content(0)):
+        return None
+    at, n = top
+    if head[at : at + 3] in (b"\2\1\0", b"\2\1\1"):
+        return at + n
+    inner = content(at) if head[at] == 0x30 else None
+    return at + n if inner and head[inner[0] : inner[0] + 1] == b"\6" else None
+
+
+def _digits(body: bytes, at: int, most: int | None, hexed: bool) -> tuple[bytes, int]:
+    """Up to ``most`` digits from ``at`` on, across breaks, and the place behind the last."""
+    digits, breaks = (HEX_DIGITS, HEX_BREAK) if hexed else (DIGITS, BREAK)
+    parts, end, n = [], at, 0
+    while most is None or n < most:
+        if not (m := digits.match(body, at)):
+            break
+        part = m[0] if most is None else m[0][: most - n]
+        n, at = n + len(part), at + len(part)
+        parts.append(part)
+        end = at
+        if n != most and (gap := breaks.match(body, at)):
+            at = gap.end()
+    return b"".join(parts), end
+
+
+def _decoded(digits: bytes, hexed: bool) -> bytes:
+    if hexed:
+        return bytes.fromhex(digits[: len(digits) // 2 * 2].decode())
+    return _base64(digits[: -1 if len(digits) % 4 == 1 else None]) or b""
+
+
+def keys(body: bytes, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
+    """Spans of keys in base64 and hexadecimal digits outside those taken."""
+    for start, kind, hexed in ((DER_START, 5, False), (HEX_START, 5, True), (SSH_START, 6, False), (HEX_SSH_START, 6, True)):
+        end = 0
+        for m in start.finditer(body):
+            if m.start() < end or any(a <= m.start() < b for a, b in taken):
+                continue
+            if kind == 5:
+                digits, _ = _digits(body, m.start(), 40 if hexed else 20, hexed)
+                head = _decoded(digits, hexed)
+                size = der_size(head) if len(head) >= 15 else None
+            else:
+                size = ssh_size(_decoded(_digits(body, m.start(), None, hexed)[0], hexed))
+            if not size or size < LEAST:
+                continue
+            want = size * 2 if hexed else -(-size * 4 // 3)
+            digits, last = _digits(body, m.start(), want, hexed)
+            raw = _decoded(digits, hexed)
+            if len(digits) == want and (private_der(raw) if kind == 5 else private_ssh(raw)):
+                end = last
+                for _ in range(0 if hexed else 2):
+                    end += body[end : end + 1] == b"="
+                yield m.start(), kind, end
 
 
 def signed_token(data: bytes) -> bool:
@@ -132,7 +235,8 @@ def signed_token(data: bytes) -> bool:
 
 
 def _pem_body(data: bytes) -> bool:
-    lines = [x.strip() for x in data.strip().splitlines()]
+    # blanks and commas belong to header lines
+    lines = [x.strip() for x in JOINED.sub(lambda m: m[0] if m[0] in (b" ", b",") else b"\n", data).splitlines()]
     encrypted = any(x.startswith(b"Proc-Type:") for x in lines)
     raw = _base64(b"".join(x for x in b" ".join(x for x in lines if b":" not in x).split()))
     return bool(raw) and (private_der(raw) or private_ssh(raw) or (encrypted and len(raw) >= 64))
@@ -154,18 +258,7 @@ def scan(body: bytes) -> list[tuple[int, int, int]]:
                 taken.append(m.span())
     if b"eyJ" in body:
         found += [(m.start(), 4, m.end()) for m in JWT.finditer(body) if signed_token(m[0])]
-    for m in RUN.finditer(body):
-        if any(a <= m.start() < b for a, b in taken):
-            continue
-        raw = None
-        if HEX_RUN.fullmatch(m[0]) and len(m[0]) % 2 == 0:
-            raw = bytes.fromhex(m[0].decode())
-        if raw is None or not private_der(raw):
-            raw = _base64(m[0])
-        if raw and private_der(raw):
-            found.append((m.start(), 5, m.end()))
-        elif raw and private_ssh(raw):
-            found.append((m.start(), 6, m.end()))
+    found += keys(body, taken)
     return sorted(found)
 
 
