@@ -425,6 +425,18 @@ def test_shards_fit_and_split_no_more_than_needed(spark, texts):
             assert not any(x != k and x.startswith(k) for x in size)
 
 
+def test_written_shards_hold_every_row_once(spark, tmp_path):
+    rows = [(3, "x" * 100, "a")] * 300 + [(None, f"y{i}" * 20, None) for i in range(20)] + [(i, f"z{i}", "b") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard string").repartition(3)
+    sharding.write_shards(df, f"{tmp_path}/out", limit=5_000)
+    got = spark.read.parquet(f"{tmp_path}/out").select("doc_id", "text", "shard", F.input_file_name().alias("file")).collect()
+    assert Counter((r.doc_id, r.text, r.shard) for r in got) == Counter(rows)
+    size = Counter()
+    for r in got:
+        size[r.file.rsplit("/", 2)[1]] += len(r.text)
+    assert len(size) > 5 and max(size.values()) <= 5_000
+
+
 # ------------------------------------------------------------------ 10
 def test_chat_round_trip(spark):
     texts = [

@@ -25,6 +25,7 @@ from tidings.llm.common import documents, stored, text_or_empty
 LIMIT = 1 << 20  # bytes of text in a shard
 BITS = 120
 STEP = 6
+SHARD = "tidings_shard"  # the partition column of written shards
 
 
 def _bits(value: Column) -> Column:
@@ -60,12 +61,20 @@ def directory(rows: DataFrame, limit: int, low: int, depth: int) -> DataFrame:
     )
 
 
-def shards(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_bytes, shard, depth, shard_bytes, shard_rows`` for every row."""
+def shards(
+    docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", place_col: str | None = None
+) -> DataFrame:
+    """``id, n_bytes, shard, depth, shard_bytes, shard_rows`` for every row.
+
+    With ``place_col``, a column that numbers the rows, its value comes as ``place`` too.
+    """
+    at = F.col(place_col) if place_col else F.monotonically_increasing_id()
+    place = ["place"] if place_col else []
     rows = docs.select(
         F.col(id_col).alias("id"),
+        *[at.alias(x) for x in place],
         F.octet_length(text_or_empty(text_col)).cast("long").alias("n_bytes"),
-        F.concat(_bits(F.col(id_col)), _bits(F.monotonically_increasing_id())).alias("bits"),
+        F.concat(_bits(F.col(id_col)), _bits(at)).alias("bits"),
     )
     rows = stored(rows, "shard-rows")
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
@@ -76,7 +85,7 @@ def shards(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col
         found = stored(directory(rows, limit, low, depth), "directory")
         fit = found.where("shard IS NOT NULL")
         part = rows.join(fit, "cell").select(
-            "id", "n_bytes", "shard", F.length("shard").alias("depth"), "shard_bytes", "shard_rows"
+            "id", *place, "n_bytes", "shard", F.length("shard").alias("depth"), "shard_bytes", "shard_rows"
         )
         placed = part if placed is None else placed.union(part)
         over = found.where("shard IS NULL").select("cell")
@@ -87,9 +96,16 @@ def shards(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write whole rows below ``path/shard=<bits>``; ids must be unique here."""
-    assigned = shards(docs, limit, id_col, text_col).select(F.col("id").alias(id_col), "shard")
-    docs.join(assigned, id_col).repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write whole rows below ``path/tidings_shard=<bits>``, each once, whatever its id.
+
+    Rows are numbered once and stored, then joined with their shards by that number.
+    """
+    place = "_tidings_place"
+    rows = stored(docs.withColumn(place, F.monotonically_increasing_id()), "placed")
+    assigned = shards(rows, limit, id_col, text_col, place).select(
+        F.col("place").alias(place), F.col("shard").alias(SHARD)
+    )
+    rows.join(assigned, place).drop(place).repartition(SHARD).write.partitionBy(SHARD).parquet(path)
 
 
 def op9_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
