@@ -156,3 +156,8 @@ def test_stream_equals_batch_and_replays(spark, sf, models, tmp_path):
         assert scored.exceptAll(expected).isEmpty() and scored.count() == expected.count()
         refused = batch.where("status <> 200").select("msg_id", "status", "error")
         assert rejected.exceptAll(refused).isEmpty() and rejected.count() == refused.count()
+
+
+def test_word_vectors_train_on_many_partitions():
+    vectors = [x for x in classifiers.embed_pipeline().getStages() if hasattr(x, "getNumPartitions")]
+    assert [x.getNumPartitions() > 1 and x.getMaxIter() > 10 for x in vectors] == [True]

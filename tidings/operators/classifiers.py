@@ -183,19 +183,25 @@ def ngram_pipeline(n: int = 5, key: str = "cnn") -> Pipeline:
     )
 
 
+#: Word vectors are trained on so many partitions, whatever the table's size, and averaged
+#: after each pass; so they take more passes than on one.
+VECTOR_PARTITIONS = 16
+VECTOR_PASSES = 30
+
+
 def embed_pipeline(
     dim: int = 32,
     hidden: int = 32,
     version: int = 1,
     max_iter: int = 100,
     key: str = "transformer",
-    passes: int = 10,
-    partitions: int = 1,
+    passes: int = VECTOR_PASSES,
+    partitions: int = VECTOR_PARTITIONS,
 ) -> Pipeline:
     """Word vectors, mean pooling over words that are not padding, dense head.
 
-    Word vectors take ``passes`` over the messages on ``partitions`` partitions;
-    more partitions fit faster and want more passes.
+    Word vectors take ``passes`` over the messages on ``partitions`` partitions, all of
+    which train at once; more partitions want more passes.
     """
     words, vector = f"words_v{version}", f"embedding_v{version}"
     return Pipeline(
