@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from tidings.llm import chat, decontaminate, html, packing, ppm, quality, secrets, sharding, simhash, tokencount
+from tidings.llm import (
+    chat, collocations, decontaminate, html, packing, periods, ppm, quality, secrets, sharding, simhash, substrings,
+    tokencount,
+)
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +20,9 @@ QUERIES = {
         quality.op8_distribution_divergence,
         sharding.op9_extendible_shards,
         chat.op10_chat_round_trip,
+        substrings.op11_difference_cover_dedup,
+        periods.op12_basic_factor_runs,
+        collocations.op13_setm_collocations,
     )
 }
 
@@ -24,4 +30,6 @@ ORACLE = {
     "op8_distribution_divergence": quality.OP8_SQL,
     "op9_extendible_shards": sharding.OP9_SQL,
     "op10_chat_round_trip": chat.OP10_SQL,
+    "op11_difference_cover_dedup": substrings.OP11_SQL,
+    "op13_setm_collocations": collocations.OP13_SQL,
 }
