@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +49,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """Stored with a number a row, and the name of that column.
+
+    Numbers of rows that are only computed may differ between two uses, when a
+    lost task runs again; those that are stored don't.
+    """
+    place = "_tidings_place"
+    while place in df.columns:
+        place += "_"
+    return stored(df.withColumn(place, F.monotonically_increasing_id()), "rows"), place
+
+
+def bucketed(df: DataFrame, by: str, name: str) -> DataFrame:
+    """Stored in buckets of a column where the rows are, so that grouping by it moves none of them."""
+    spark = df.sparkSession
+    table_name = f"llm_{name}_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (
+        df.write.bucketBy(parts, by)
+        .option("path", f"{shared_folder(spark)}/{table_name}")
+        .option("compression", "zstd")
+        .saveAsTable(table_name)
+    )
+    table = spark.table(table_name)
+    table.schema  # resolved: files and buckets are known from here on
+    spark.sql(f"DROP TABLE {table_name}")  # the entry; the files stay
+    return table
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Slices of at most so many rows, so that a few long texts are held at once."""
     for batch in batches:
@@ -55,6 +85,22 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterato
             yield batch.slice(start, rows)
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts (strings or binary) behind each other, and how many each text has."""
+    lists = pc.ascii_split_whitespace(texts.view(pa.string()))
+    flat = lists.flatten()
+    real = pc.binary_length(flat).to_numpy() > 0
+    ends = np.r_[0, np.cumsum(real)][lists.offsets.to_numpy()]
+    return flat.filter(pa.array(real)), np.diff(ends)
+
+
+def join_words(words: pa.Array, sizes: np.ndarray) -> pa.Array:
+    """One binary a text from its words, a blank apart."""
+    ends = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), words.view(pa.string()))
+    return pc.binary_join(lists, " ").view(pa.binary())
+
+
 class Numbers(dict):
     """Numbers for words in order of first use; ``new`` lists those not dealt with yet."""
 
@@ -70,6 +116,12 @@ class Numbers(dict):
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
+    def of_array(self, words: pa.Array) -> np.ndarray:
+        """The same for an array of words; each different one is looked up once."""
+        coded = words.dictionary_encode()
+        known = self.of(coded.dictionary.view(pa.binary()).to_pylist())
+        return known[coded.indices.to_numpy()]
+
     def forget(self) -> None:
         self.clear()
         self.new = []

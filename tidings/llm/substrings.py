@@ -8,14 +8,18 @@ Anchors are stretches of ``WINDOW - v + 1`` words that start at positions whose
 residue modulo a period ``v`` is in a difference cover: any two residues differ by some
 pair of the cover.  So two equal windows, wherever they start, have anchors at the
 same distance from their starts, and these are equal.  Only cover positions are
-hashed and shuffled; where an anchor occurs again, it is extended to the windows around
-it, and these are compared as wholes by 128-bit hashes.
+hashed and shuffled.  Anchors that occur again are extended: first to all windows that
+can hold them.  Where these surroundings are the same, so is each of their windows, and
+all but the earliest are repeats.  Only the first of each surroundings of an anchor that
+has several, as at the ends of a passage, extends window by window.  Both are compared
+by 128-bit hashes.
 
 On Spark: documents become chunks of word numbers of bounded size, one row each, stored
-once.  A chunk sends each of its different anchors once and gets back those that occur
-again, then sends each of its different windows around those with the first place,
-and gets back those that start earlier in another chunk.  An anchor or passage that a
-third of all rows share is thereby one row a chunk, not one an occurrence.
+once, in buckets by their number, so what chunks get back comes to them.  A chunk sends each of its different anchors once and gets back those that occur
+again; it sends each of their different surroundings once, with the first place, and
+gets back which come earlier in another chunk and which anchors have several; then
+the same with the windows that are open.  An anchor or passage that a third of
+all rows share is thereby one row a chunk, not one an occurrence.
 
 Defined results: a null or blank text has no words and nothing is removed; null ids
 come first in the order, equal ids follow the order of their rows, so of repeated rows
@@ -36,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidings.llm.common import Numbers, documents, mix64, narrow, small_batches, stored
+from tidings.llm.common import Numbers, bucketed, documents, join_words, mix64, narrow, small_batches, split_words, stored
 
 WINDOW = 20
 CHUNK_WORDS = 1 << 20
@@ -106,14 +110,16 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, chunk_words: int) -> Dat
         for batch in batches:
             kind = batch.schema.field(0).type
             for part in small_batches([batch]):
-                for doc, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    names.append(words.of(body.split()))
-                    ids.append(doc)
-                    held += len(names[-1]) + 1
-                    if held >= chunk_words:
-                        yield _row(chunk, ids, names, words, kind)
-                        chunk += 1
-                        words, ids, names, held = Numbers(), [], [], 0
+                flat, sizes = split_words(part.column(1))
+                numbers = words.of_array(flat)
+                words.new.clear()
+                names += np.split(numbers, np.cumsum(sizes)[:-1])
+                ids += part.column(0).to_pylist()
+                held += len(numbers) + len(sizes)
+                if held >= chunk_words:
+                    yield _row(chunk, ids, names, words, kind)
+                    chunk += 1
+                    words, ids, names, held = Numbers(), [], [], 0
         if ids:
             yield _row(chunk, ids, names, words, kind)
 
@@ -128,36 +134,74 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, chunk_words: int) -> Dat
 class _Chunk:
     """A chunk's words behind each other."""
 
-    def __init__(self, sizes: bytes, names: bytes, words: bytes) -> None:
+    def __init__(self, row: pa.Table, window: int) -> None:
         unpack = zstandard.ZstdDecompressor().decompress
+        chunk, sizes, names, words = (row.column(x)[0].as_py() for x in ("chunk", "sizes", "names", "words"))
+        self.chunk, self.window = chunk, window
+        self.period, self.cover = cover_of(window)
+        self.anchor = window - self.period + 1
         self.sizes = np.frombuffer(sizes, np.int64)
         self.names = np.frombuffer(unpack(names), np.int32)
         self.words = unpack(words).split(b" ")
-        self.ends = np.cumsum(self.sizes)
-        self.starts = self.ends - self.sizes
+        ends = np.cumsum(self.sizes)
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
-
-    def lanes(self, n: int) -> list[np.ndarray]:
-        """``n`` 64-bit hashes of every word."""
+        self.start, self.end = (ends - self.sizes)[self.doc], ends[self.doc]
+        self.whole = np.arange(len(self.names)) + window <= self.end  # windows that start here
         raw = b"".join(map(xxhash.xxh3_128_digest, self.words))
-        both = np.frombuffer(raw, np.uint64).reshape(-1, 2)
-        return [np.ascontiguousarray(both[:, i])[self.names] for i in range(n)]
+        self.lanes = [np.ascontiguousarray(x)[self.names] for x in np.frombuffer(raw, np.uint64).reshape(-1, 2).T]
 
-    def anchors(self, lane: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Cover positions that have a whole anchor, and the anchors' hashes."""
-        period, cover = cover_of(window)
-        length = window - period + 1
-        hashes = rolled(lane, length)
-        inside = np.zeros(period, bool)
-        inside[list(cover)] = True
-        at = np.arange(len(hashes)) - self.starts[self.doc[: len(hashes)]]
-        fits = np.arange(len(hashes)) + length <= self.ends[self.doc[: len(hashes)]]
-        place = np.flatnonzero(inside[at % period] & fits)
+        hashes = rolled(self.lanes[0], self.anchor)
+        inside = np.zeros(self.period, bool)
+        inside[list(self.cover)] = True
+        at = np.arange(len(hashes))
+        start, end = self.start[: len(hashes)], self.end[: len(hashes)]
+        place = np.flatnonzero(inside[(at - start) % self.period] & (at + self.anchor <= end))
         return place, hashes[place]
 
-    def windows(self, window: int) -> np.ndarray:
-        """Whether a whole window starts at each word."""
-        return np.arange(len(self.names)) + window <= self.ends[self.doc]
+    def around(self, place: np.ndarray) -> np.ndarray:
+        """A hash of the words of all windows that hold the anchor at a place, and of where its document ends."""
+        left, length = self.period - 1, self.window + self.period - 1
+        gap = length  # what is outside a document is zero
+        shifted = np.arange(len(self.names)) + (self.doc + 1) * gap
+        lane = np.zeros(len(self.names) + (len(self.sizes) + 1) * gap, np.uint64)
+        lane[shifted] = self.lanes[1]
+        return rolled(lane, length)[shifted[place] - left]
+
+    def classes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Anchor places with their hashes, ordered into classes of equal surroundings."""
+        place, h = self.anchors()
+        g = self.around(place) if len(place) else h
+        return place, h, g, *_classes(h, g)
+
+    def judged(self, later: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows known to be repeats, and those still open.
+
+        ``later`` and ``mixed`` are first places of classes: those that another
+        chunk has earlier, and those whose anchor has other surroundings too.
+        """
+        place, _, _, order, new = self.classes()
+        repeat = np.ones(len(place), bool)
+        repeat[new] = np.isin(place[order[new]], later)
+        first = place[order[new]]
+        known = self._holding(place[order[repeat]]) & self.whole
+        maybe = self._holding(first[np.isin(first, mixed)]) & self.whole & ~known
+        return known, np.flatnonzero(maybe)
+
+    def _holding(self, place: np.ndarray) -> np.ndarray:
+        """Starts of windows that hold an anchor at one of the places."""
+        total = len(self.names)
+        steps = np.bincount(np.maximum(place - self.period + 1, self.start[place]), minlength=total + 1)
+        return np.cumsum(steps - np.bincount(place + 1, minlength=total + 1))[:total] > 0
+
+    def hashes(self, at: np.ndarray) -> list[np.ndarray]:
+        return [rolled(lane, self.window)[at] for lane in self.lanes] if len(at) else [np.zeros(0, np.uint64)] * 2
+
+    def rows(self, ids: pa.Array, at: np.ndarray, **columns: np.ndarray) -> pa.Table:
+        made = {k: x.view(np.int64) for k, x in columns.items()}
+        made |= {"chunk": np.full(len(at), self.chunk, np.int64), "at": at, "id": ids.take(pa.array(self.doc[at]))}
+        return pa.table(made)
 
 
 def _classes(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,10 +212,8 @@ def _classes(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
-def _spread(marks: np.ndarray, length: int, total: int) -> np.ndarray:
-    """Which of ``total`` places lie in a stretch of ``length`` that starts at a mark."""
-    steps = np.bincount(marks, minlength=total + 1) - np.bincount(np.minimum(marks + length, total), minlength=total + 1)
-    return np.cumsum(steps[:-1]) > 0
+def _ids(row: pa.Table) -> pa.Array:
+    return row.column("ids").combine_chunks().flatten()
 
 
 def _anchor_rows(rows: DataFrame, window: int) -> DataFrame:
@@ -179,19 +221,23 @@ def _anchor_rows(rows: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, *parts in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                one = _Chunk(*parts)
-                found, n = np.unique(one.anchors(one.lanes(1)[0], window)[1], return_counts=True)
+            for i in range(batch.num_rows):
+                one = _Chunk(pa.Table.from_batches([batch.slice(i, 1)]), window)
+                found, n = np.unique(one.anchors()[1], return_counts=True)
                 for at in range(0, len(found), 100_000):
                     some = found[at : at + 100_000].view(np.int64)
                     twice = np.minimum(n[at : at + 100_000], 2).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(some), chunk)), pa.array(some), pa.array(twice)], names=["chunk", "h", "n"]
+                        [pa.array(np.full(len(some), one.chunk)), pa.array(some), pa.array(twice)],
+                        names=["chunk", "h", "n"],
                     )
 
     return rows.select("chunk", "sizes", "names", "words").mapInArrow(run, "chunk long, h long, n int")
 
 
+LATER, MIXED, WINDOW_LATER = 1, 2, 3
+
+
 def deduplicate_substrings(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -200,9 +246,14 @@ def deduplicate_substrings(
     chunk_words: int = CHUNK_WORDS,
 ) -> DataFrame:
     """``id, n_words, n_removed, kept``: every row, ``kept`` being its words that stay, a blank apart."""
-    period, _ = cover_of(window)
-    rows = stored(chunks(docs, id_col, text_col, chunk_words), "chunks")
-    id_type = rows.schema["ids"].dataType.elementType
+    cover_of(window)
+    rows = bucketed(chunks(docs, id_col, text_col, chunk_words), "chunk", "chunks")
+    by_chunk = rows.groupBy("chunk")
+    id_field = T.StructField("id", rows.schema["ids"].dataType.elementType)
+
+    def longs(*names: str) -> T.StructType:
+        return T.StructType([T.StructField(x, T.LongType()) for x in names])
+
     again = (
         _anchor_rows(rows, window)
         .withColumn("n", F.sum("n").over(Window.partitionBy("h")))
@@ -210,70 +261,59 @@ def deduplicate_substrings(
         .select("chunk", "h")
     )
 
+    def surround(left: pa.Table, right: pa.Table) -> pa.Table:
+        one = _Chunk(left, window)
+        place, h, g, order, new = one.classes()
+        first = order[new]
+        first = first[np.isin(h[first], right.column("h").to_numpy().view(np.uint64))]
+        return one.rows(_ids(left), place[first], h=h[first], g=g[first])
+
+    found = by_chunk.cogroup(again.groupBy("chunk")).applyInArrow(surround, longs("h", "g", "chunk", "at").add(id_field))
+    # of the chunks that have a class, all but the earliest; anchors with several classes
+    same, anchor = Window.partitionBy("h", "g").orderBy("id", "chunk"), Window.partitionBy("h")
+    found = found.withColumns({"n": F.row_number().over(same), "few": F.min("g").over(anchor), "many": F.max("g").over(anchor)})
+    state = F.when(F.col("n") > 1, LATER).when(F.col("few") != F.col("many"), MIXED)
+    states = stored(found.select("chunk", "at", state.alias("state")).where("state IS NOT NULL"), "states")
+
+    def judge(one: _Chunk, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        at, state = right.column("at").to_numpy(), right.column("state").to_numpy()
+        return one.judged(at[state == LATER], at[state == MIXED])
+
     def extend(left: pa.Table, right: pa.Table) -> pa.Table:
-        one = _Chunk(*(left.column(x)[0].as_py() for x in ("sizes", "names", "words")))
-        known = np.sort(right.column("h").to_numpy().view(np.uint64))
-        lanes = one.lanes(2)
-        place, found = one.anchors(lanes[0], window)
-        if len(known):
-            hit = place[known[np.minimum(np.searchsorted(known, found), len(known) - 1)] == found]
-        else:
-            hit = place[:0]
-        # windows that hold such an anchor start up to period - 1 words before it
-        near = _spread(np.maximum(hit - period + 1, 0), period, len(one.names)) if len(hit) else np.zeros(len(one.names), bool)
-        at = np.flatnonzero(near & one.windows(window))
-        a, b = (rolled(lane, window)[at] for lane in lanes) if len(at) else (np.zeros(0, np.uint64),) * 2
+        one = _Chunk(left, window)
+        at = judge(one, right)[1]
+        a, b = one.hashes(at)
         order, new = _classes(a, b)
         first = order[new]
-        ids = left.column("ids").combine_chunks().flatten()
-        return pa.table(
-            {
-                "a": a[first].view(np.int64), "b": b[first].view(np.int64),
-                "chunk": np.full(len(first), left.column("chunk")[0].as_py(), np.int64),
-                "at": at[first], "id": ids.take(pa.array(one.doc[at[first]])),
-            }
-        )
+        return one.rows(_ids(left), at[first], a=a[first], b=b[first])
 
-    schema = T.StructType(
-        [T.StructField(x, T.LongType()) for x in ("a", "b", "chunk", "at")] + [T.StructField("id", id_type)]
-    )
-    found = rows.groupBy("chunk").cogroup(again.groupBy("chunk")).applyInArrow(extend, schema)
-    # of the chunks that have a window, all but the earliest
+    open_ = by_chunk.cogroup(states.groupBy("chunk")).applyInArrow(extend, longs("a", "b", "chunk", "at").add(id_field))
     order = F.row_number().over(Window.partitionBy("a", "b").orderBy("id", "chunk"))
-    later = found.withColumn("n", order).where("n > 1").select("chunk", "at")
+    later = open_.withColumn("n", order).where("n > 1").select("chunk", "at", F.lit(WINDOW_LATER).alias("state"))
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
-        one = _Chunk(*(left.column(x)[0].as_py() for x in ("sizes", "names", "words")))
+        one = _Chunk(left, window)
+        known, at = judge(one, right)
+        order, new = _classes(*one.hashes(at))
+        # of equal open windows all but the first place here; that one as the other chunks say
+        repeat = np.ones(len(at), bool)
+        repeat[order[new]] = False
+        mine = right.filter(pa.array(right.column("state").to_numpy() == WINDOW_LATER))
+        known[at[repeat]] = True
+        known[mine.column("at").to_numpy()] = True
         total = len(one.names)
-        starts = np.flatnonzero(one.windows(window))
-        gone = np.zeros(total, bool)
-        gone[right.column("at").to_numpy()] = True
-        if len(starts):
-            a, b = (rolled(lane, window)[starts] for lane in one.lanes(2))
-            order, new = _classes(a, b)
-            # all of a value but its first place here; that one as the other chunks say
-            rest = np.ones(len(order), bool)
-            rest[new] = gone[starts[order[new]]]
-            marks = starts[order[rest]]
-            covered = _spread(marks, window, total) if len(marks) else np.zeros(total, bool)
-        else:
-            covered = np.zeros(total, bool)
-        stay = [one.words[i] for i in one.names[~covered].tolist()]
-        n_kept = np.bincount(one.doc[~covered], minlength=len(one.sizes))
-        ends = np.r_[0, np.cumsum(n_kept)].tolist()
+        marks = np.flatnonzero(known)
+        steps = np.bincount(marks, minlength=total + 1) - np.bincount(marks + window, minlength=total + 1)
+        stay = np.cumsum(steps)[:total] <= 0
+        n_kept = np.bincount(one.doc[stay], minlength=len(one.sizes))
+        words = pa.array(one.words, pa.binary()).take(pa.array(one.names[stay]))
         return pa.table(
-            {
-                "id": left.column("ids").combine_chunks().flatten(),
-                "n_words": one.sizes, "n_removed": one.sizes - n_kept,
-                "kept": pa.array([b" ".join(stay[x:y]) for x, y in zip(ends, ends[1:])], pa.binary()),
-            }
-        )
+            {"id": _ids(left), "n_words": one.sizes, "n_removed": one.sizes - n_kept, "kept": join_words(words, n_kept)}
+        )
 
-    schema = T.StructType(
-        [T.StructField("id", id_type), T.StructField("n_words", T.LongType())]
-        + [T.StructField("n_removed", T.LongType()), T.StructField("kept", T.BinaryType())]
-    )
-    out = rows.groupBy("chunk").cogroup(later.groupBy("chunk")).applyInArrow(remove, schema)
+    schema = T.StructType([id_field, *longs("n_words", "n_removed")]).add("kept", T.BinaryType())
+    marks = states.union(later)
+    out = by_chunk.cogroup(marks.groupBy("chunk")).applyInArrow(remove, schema)
     return out.withColumn("kept", F.col("kept").cast("string"))
 
 
