@@ -27,12 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidings.llm.common import Numbers, documents, small_batches, stored, text_or_empty
+from tidings.llm.common import Numbers, documents, small_batches, split_words, stored, text_or_empty
 
 LEAST = 30
 LONGEST = 4
@@ -46,9 +47,10 @@ _FROM = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t,;:!?\n\v\f\r"
 _TABLE = bytes.maketrans(_FROM, _FROM[:26].lower() + b" " + BREAK * 9)
 
 
-def pieces(body: bytes) -> list[bytes]:
-    """The words, with a break between pieces and at the end."""
-    return body.translate(_TABLE).replace(BREAK, b" . ").split() + [BREAK]
+def pieces(bodies: pa.Array) -> pa.Array:
+    """The words of binary texts, with a break between pieces and at the end of a text."""
+    spaced = [x.translate(_TABLE).replace(BREAK, b" . ") + b" ." for x in bodies.to_pylist()]
+    return split_words(pa.array(spaced, pa.binary()))[0]
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -85,16 +87,17 @@ def _occurrences(docs: DataFrame, text_col: str, lang_col: str, chunk_words: int
 
         for batch in batches:
             for part in small_batches([batch]):
-                for lang, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                langs = part.column(0).dictionary_encode()
+                for i, lang in enumerate(langs.dictionary.to_pylist()):
                     if lang not in made:
                         made[lang] = (Numbers(), [])
                         made[lang][0].of([BREAK])
                         sizes[lang] = 0
                     words, parts = made[lang]
-                    parts.append(words.of(pieces(body)))
+                    parts.append(words.of_array(pieces(part.column(1).filter(pc.equal(langs.indices, i)))))
                     words.new.clear()
                     sizes[lang] += len(parts[-1])
-                    if sum(sizes.values()) >= chunk_words:
+                    while sum(sizes.values()) >= chunk_words:
                         yield emit(max(sizes, key=sizes.get))
         for lang in list(made):
             yield emit(lang)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidings.llm.common import WORD, Numbers, documents, narrow, small_batches, text_or_empty
+from tidings.llm.common import WORD, Numbers, documents, join_words, narrow, small_batches, split_words, text_or_empty
 
 MIN_POWER = 4
 MIN_LENGTH = 6
@@ -84,22 +84,16 @@ def runs(
     return starts[order], lengths[order], periods[order]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[list, list[list[bytes]]]]:
-    """Ids and split texts, so many words at a time or one text."""
-    ids: list = []
-    split: list[list[bytes]] = []
-    held = 0
+def _slices(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
+    """Ids, words and counts of texts, so many words at a time or one text."""
     for batch in small_batches(batches):
-        for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            one = body.split()
-            if ids and held + len(one) > words:
-                yield ids, split
-                ids, split, held = [], [], 0
-            ids.append(doc)
-            split.append(one)
-            held += len(one)
-    if ids:
-        yield ids, split
+        flat, sizes = split_words(batch.column(1))
+        ends = np.r_[0, np.cumsum(sizes)]
+        a = 0
+        while a < len(sizes):
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + words, "right")) - 1)
+            yield batch.column(0).slice(a, b - a), flat.slice(ends[a], ends[b] - ends[a]), sizes[a:b]
+            a = b
 
 
 def periodic_runs(
@@ -125,11 +119,8 @@ def periodic_runs(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, split in _slices(batches, slice_words):
-            numbers = Numbers()
-            parts = [numbers.of(words) for words in split]
-            sizes = np.array([len(x) for x in parts], np.int64)
-            start, length, period = runs(np.concatenate(parts), sizes, power, least)
+        for ids, flat, sizes in _slices(batches, slice_words):
+            start, length, period = runs(Numbers().of_array(flat), sizes, power, least)
             begins = np.cumsum(sizes) - sizes
             total = int(sizes.sum())
             steps = np.bincount(start + period, minlength=total + 1) - np.bincount(start + length, minlength=total + 1)
@@ -139,27 +130,12 @@ def periodic_runs(
             structs = pa.StructArray.from_arrays(
                 [pa.array(start - begins[doc]), pa.array(length), pa.array(period)], names=["start", "length", "period"]
             )
-            texts = []
-            for words, begin in zip(split, begins.tolist()):
-                mine = gone[begin : begin + len(words)]
-                stay = [words[i] for i in np.flatnonzero(~mine).tolist()] if mine.any() else words
-                texts.append(b" ".join(stay))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, rows_type), pa.array(sizes),
-                    pa.ListArray.from_arrays(pa.array(offsets), structs), pa.array(texts, pa.binary()),
-                ],
-                names=schema.names,
-            )
-
-    rows_type = _arrow_type(rows)
-    return rows.mapInArrow(run, schema).withColumn("collapsed", F.col("collapsed").cast("string"))
-
+            left = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[~gone], minlength=len(sizes))
+            texts = join_words(flat.filter(pa.array(~gone)), left)
+            found = pa.ListArray.from_arrays(pa.array(offsets), structs)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), found, texts], names=schema.names)
 
-def _arrow_type(rows: DataFrame) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(rows.schema["id"].dataType)
+    return rows.mapInArrow(run, schema).withColumn("collapsed", F.col("collapsed").cast("string"))
 
 
 def planted(docs: DataFrame) -> DataFrame:
