@@ -13,27 +13,27 @@ from tidings.functions import explain, scores, text, tokens
 
 MESSAGES = [
     (
-        "WINNER!! You have been selected to receive a £900 prize reward! To claim call 09061701461. Valid 12 hours only.",
-        "winner you have been selected to receive a 900 prize reward to claim call 09061701461 valid 12 hours only",
-        "winner tok_multiexclam you have been selected to receive a tok_money prize reward tok_exclam to claim call tok_phone valid tok_num hours only",
-        ["Winning Claim", "Financial Bait", "Call to Action", "Currency / Money", "Shortcode / Phone Number", "ALL CAPS"],
+        "JACKPOT!! Our draw picked your ticket, so a £450 gift card bonus waits! To apply call 08001234567 within 24 hours.",
+        "jackpot our draw picked your ticket so a 450 gift card bonus waits to apply call 08001234567 within 24 hours",
+        "jackpot tok_multiexclam our draw picked your ticket so a tok_money gift card bonus waits tok_exclam to apply call tok_phone within tok_num hours",
+        ["Financial Bait", "Call to Action", "Currency / Money", "Shortcode / Phone Number", "ALL CAPS"],
     ),
     (
-        "Urgent! Your mobile number has won a 2000 pound prize. Call 09058094507 from a landline. Claim now. Expires 12h.",
-        "urgent your mobile number has won a 2000 pound prize call 09058094507 from a landline claim now expires 12h",
-        "urgent tok_exclam your mobile number has won a tok_money prize call tok_phone from a landline claim now expires 12h",
+        "Alert! The lucky winner gets a 750 pound coupon. Reply 08451112223 from any phone. Limited offer. Ends 6pm.",
+        "alert the lucky winner gets a 750 pound coupon reply 08451112223 from any phone limited offer ends 6pm",
+        "alert tok_exclam the lucky winner gets a tok_money coupon reply tok_phone from any phone limited offer ends 6pm",
         ["Winning Claim", "Financial Bait", "Urgency / Pressure", "Call to Action", "Currency / Money", "Shortcode / Phone Number"],
     ),
     (
-        "Hey, are you coming to the meeting tomorrow? Let me know so I can save you a seat.",
-        "hey are you coming to the meeting tomorrow let me know so i can save you a seat",
-        "hey are you coming to the meeting tomorrow let me know so i can save you a seat",
+        "Hi, will the train be late tonight? Tell me soon and I will wait at the station.",
+        "hi will the train be late tonight tell me soon and i will wait at the station",
+        "hi will the train be late tonight tell me soon and i will wait at the station",
         [],
     ),
     (
-        "Can you pick up some milk on your way home? Thanks a lot!",
-        "can you pick up some milk on your way home thanks a lot",
-        "can you pick up some milk on your way home thanks a lot tok_exclam",
+        "Could we bake some bread for the picnic? That would be great!",
+        "could we bake some bread for the picnic that would be great",
+        "could we bake some bread for the picnic that would be great tok_exclam",
         [],
     ),
     (

@@ -7,14 +7,13 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import cache
 
 from pyspark import inheritable_thread_target, keyword_only
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier,
     LogisticRegression,
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import HashingTF, Word2Vec
+from pyspark.ml.feature import Word2Vec
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
@@ -22,19 +21,22 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from tidings import fixed
+from tidings.operators.boosting import HistogramBoosting
 from tidings.operators.features import (
     IdsToWords,
+    PhraseVectorizer,
     SequenceVectorizer,
     TextNormalizer,
     TfidfVectorizer,
     WordTokenizer,
 )
 from tidings.operators.labelled import class_weights
+from tidings.operators.transitions import TransitionClassifier, TransitionFeatures
 from tidings.session import enable_checkpoints
 
-
-# Bins that phrases of the n-gram detector are hashed to.
-PHRASE_BINS = 1 << 18
+# Phrases of the n-gram detector, and how often one must be used to become one.
+PHRASES = 20_000
+PHRASE_USES = 2
 
 
 class RegularizedLogistic(Estimator, DefaultParamsReadable, DefaultParamsWritable):
@@ -134,16 +136,9 @@ def rf_pipeline(trees: int = 50, depth: int = 30, seed: int = 42, key: str = "rf
     return Pipeline(stages=[*tfidf_stages(1), learner])
 
 
-def _gbt(key: str, **params: object) -> GBTClassifier:
-    learner = GBTClassifier(seed=42, cacheNodeIds=True, checkpointInterval=10, **params)
-    for param, column in _outputs(key).items():
-        learner.set(learner.getParam(param), column)
-    return learner
-
-
 def gbt_pipeline(max_iter: int = 100, key: str = "xgb") -> Pipeline:
     """Boosted trees on TF-IDF."""
-    learner = _gbt(key, maxIter=max_iter, maxDepth=6, stepSize=0.3, featuresCol="tfidf_v1")
+    learner = HistogramBoosting(featuresCol="tfidf_v1", prefix=key, rounds=max_iter, depth=6, rate=0.3)
     return Pipeline(stages=[*tfidf_stages(1), learner])
 
 
@@ -151,38 +146,45 @@ def gbt_v2_pipeline(
     max_iter: int = 250,
     weight_col: str | None = "w",
     validation_col: str | None = None,
-    tolerance: float = 0.01,
+    patience: int = 20,
     key: str = "xgb_v2",
 ) -> Pipeline:
     """Boosted trees on signal-keeping uni- and bigrams, positives weighted.
 
-    With a validation column, boosting stops once rows flagged there gain less
-    than the tolerance.
+    With a validation column, boosting ends when the loss of rows flagged there has
+    not fallen for ``patience`` rounds, and the rounds up to the best one stay.
     """
-    extra = {"weightCol": weight_col} if weight_col else {}
-    if validation_col:
-        extra |= {"validationIndicatorCol": validation_col, "validationTol": tolerance}
-    learner = _gbt(
-        key, maxIter=max_iter, maxDepth=5, stepSize=0.06, subsamplingRate=0.85,
-        featureSubsetStrategy="0.85", featuresCol="tfidf_v2", **extra,
+    learner = HistogramBoosting(
+        featuresCol="tfidf_v2", prefix=key, rounds=max_iter, depth=5, rate=0.06, rowShare=0.85,
+        columnShare=0.85, weightCol=weight_col or "", heldCol=validation_col or "", patience=patience,
     )
     return Pipeline(stages=[*tfidf_stages(2), learner])
 
 
 def ngram_pipeline(n: int = 5, key: str = "cnn") -> Pipeline:
-    """Detector of phrases of up to n words inside the padded window."""
+    """Detector of phrases of up to n words inside the padded window, from a mined vocabulary."""
     return Pipeline(
         stages=[
             *sequence_stages(1),
-            IdsToWords(inputCol="ids_v1", outputCol="phrases", maxN=n),
-            HashingTF(
-                inputCol="phrases", outputCol="phrases_seen", binary=True, numFeatures=PHRASE_BINS
-            ),
+            IdsToWords(inputCol="ids_v1", outputCol="words_v1"),
+            PhraseVectorizer(inputCol="words_v1", outputCol="phrases_seen", longest=n),
             RegularizedLogistic(featuresCol="phrases_seen", prefix=key),
         ]
     )
 
 
+def sequence_pipeline(key: str = "lstm", pairs: int = 50_000) -> Pipeline:
+    """Which word follows which, in each class, inside the padded window."""
+    return Pipeline(
+        stages=[
+            *sequence_stages(1),
+            IdsToWords(inputCol="ids_v1", outputCol="words_v1"),
+            TransitionFeatures(inputCol="words_v1", outputCol="transitions"),
+            TransitionClassifier(featuresCol="transitions", prefix=key, maxPairs=pairs),
+        ]
+    )
+
+
 #: Word vectors are trained on so many partitions, whatever the table's size, and averaged
 #: after each pass; so they take more passes than on one.
 VECTOR_PARTITIONS = 16
@@ -239,6 +241,11 @@ def balance(df: DataFrame, label: str = "label", id_col: str = "msg_id") -> Data
     return df.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).drop("_copy")
 
 
+def _stages(model: Model) -> list:
+    """A fitted learner's stages; most have one."""
+    return model.stages if isinstance(model, PipelineModel) else [model]
+
+
 def fit_models(
     train: DataFrame,
     pipelines: Mapping[str, Pipeline],
@@ -284,7 +291,7 @@ def fit_models(
                 key: pool.submit(in_session(learner.fit), frame)
                 for key, (_, learner, frame) in jobs.items()
             }
-            return {k: PipelineModel([*jobs[k][0], run.result()]) for k, run in running.items()}
+            return {k: PipelineModel([*jobs[k][0], *_stages(run.result())]) for k, run in running.items()}
     finally:
         for frame in frames.values():
             frame.unpersist()

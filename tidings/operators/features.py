@@ -21,11 +21,13 @@ from tidings import fixed
 from tidings.functions.lookup import literal_lookup
 from tidings.functions.text import clean_v1, preprocess_v2
 from tidings.functions.tokens import ngrams, pad, sequence_words, tokens
-from tidings.operators.vocabulary import fit_vocab, fit_word_index
+from tidings.operators.vocabulary import fit_vocab, fit_word_index, frequent_phrases
 
 
 # Parts a word's uses are spread over when they meet a large word index.
 SALTS = 16
+# Words of an index that may travel with a plan.
+MOST_INLINE = 100_000
 
 
 class _Stage(HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -212,6 +214,48 @@ class IdsToWords(Transformer, _Stage):
         return df
 
 
+class PhraseVectorizer(Estimator, _Stage):
+    """Which of the frequent phrases of the training part a message has.
+
+    Phrases are mined level by level; the ``maxPhrases`` most used ones are kept,
+    ties going to the alphabetically first.
+    """
+
+    longest = _int_param("longest", "words of the longest phrase")
+    least = _int_param("least", "fewest uses of a phrase")
+    maxPhrases = _int_param("maxPhrases", "phrases kept")
+
+    @keyword_only
+    def __init__(self, *, inputCol="words", outputCol="phrases_seen", longest=5, least=2, maxPhrases=20_000):
+        super().__init__()
+        self._setDefault(inputCol="words", outputCol="phrases_seen", longest=5, least=2, maxPhrases=20_000)
+        self._set(**self._input_kwargs)
+
+    def _fit(self, df: DataFrame) -> PipelineModel:
+        source, out, longest = self.getInputCol(), self.getOutputCol(), self.getOrDefault(self.longest)
+        found = frequent_phrases(df, longest, self.getOrDefault(self.least), source)
+        kept = found.orderBy(F.desc("n"), "phrase").limit(self.getOrDefault(self.maxPhrases))
+        names = sorted(r["phrase"] for r in kept.select("phrase").collect())
+        runs = WordRuns(inputCol=source, outputCol=f"{out}_runs", maxN=longest)
+        counter = CountVectorizerModel.from_vocabulary(names or [""], inputCol=f"{out}_runs", outputCol=out)
+        return PipelineModel([runs, counter.setBinary(True)])
+
+
+class WordRuns(Transformer, _Stage):
+    """Words to runs of 1 to ``maxN`` words."""
+
+    maxN = _int_param("maxN", "longest run of words")
+
+    @keyword_only
+    def __init__(self, *, inputCol="words", outputCol="runs", maxN=1):
+        super().__init__()
+        self._setDefault(inputCol="words", outputCol="runs", maxN=1)
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn(self.getOutputCol(), ngrams(F.col(self.getInputCol()), 1, self.getOrDefault(self.maxN)))
+
+
 def known_ids(words: Column, index: dict[str, int], oov: int | None) -> Column:
     """Ids of a word array, in order, inside the row."""
     look_up = literal_lookup(index, "int")
@@ -227,15 +271,20 @@ def to_ids(
     words: str = "words",
     id_col: str = "msg_id",
     join: bool = False,
+    most: int = MOST_INLINE,
 ) -> DataFrame:
     """Word arrays to id arrays in word order: the input plus ``ids``.
 
     The word index is looked up inside each row, or joined on request, for an
-    index too large for a plan.  Both give the same ids, and null for null words.
+    index too large for a plan: one of more than ``most`` words is refused without it.
+    Both give the same ids, and null for null words.
     The join is salted, since a few words make up much of any text.
     """
     if not join:
-        index = {r["word"]: r["idx"] for r in word_index.select("word", "idx").collect()}
+        rows = word_index.select("word", "idx").limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"the word index has more than {most} words: join it")
+        index = {r["word"]: r["idx"] for r in rows}
         return df.withColumn("ids", known_ids(F.col(words), index, oov))
     placed = df.select(id_col, F.posexplode(words).alias("pos", "word"))
     salt = F.pmod(F.xxhash64(id_col, "pos"), F.lit(SALTS))

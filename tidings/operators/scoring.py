@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import PipelineModel
+from pyspark.ml.classification import MultilayerPerceptronClassificationModel
+from pyspark.ml.feature import Word2VecModel
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import FloatType
+from pyspark.sql.types import DataType, FloatType
 
 from tidings import fixed
 from tidings.functions.scores import decide
@@ -263,15 +266,63 @@ def skipped(registry: DataFrame, available: DataFrame) -> DataFrame:
     return registry.join(available.select("model_key"), "model_key", "left_anti")
 
 
-def batch_score(make_predict_fn: Callable, batch_size: int = 1024, input_len: int = fixed.MAXLEN):
-    """A vectorised scorer over id arrays: one float per row, Arrow batches."""
+def batch_score(
+    make_predict_fn: Callable, batch_size: int = 1024, input_len: int = fixed.MAXLEN, return_type: DataType | None = None
+):
+    """A vectorised scorer over id arrays: one number per row, Arrow batches."""
     return predict_batch_udf(
         make_predict_fn,
-        return_type=FloatType(),
+        return_type=return_type or FloatType(),
         batch_size=batch_size,
         input_tensor_shapes=[[input_len]],
     )
 
 
+def dense_predictor(vectors: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]]) -> Callable:
+    """A predict function over id arrays: masked mean of word vectors, then a dense net.
+
+    Row i of ``vectors`` belongs to id i; padding and ids without a vector are
+    zeros.  The mean counts all ids but padding.  Hidden layers are logistic, the
+    last one gives class shares, of which the second is returned.
+    """
+
+    def make() -> Callable[[np.ndarray], np.ndarray]:
+        def predict(ids: np.ndarray) -> np.ndarray:
+            ids = ids.astype(np.int64)
+            used = ids != 0
+            table = np.vstack([vectors, np.zeros(vectors.shape[1])])
+            rows = table[np.where(ids < len(vectors), ids, len(vectors))] * used[:, :, None]
+            x = rows.sum(axis=1) / np.maximum(used.sum(axis=1), 1)[:, None]
+            for weights, bias in layers[:-1]:
+                x = 1 / (1 + np.exp(-(x @ weights + bias)))
+            weights, bias = layers[-1]
+            x = x @ weights + bias
+            x = np.exp(x - x.max(axis=1, keepdims=True))
+            return x[:, 1] / x.sum(axis=1)
+
+        return predict
+
+    return make
+
+
+def exported(model: PipelineModel) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Word vectors by id and layer weights of a fitted pipeline of word vectors and a net.
+
+    The word index bounds the vectors, so they fit the driver and every task.
+    """
+    vectors = next(s for s in model.stages if isinstance(s, Word2VecModel))
+    net = next(s for s in model.stages if isinstance(s, MultilayerPerceptronClassificationModel))
+    rows = {int(r["word"]): r["vector"].toArray() for r in vectors.getVectors().collect()}
+    table = np.zeros((max(rows, default=0) + 1, vectors.getVectorSize()))
+    for i, vector in rows.items():
+        table[i] = vector
+    flat, sizes, layers, at = net.weights.toArray(), net.getLayers(), [], 0
+    for n, m in zip(sizes, sizes[1:]):
+        weights = flat[at : at + n * m].reshape(n, m)  # stored input by input
+        layers.append((weights, flat[at + n * m : at + n * m + m]))
+        at += n * m + m
+    return table, layers
+
+
 def best_only(df: DataFrame) -> DataFrame:
     return df.where("is_best")

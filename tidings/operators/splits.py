@@ -102,3 +102,54 @@ def assign_split_exact(
         .when(key <= cuts["val"], F.lit("val"))
         .otherwise(F.lit("train")),
     )
+
+
+def shuffle_positions(df: DataFrame, path: str, id_col: str = "msg_id", seed: int = fixed.SPLIT_SEED) -> DataFrame:
+    """``df`` with ``position``, each row's place (from 0) in a seeded shuffle; ids must be unique.
+
+    Rows are dealt to ranges of their digest and sorted there, no range in more
+    than one task's reach; a row's position is its place in its range after the
+    sizes of the ranges before.  The sorted ranges are written to ``path``, so that
+    counting and numbering see the same ones.
+    """
+    digest = _digest(id_col, seed)
+    place = F.monotonically_increasing_id()
+    dealt = df.withColumn("_digest", digest).repartitionByRange("_digest", id_col).sortWithinPartitions("_digest", id_col)
+    dealt.withColumns({"_range": F.shiftright(place, 33), "_row": place.bitwiseAND(F.lit((1 << 33) - 1))}).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    # over one row a range
+    before = F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")
+    starts = sizes.select("_range", before.alias("_start"))
+    placed = rows.join(starts, "_range").withColumn("position", F.col("_start") + F.col("_row"))
+    return placed.select(*df.columns, "position")
+
+
+def multiset_digest(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """``n, total, mix`` of the rows, in any order: their number, and the sum and xor of their hashes.
+
+    Two tables hold the same rows, repeats included, if these agree, up to a
+    chance of about one in 2^60.
+    """
+    fields = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns]
+    digest = F.md5(F.concat_ws("\x1f", *fields))
+    h = _hex_number(digest, 1, 15)
+    return df.groupBy(*(by or [])).agg(
+        F.count("*").alias("n"), F.sum(h.cast("decimal(38,0)")).alias("total"), F.bit_xor(h).alias("mix")
+    )
+
+
+def complete(parts: DataFrame, source: DataFrame, columns: list[str], part: str = "split") -> DataFrame:
+    """``part, n, total, mix, complete``: a digest of every part and of the source (``all``).
+
+    ``complete`` says that the parts together hold the rows of the source, each
+    once.  Each table is read once; nothing is compared row by row.
+    """
+    each = multiset_digest(parts, columns, [part]).withColumnRenamed(part, "part")
+    whole = multiset_digest(source, columns).select(F.lit("all").alias("part"), "n", "total", "mix")
+    # a few rows from here on
+    sums = each.agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.bit_xor("mix").alias("mix"))
+    same = sums.select(F.struct("n", F.col("total").cast("decimal(38,0)"), "mix")).scalar() == whole.select(
+        F.struct("n", "total", "mix")
+    ).scalar()
+    return each.union(whole).withColumn("complete", same)

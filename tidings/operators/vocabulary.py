@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidings import fixed
+from tidings.functions.tokens import ngrams
+from tidings.session import enable_checkpoints
 
 
 def _exploded(df: DataFrame, id_col: str, tokens: str) -> DataFrame:
@@ -83,3 +85,31 @@ def fit_word_index(
     kept = counts.orderBy(*by_use).limit(num_words - first_id)
     place = F.row_number().over(Window.orderBy(*by_use))
     return kept.select(F.col("term").alias("word"), (place + (first_id - 1)).alias("idx"), "n")
+
+
+def frequent_phrases(df: DataFrame, longest: int, least: int, words: str = "words") -> DataFrame:
+    """Runs of 1 to ``longest`` words that are used at least ``least`` times: phrase, length, n.
+
+    Mined level by level: a run only counts if both runs a word shorter, without
+    its first and without its last word, are frequent.  What cannot be frequent is
+    left out before the shuffle, where equal runs combine on the map side.  Words
+    must not hold blanks.
+    """
+    enable_checkpoints(df.sparkSession)
+    rows = df.select(words).persist()
+    found = level = None
+    try:
+        for n in range(1, longest + 1):
+            runs = rows.select(F.explode(ngrams(F.col(words), n, n)).alias("phrase"))
+            if level is not None:
+                known = level.select(F.col("phrase").alias("shorter"))
+                head = F.substring_index("phrase", " ", n - 1)
+                tail = F.substring_index("phrase", " ", 1 - n)
+                runs = runs.join(known, head == F.col("shorter"), "left_semi")
+                runs = runs.join(known, tail == F.col("shorter"), "left_semi")
+            # the next level reads this one twice
+            level = runs.groupBy("phrase").agg(F.count("*").alias("n")).where(F.col("n") >= least).checkpoint()
+            found = level if found is None else found.union(level)
+    finally:
+        rows.unpersist()
+    return found.select("phrase", F.size(F.split("phrase", " ")).alias("length"), "n")

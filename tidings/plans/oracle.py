@@ -342,6 +342,62 @@ FROM padded"""
 ORACLE["predict_batch"] = f"""
 WITH {IDS1} SELECT msg_id, round(least(known, 50) / 50.0::DOUBLE, 4) AS score FROM padded"""
 
+# ------------------------------------------------------------- vectors and positions
+_DIM = 8
+_CODES_2 = ", ".join(f"(((id * {2 * d + 3} + {7 * d * d}) % 1001 - 500) / 1000.0::DOUBLE)" for d in range(_DIM))
+VECTORS = f"""{IDS2}, placed AS (
+  SELECT msg_id, unnest(ids) AS id, generate_subscripts(ids, 1) - 1 AS pos FROM padded),
+tv AS (SELECT msg_id, pos, id, [{_CODES_2}] AS v FROM placed WHERE id <> 0),
+dims AS (SELECT msg_id, unnest(range({_DIM})) AS dim FROM padded)"""
+for _name, _how in (("max", "max"), ("mean", "avg")):
+    ORACLE[f"pool_positions_{_name}"] = f"""
+WITH {VECTORS}
+SELECT d.msg_id, d.dim, round(coalesce({_how}(v[d.dim + 1]), 0.0::DOUBLE), 9) AS value
+FROM dims d LEFT JOIN tv USING (msg_id) GROUP BY d.msg_id, d.dim"""
+_CODE = (
+    f"CASE WHEN d % 2 = 0 THEN sin(pos / pow(10000.0::DOUBLE, d / {_DIM}.0::DOUBLE))"
+    f" ELSE cos(pos / pow(10000.0::DOUBLE, (d - 1) / {_DIM}.0::DOUBLE)) END"
+)
+ORACLE["attention_pool"] = f"""
+WITH {VECTORS}, coded AS (
+  SELECT msg_id, pos, list_transform(range({_DIM}), lambda d: v[d + 1] + {_CODE}) AS x FROM tv),
+scored AS (
+  SELECT *, list_sum(list_transform(range({_DIM}), lambda d:
+           x[d + 1] * CASE WHEN d % 2 = 0 THEN 1 ELSE -1 END * (d + 1) / 2.0::DOUBLE)) / sqrt({_DIM}.0::DOUBLE) AS s FROM coded),
+shares AS (
+  SELECT *, exp(s - max(s) OVER (PARTITION BY msg_id)) AS e FROM scored),
+weighted AS (SELECT *, e / sum(e) OVER (PARTITION BY msg_id) AS w FROM shares)
+SELECT d.msg_id, d.dim, round(coalesce(sum(w * x[d.dim + 1]), 0.0::DOUBLE), 9) AS value
+FROM dims d LEFT JOIN weighted USING (msg_id) GROUP BY d.msg_id, d.dim"""
+TRAIN_IDS = f"""{IDS1}, trained AS (
+  SELECT msg_id, split.label, list_filter(padded.ids, lambda x: x <> 0) AS w
+  FROM padded JOIN split USING (msg_id) WHERE split.split = 'train')"""
+ORACLE["vocab_phrases"] = f"""
+WITH {TRAIN_IDS}, lens AS (SELECT w, unnest(range(1, 6)) AS length FROM trained),
+runs AS (SELECT w, length, unnest(range(1, len(w) - length + 2)) AS i FROM lens WHERE len(w) >= length)
+SELECT array_to_string(w[i:i + length - 1], ' ') AS phrase, length, count(*) AS n
+FROM runs GROUP BY ALL HAVING count(*) >= 3"""
+ORACLE["transition_counts"] = f"""
+WITH {TRAIN_IDS}, steps AS (SELECT label, w, unnest(range(1, len(w) + 1)) AS i FROM trained)
+SELECT CASE WHEN i > 1 THEN w[i - 1]::VARCHAR ELSE '' END AS prev, w[i]::VARCHAR AS word,
+       count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1
+FROM steps GROUP BY ALL"""
+ORACLE["shuffle_position"] = """
+SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id::VARCHAR), doc_id) - 1 AS position FROM documents"""
+_ROW = "concat_ws(chr(31), coalesce('=' || msg_id, '-'), coalesce('=' || text, '-'), coalesce('=' || label, '-'))"
+ORACLE["split_complete"] = f"""
+WITH {SPLIT}, h AS (SELECT split, ('0x' || substr(md5({_ROW}), 1, 15))::BIGINT AS h FROM split),
+d AS (
+  SELECT split AS part, count(*) AS n, sum(h)::VARCHAR AS total, bit_xor(h) AS mix FROM h GROUP BY split
+  UNION ALL SELECT 'all', count(*), sum(h)::VARCHAR, bit_xor(h) FROM h)
+SELECT *, true AS complete FROM d"""
+ORACLE["gbt_histogram"] = f"""
+WITH {VOCAB1}, has AS (
+  SELECT DISTINCT msg_id, term FROM (SELECT msg_id, unnest(t) AS term FROM toks WHERE split = 'train')),
+f AS (SELECT idx AS feature, label FROM has JOIN vocab USING (term) JOIN split USING (msg_id)
+      UNION ALL SELECT -1, label FROM split WHERE split = 'train')
+SELECT feature, sum(0.5::DOUBLE - label) AS g, 0.25::DOUBLE * count(*) AS h FROM f GROUP BY feature"""
+
 # ----------------------------------------------------- decisions, requests, replies
 # key, name, type, member, compare order, points per hit, base points
 _MODELS = """m(model_key, model_name, model_type, member, ord, per_hit, base) AS (VALUES
@@ -422,14 +478,16 @@ SELECT msg_id,
             WHEN msg_id % 19 = 4 THEN 'No models are loaded. Run training scripts first.' END AS error
 FROM asked"""
 _SOUND = "true AS label_agrees, true AS confident"
+_FITTED = _MODELS.replace("('transformer'", "('lstm', 'LSTM', 'DL', 2, 5, 0, 0), ('transformer'")
+ORACLE["predict_batch_contract"] = f"WITH {SPLIT} SELECT msg_id, true AS agree FROM split WHERE split.split = 'test'"
 ORACLE["compare_contract"] = f"""
-WITH {SPLIT}, {_MODELS}
+WITH {SPLIT}, {_FITTED}
 SELECT msg_id, model_key, model_name, model_type, member,
        row_number() OVER (PARTITION BY msg_id ORDER BY ord) AS display_idx, true AS one_best, {_SOUND}
 FROM split, m WHERE split.split = 'test'"""
 _TOTALS = "count(*) FILTER (label = 0) AS negatives, count(*) FILTER (label = 1) AS positives"
 ORACLE["eval_contract"] = f"""
-WITH {SPLIT}, {_MODELS} SELECT model_key, {_TOTALS} FROM split, m WHERE split.split = 'test' GROUP BY model_key"""
+WITH {SPLIT}, {_FITTED} SELECT model_key, {_TOTALS} FROM split, m WHERE split.split = 'test' GROUP BY model_key"""
 ORACLE["versions_contract"] = f"""
 WITH {SPLIT}, {_VERSIONED}
 SELECT model_key, family, version, {_TOTALS} FROM split, m WHERE split.split = 'test' GROUP BY ALL"""
@@ -538,6 +596,8 @@ SELECT model_key, family, version, f1, tn AS "TN", fp AS "FP", fn AS "FN", tp AS
 FROM e JOIN m USING (model_key)"""
 
 # ------------------------------------------------------------------ files and back
+ORACLE["src_first_existing"] = f"""
+WITH {SPLIT} SELECT text, label, count(*) AS n FROM split WHERE split.split = 'test' AND text NOT IN ({_NA}) GROUP BY ALL"""
 ORACLE["src_tsv_roundtrip"] = f"""
 WITH {SMS}, lines AS (SELECT label, {_collapse('text')} AS text FROM sms),
 keyed AS (SELECT *, row_number() OVER (PARTITION BY label, text) - 1 AS ordinal FROM lines),
@@ -560,4 +620,5 @@ SELECT msg_id AS id, CASE WHEN prediction = 1 THEN 'SPAM' ELSE 'HAM' END AS verd
        {_escape('(' + _preview('substr(text, 1, 120)', 70) + ')')} AS shown,
        strftime(ts, '%H:%M') AS time"""
 ORACLE["stream_history"] = f"{_NEWEST} FROM newest"
+ORACLE["stream_history_state"] = ORACLE["stream_history"]
 ORACLE["history_top20"] = f"{_NEWEST}, confidence, model_name FROM newest"

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Callable
 
 import numpy as np
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tidings import fixed, schemas
 from tidings.functions import explain, scores, text, tokens
-from tidings.operators import classifiers, evaluation, features, labelled, scoring, splits, vocabulary
+from tidings.operators import (
+    boosting, classifiers, evaluation, features, labelled, scoring, sequences, splits, transitions, vocabulary,
+)
 from tidings.plans.rules import VERSIONED_RULES, rule_predictions, rule_results
 from tidings.session import shared_folder
 from tidings.sources import artifacts, derived, messages, metrics, replies
@@ -313,6 +318,90 @@ def predict_batch(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Components of the fixed vectors and of the fixed attention query.
+DIM = 8
+
+
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """A vector for every word of the index, by a rule on its id."""
+    index = vocabulary.fit_word_index(_words(spark, sf, 2, "train"), oov=True)
+    ids = index.select(F.col("idx").cast("long").alias("id")).union(spark.range(1, 2))
+    parts = [((F.col("id") * (2 * d + 3) + 7 * d * d) % 1001 - 500) / 1000 for d in range(DIM)]
+    return ids.select("id", F.array(*parts).alias("vector"))
+
+
+def _token_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return sequences.token_vectors(_ids(spark, sf, 2), _vectors(spark, sf))
+
+
+def _dims(pooled: DataFrame) -> DataFrame:
+    values = pooled.select("msg_id", F.posexplode("vector").alias("dim", "value"))
+    return values.select("msg_id", F.col("dim").cast("long").alias("dim"), F.round("value", 9).alias("value"))
+
+
+@query
+def pool_positions_max(spark: SparkSession, sf: str) -> DataFrame:
+    """Largest value of each dimension over a message's words, padding left out."""
+    return _dims(sequences.pool_positions(_token_vectors(spark, sf), DIM, "max"))
+
+
+@query
+def pool_positions_mean(spark: SparkSession, sf: str) -> DataFrame:
+    return _dims(sequences.pool_positions(_token_vectors(spark, sf), DIM, "mean"))
+
+
+@query
+def attention_pool(spark: SparkSession, sf: str) -> DataFrame:
+    """Word vectors with position codes, averaged by attention to a fixed query."""
+    coded = sequences.with_positions(_token_vectors(spark, sf), DIM)
+    return _dims(sequences.attend(coded, [(-1) ** d * (d + 1) / 2 for d in range(DIM)]))
+
+
+def _id_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of the training part as words, padding left out."""
+    rows = _ids(spark, sf, 1).join(_split(spark, sf, "train").select("msg_id", "label"), "msg_id")
+    return features.IdsToWords(inputCol="ids", outputCol="words").transform(rows)
+
+
+@query
+def vocab_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """Phrases of up to five words that the training part uses three times or more."""
+    return vocabulary.frequent_phrases(_id_words(spark, sf), 5, 3).select("phrase", F.col("length").cast("long").alias("length"), "n")
+
+
+@query
+def transition_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """How often a word follows another one, in both classes of the training part."""
+    return transitions.transition_counts(_id_words(spark, sf))
+
+
+@query
+def shuffle_position(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's place in a seeded shuffle of all."""
+    docs = derived.table(spark, sf, "documents").select("doc_id")
+    return splits.shuffle_positions(docs, _work(spark, "shuffled"), "doc_id")
+
+
+@query
+def split_complete(spark: SparkSession, sf: str) -> DataFrame:
+    """The parts of the messages hold every message once, by digests that need no order."""
+    rows = _split(spark, sf)
+    found = splits.complete(rows, derived.labelled(spark, sf), ["msg_id", "text", "label"])
+    return found.select("part", "n", F.col("total").cast("string").alias("total"), "mix", "complete")
+
+
+@query
+def gbt_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    """Gradients and Hessians by feature before the first tree, values that are not zero in one bin."""
+    model = features.TfidfVectorizer().fit(_tokens_v1(spark, sf, "train"))
+    labels = _split(spark, sf, "train").select("msg_id", "label")
+    rows = model.transform(_tokens_v1(spark, sf, "train")).join(labels, "msg_id")
+    edges = boosting.quantile_edges(rows, "features", 1)
+    found = boosting.histograms(boosting.blocks(rows, "features", edges), boosting.Tree.empty(1), 0, len(edges))
+    sums = found.groupBy("feature").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    return sums
+
+
 # ----------------------------------------------------- decisions, requests, replies
 @query
 def threshold_confidence(spark: SparkSession, sf: str) -> DataFrame:
@@ -389,11 +478,16 @@ def compare_validate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stored_models(spark: SparkSession, sf: str) -> DataFrame:
-    """Keys of the registered models that have an artifact: one is fitted and saved."""
-    path = _work(spark, "models")
-    fitted = classifiers.fit_models(_split(spark, sf, "train"), {"lr": classifiers.lr_pipeline()})
-    for key, model in fitted.items():
-        artifacts.save_model(model, f"{path}/{key}")
+    """Keys of the registered models that have an artifact.
+
+    One is fitted and saved for an application and table, and shared by the
+    queries that look for artifacts.
+    """
+    path = f"{shared_folder(spark)}/models-{spark.sparkContext.applicationId}-{zlib.crc32(sf.encode()):x}"
+    if not messages.path_exists(spark, path):
+        fitted = classifiers.fit_models(_split(spark, sf, "train"), {"lr": classifiers.lr_pipeline()})
+        for key, model in fitted.items():
+            artifacts.save_model(model, f"{path}/{key}")
     loaded = artifacts.load_models(spark, {key: f"{path}/{key}" for key in fixed.COMPARE_ORDER})
     return artifacts.available(spark, loaded)
 
@@ -495,6 +589,18 @@ def v1_v2_pivot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ files and back
+@query
+def src_first_existing(spark: SparkSession, sf: str) -> DataFrame:
+    """The first of several files that exists, its columns renamed, rows with missing values left out."""
+    path = _work(spark, "first")
+    rows = _split(spark, sf, "test").select(F.col("text").alias("cleaned_text"), "label")
+    rows.write.options(header=True, quote='"', escape='"', quoteAll=True).csv(f"{path}/clean")
+    found = messages.read_first_existing(
+        spark, [(f"{path}/raw", {"raw_text": "text"}), (f"{path}/clean", {"cleaned_text": "text"})]
+    )
+    return found.groupBy("text", "label").agg(F.count("*").alias("n"))
+
+
 @query
 def src_tsv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Tab-separated messages written and read back, one line each."""
@@ -581,6 +687,22 @@ def stream_history(spark: SparkSession, sf: str) -> DataFrame:
     return history.render_history(history.read_history(spark, f"{path}/state")).select("id", "verdict", "shown", "time")
 
 
+@query
+def stream_history_state(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by keyed state, with a restart in between and a file that comes twice."""
+    path = _work(spark, "history-state")
+    turns = derived.table(spark, sf, "conversations")
+    halves = [turns.where("conv_id % 2 = 0"), turns.where("conv_id % 2 = 1 OR conv_id % 5 = 0")]
+    for half in halves:
+        half.repartition(2, "conv_id").write.mode("append").parquet(f"{path}/turns")
+        stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/turns")
+        stream = spark.sql(derived.SMS_SQL.replace("{conversations}", "{turns}"), turns=stream)
+        verdicts = _verdicts(_timed(stream, derived.table(spark, sf, "events")))
+        history.history_state_stream(verdicts, f"{path}/state", f"{path}/checkpoint").awaitTermination()
+    rows = history.read_state_history(spark, f"{path}/state")
+    return history.render_history(rows).select("id", "verdict", "shown", "time")
+
+
 def _stream(spark: SparkSession, sf: str, name: str) -> str:
     path = _work(spark, name)
     models = classifiers.fit_models(_split(spark, sf, "train"), {"lr": classifiers.lr_pipeline()})
@@ -625,6 +747,41 @@ _predict("xgb", classifiers.gbt_pipeline, "predict_gbt")
 _predict("xgb_v2", classifiers.gbt_v2_pipeline, "predict_gbt_v2", _weighted)
 _predict("cnn", classifiers.ngram_pipeline, "predict_ngram")
 _predict("transformer", classifiers.embed_pipeline, "predict_embed")
+_predict("lstm", classifiers.sequence_pipeline, "predict_seq")
+
+
+@query
+def predict_batch_model(spark: SparkSession, sf: str) -> DataFrame:
+    """A fitted net's forward pass on batches of ids, beside the pipeline's own scores."""
+    model = classifiers.fit_models(_train(spark, sf), {"transformer": classifiers.embed_pipeline()})["transformer"]
+    forward = scoring.batch_score(scoring.dense_predictor(*scoring.exported(model)), return_type=DoubleType())
+    scored = model.transform(_split(spark, sf, "test"))
+    own = vector_to_array(F.col("transformer_probability"))[1]
+    return scored.select("msg_id", forward("ids_v1").alias("score"), own.alias("own"))
+
+
+@query
+def predict_batch_contract(spark: SparkSession, sf: str) -> DataFrame:
+    """Both agree to a millionth for every message of the test part."""
+    agree = F.abs(F.col("score") - F.col("own")) < 1e-6
+    return predict_batch_model(spark, sf).select("msg_id", agree.alias("agree"))
+
+
+def _validated(spark: SparkSession, sf: str) -> DataFrame:
+    """Training and validation part; rows of the latter are flagged."""
+    rows = _split(spark, sf).where("split <> 'test'").withColumn("held", F.col("split") == "val")
+    return labelled.with_weights(rows, "scale_pos")
+
+
+@query
+def gbt_round_curve(spark: SparkSession, sf: str) -> DataFrame:
+    """Validation loss and accuracy after every round kept, boosting having stopped by patience."""
+    pipeline = classifiers.gbt_v2_pipeline(validation_col="held")
+    model = classifiers.fit_models(_validated(spark, sf), {"xgb_v2": pipeline})["xgb_v2"]
+    rows = _split(spark, sf, "val")
+    for stage in model.stages[:-1]:
+        rows = stage.transform(rows)
+    return boosting.round_curve(rows, model.stages[-1])
 
 
 def _all_models(spark: SparkSession, sf: str):
@@ -635,6 +792,7 @@ def _all_models(spark: SparkSession, sf: str):
             "rf": classifiers.rf_pipeline(),
             "xgb": classifiers.gbt_pipeline(),
             "cnn": classifiers.ngram_pipeline(),
+            "lstm": classifiers.sequence_pipeline(),
             "transformer": classifiers.embed_pipeline(),
         },
     )

@@ -23,6 +23,14 @@ def remove_path(spark: SparkSession, path: str) -> None:
     fs.delete(hadoop_path, True)
 
 
+def listed(spark: SparkSession, path: str, start: str) -> list[str]:
+    """Names in a folder that begin so."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(hadoop_path)]
+    return sorted(n for n in names if n.startswith(start))
+
+
 def read_messages(
     spark: SparkSession, path: str, sep: str = "\t", multiline: bool = False
 ) -> DataFrame:

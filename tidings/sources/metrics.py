@@ -1,14 +1,21 @@
-"""Metric documents: one JSON object that maps a key to a record."""
+"""Metric documents: one JSON object that maps a key to a record.
+
+An updated document is a folder of versions and a pointer to the current one.  A
+version is written whole before the pointer is replaced, in one rename, so a reader
+sees the old document or the new one, also when a write fails half-way.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidings import schemas
 from tidings.operators.evaluation import nest_confusion, upsert_metrics
-from tidings.sources.messages import path_exists
+from tidings.sources.messages import listed, path_exists, remove_path
 
 
 def read_metrics(
@@ -22,7 +29,7 @@ def read_metrics(
         if default is None:
             raise FileNotFoundError(f"{path} not found")
         return default
-    document = spark.read.text(path, wholetext=True)
+    document = spark.read.text(current_version(spark, path), wholetext=True)
     entries = F.from_json("value", f"map<string,struct<{_fields(schema)}>>")
     return (
         document.select(F.posexplode(entries).alias("pos", "model_key", "m"))
@@ -54,20 +61,50 @@ def write_metrics(df: DataFrame, path: str, schema: str = schemas.METRICS) -> No
     df.agg(F.to_json(entries).alias("value")).write.mode("overwrite").text(path)
 
 
+POINTER = "current"
+
+
+def current_version(spark: SparkSession, path: str) -> str:
+    """Where the document at ``path`` lies: the version its pointer names, or itself."""
+    if not path_exists(spark, f"{path}/{POINTER}"):
+        return path
+    name = spark.read.text(f"{path}/{POINTER}").first()[0]
+    return f"{path}/{name}"
+
+
+def swap(spark: SparkSession, path: str, name: str) -> None:
+    """Let the pointer at ``path`` name another version, in one rename."""
+    jvm = spark.sparkContext._jvm
+    fs_path = jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    staged = fs_path(f"{path}/staged-{uuid.uuid4().hex}")
+    out = staged.getFileSystem(conf).create(staged, True)
+    out.write(bytearray(name.encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs_path(path).getFileSystem(conf).getUri(), conf)
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(staged, fs_path(f"{path}/{POINTER}"), options)
+
+
 def update_metrics(spark: SparkSession, new: DataFrame, path: str) -> DataFrame:
     """Replace evaluated models in a stored document and keep the others.
 
-    The old document is read whole before it is overwritten.
+    The merged document is a new version; the one before it stays until the
+    next update, for readers that have opened it.
     """
     columns = ["model_key", *_names(schemas.METRICS)]
     fresh = new.select(*columns)
-    if path_exists(spark, path):
-        stored = read_metrics(spark, path).select(*columns)
-        fresh = upsert_metrics(stored, fresh)
-    rows = fresh.collect()
-    merged = spark.createDataFrame(rows, fresh.schema)
-    write_metrics(merged, path)
-    return merged
+    old = current_version(spark, path) if path_exists(spark, path) else None
+    if old:
+        fresh = upsert_metrics(read_metrics(spark, path).select(*columns), fresh)
+    name = f"version-{uuid.uuid4().hex}"
+    write_metrics(fresh, f"{path}/{name}")
+    swap(spark, path, name)
+    for version in listed(spark, path, "version-"):
+        if version != name and f"{path}/{version}" != old:
+            remove_path(spark, f"{path}/{version}")
+    return read_metrics(spark, path).select(*columns)
 
 
 def write_comparison(df: DataFrame, path: str) -> None:

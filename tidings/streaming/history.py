@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import sys
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StructType
 
 from tidings import fixed
 from tidings.functions.text import clock, escape_html, preview
 from tidings.sources.messages import path_exists, remove_path
 
+# Executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 COLUMNS = ["id", "ts", "is_spam", "confidence", "model_name", "message"]
 
 
@@ -70,3 +79,79 @@ def history_stream(verdicts: DataFrame, path: str, checkpoint: str, **trigger: o
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+# ------------------------------------------------------------------- keyed state
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def newest(rows: pd.DataFrame, n: int, by: list[str]) -> pd.DataFrame:
+    """The newest n entries of each group, an entry given twice once."""
+    rows = rows.drop_duplicates([*by, "id"], keep="last").sort_values(["ts", "id"], ascending=False)
+    return rows.groupby(by, sort=False, dropna=False).head(n) if by else rows.head(n)
+
+
+class NewestEntries(StatefulProcessor):
+    """Keeps the newest n entries of a key, and gives them out whenever the key has rows."""
+
+    def __init__(self, n: int, schema: StructType) -> None:
+        self.n, self.schema = n, schema
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.top = handle.getListState("top", self.schema)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        names = self.schema.names
+        parts = [pd.DataFrame([tuple(x) for x in self.top.get()], columns=names), *(r[names] for r in rows)]
+        top = newest(pd.concat([p for p in parts if len(p)], ignore_index=True), self.n, [])
+        self.top.put([tuple(x) for x in top.astype(object).itertuples(index=False, name=None)])
+        yield top.assign(key=key[0])[["key", *names]]
+
+    def close(self) -> None:
+        pass
+
+
+def history_state_stream(
+    verdicts: DataFrame, path: str, checkpoint: str, key: str | None = None, n: int = fixed.HISTORY_SIZE, **trigger: object
+) -> StreamingQuery:
+    """The newest entries of every value of ``key`` (of all rows without one), as keyed state.
+
+    Each task first cuts its rows to the newest n of a key, so a key with most of the
+    rows sends few.  State holds n entries a key, and an entry that comes again
+    changes nothing.  A batch writes the states it changed below its own number, so
+    a batch that runs again replaces its own output; after a restart the stream goes on from
+    its checkpoint.  State lives in RocksDB.
+    """
+    spark = verdicts.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    rows = history_entries(verdicts).withColumn("key", F.col(key).cast("string") if key else F.lit("all"))
+    rows = rows.select("key", *COLUMNS)
+
+    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield newest(part, n, ["key"])
+
+    entry = StructType([rows.schema[c] for c in COLUMNS])
+    states = (
+        rows.mapInPandas(cut, rows.schema)
+        .groupBy("key")
+        .transformWithStateInPandas(NewestEntries(n, entry), rows.schema, "Update", "None")
+    )
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return (
+        states.writeStream.foreachBatch(write)
+        .outputMode("update")
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def read_state_history(spark: SparkSession, path: str) -> DataFrame:
+    """The last written state of every key: ``key`` and the entries."""
+    states = spark.read.parquet(path)
+    last = F.max("batch_id").over(Window.partitionBy("key"))
+    return states.withColumn("_last", last).where("batch_id = _last").select("key", *COLUMNS)
