@@ -13,9 +13,9 @@ in which the byte was met, so the counts of a level are row counts of the one ab
 On Spark: texts are dealt into chunks of bounded size and stored once.  Every chunk
 gives its distinct byte windows and words with their training counts; these are
 summed over all chunks, window codes are computed where all windows with the same
-last two context bytes meet, and come back
-to the chunks that have them.  So the model is never gathered in one place: only the
-two lowest levels are broadcast, at most 65,792 rows.
+last three context bytes meet, and come back to the chunks that have them.  So the model
+is never gathered in one place: only the three lowest levels are broadcast, at most
+2 ** 24 windows of three bytes and what they end in.
 
 Defined results: a null or blank text is the end mark alone; null ids count as the
 empty text for the split; repeated rows are scored each by itself; a corpus without
@@ -26,25 +26,26 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidings.llm.common import Numbers, documents, small_batches, stored, text_or_empty
+from tidings.llm.common import Numbers, documents, small_batches, split_words, stored, text_or_empty
 from tidings.session import shared_folder
 
 ORDER = 5
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 16 << 20
 SLICE_BYTES = 4 << 20
 END = b"\n"  # never part of a word
 _DENSE = 1 << 25
+CODED_ROWS = 300_000
 
 
 # ------------------------------------------------------------------ adaptive form
@@ -133,21 +134,6 @@ def _body(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), starts
 
 
-def _key(windows: np.ndarray, order: int) -> list[bytes]:
-    """Binary keys: the end mark, then the window; no word starts with an end mark."""
-    raw = windows.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 7 - order :]
-    raw = np.concatenate([np.full((len(raw), 1), END[0], np.uint8), raw], axis=1)
-    flat, n = raw.tobytes(), order + 2
-    return [flat[i : i + n] for i in range(0, len(flat), n)]
-
-
-def _numbers(raw: np.ndarray) -> np.ndarray:
-    """Rows of bytes as big-endian numbers."""
-    wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, 8 - raw.shape[1] :] = raw
-    return wide.view(">u8").reshape(-1).astype(np.uint64)
-
-
 def _chunked(docs: DataFrame, id_col: str, text_col: str, train, chunk_bytes: int) -> DataFrame:
     """``chunk, id, body, train``: coded texts, compressed, in chunks of bounded size."""
     rows = docs.select(
@@ -208,31 +194,12 @@ def _gram_counts(bodies: list[bytes], train: list[bool], order: int) -> tuple[np
     return keys, np.bincount(at, np.concatenate(n), len(keys)).astype(np.int64)
 
 
-def _keys_of(rows: DataFrame, order: int) -> DataFrame:
-    """``chunk, key, n``: distinct windows and words of each chunk, with training counts.
+def _of_chunks(rows: DataFrame, count, schema: str) -> DataFrame:
+    """What ``count`` gives for the coded texts of each chunk, and whether to learn from them.
 
     A chunk may come from several tasks; its counts are then given in parts.
     """
 
-    def count(chunk: int, bodies: list[bytes], train: list[bool]) -> Iterator[pa.RecordBatch]:
-        keys, counts = _gram_counts(bodies, train, order)
-        words: Counter = Counter()
-        for text, t in zip(bodies, train):
-            if t:
-                words.update(text.split())
-        for text, t in zip(bodies, train):
-            if not t:
-                words.update(dict.fromkeys(text.split(), 0))
-        words[END] += sum(train)
-        names = _key(keys, order) + list(words)
-        n = counts.tolist() + list(words.values())
-        for at in range(0, len(names), 100_000):
-            some = names[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk] * len(some), pa.int64()), pa.array(some, pa.binary()), pa.array(n[at : at + 100_000], pa.int64())],
-                names=["chunk", "key", "n"],
-            )
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, bodies, train = None, [], []
         unpack = zstandard.ZstdDecompressor().decompress
@@ -247,18 +214,53 @@ def _keys_of(rows: DataFrame, order: int) -> DataFrame:
         if bodies:
             yield from count(chunk, bodies, train)
 
-    return rows.select("chunk", "body", "train").mapInArrow(run, "chunk long, key binary, n long")
+    return rows.select("chunk", "body", "train").mapInArrow(run, schema)
+
+
+def _pieces(chunk: int, name: str, keys: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(keys), 100_000):
+        some = keys.slice(at, 100_000)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(some), chunk)), some, pa.array(n[at : at + 100_000])], names=["chunk", name, "n"]
+        )
+
+
+def _grams_of(rows: DataFrame, order: int) -> DataFrame:
+    """``chunk, gram, n``: distinct windows of each chunk as numbers, with training counts."""
+
+    def count(chunk: int, bodies: list[bytes], train: list[bool]) -> Iterator[pa.RecordBatch]:
+        keys, n = _gram_counts(bodies, train, order)
+        yield from _pieces(chunk, "gram", pa.array(keys.view(np.int64)), n)
+
+    return _of_chunks(rows, count, "chunk long, gram long, n long")
 
 
-def _by_key(keys: DataFrame) -> DataFrame:
+def _words_of(rows: DataFrame) -> DataFrame:
+    """``chunk, word, n``: distinct words and the end mark, with training counts."""
+
+    def count(chunk: int, bodies: list[bytes], train: list[bool]) -> Iterator[pa.RecordBatch]:
+        numbers, n = Numbers(), np.zeros(0, np.int64)
+        for a, b in _sliced(bodies):
+            flat, sizes = split_words(pa.array(bodies[a:b], pa.binary()))
+            at = numbers.of_array(flat)
+            n = np.concatenate([n, np.zeros(len(numbers) - len(n), np.int64)])
+            n += np.bincount(at[np.repeat(np.array(train[a:b], bool), sizes)], minlength=len(n))
+        numbers.of([END])
+        n = np.append(n, sum(train))
+        yield from _pieces(chunk, "word", pa.array(list(numbers), pa.binary()), n)
+
+    return _of_chunks(rows, count, "chunk long, word binary, n long")
+
+
+def _by_key(keys: DataFrame, key: str) -> DataFrame:
     """The same rows in buckets of the key, so that later steps need not deal them again."""
     spark = keys.sparkSession
     name = f"llm_keys_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (
-        keys.repartition(parts, "key")
-        .write.bucketBy(parts, "key")
-        .sortBy("key")
+        keys.repartition(parts, key)
+        .write.bucketBy(parts, key)
+        .sortBy(key)
         .option("path", f"{shared_folder(spark)}/{name}")
         .option("compression", "zstd")
         .saveAsTable(name)
@@ -269,12 +271,30 @@ def _by_key(keys: DataFrame) -> DataFrame:
     return table
 
 
-def codes(windows: np.ndarray, counts: np.ndarray, low: np.ndarray, order: int) -> np.ndarray:
+def _levels_below(grams: DataFrame, order: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Level 0, 1 and, for an order above 2, 2 of the model: windows and in how many longer ones they end.
+
+    The windows of three bytes bound it, at most 2 ** 24 rows.
+    """
+    top = min(order - 1, 2)
+    longer = grams.where("n > 0").select(F.col("gram").bitwiseAND(F.lit((1 << 8 * (top + 2)) - 1)).alias("g")).distinct()
+    rows = longer.groupBy(F.col("g").bitwiseAND(F.lit((1 << 8 * (top + 1)) - 1)).alias("g")).count().toArrow()
+    keys, n = rows.column(0).to_numpy().astype(np.uint64), rows.column(1).to_numpy()
+    sort = np.argsort(keys)
+    levels = {top: (keys[sort], n[sort].astype(np.int64))}
+    for level in range(top - 1, -1, -1):
+        keys, n = np.unique(levels[level + 1][0] & np.uint64((1 << 8 * (level + 1)) - 1), return_counts=True)
+        levels[level] = (keys, n)
+    return levels
+
+
+def codes(
+    windows: np.ndarray, counts: np.ndarray, below: dict[int, tuple[np.ndarray, np.ndarray]], order: int
+) -> np.ndarray:
     """log10 probability of each window's last byte after the bytes before it.
 
-    ``windows`` are distinct and hold all windows that share the last two context
-    bytes with one of them; ``low[a, s]`` has the number of different windows of
-    three bytes that end in ``a s``.
+    ``windows`` are distinct and hold all windows that share the last three context
+    bytes with one of them; ``below`` has the levels up to two.
     """
     result, done = np.zeros(len(windows)), np.zeros(len(windows), bool)
     out_n, out_d = np.zeros(len(windows), np.int64), np.zeros(len(windows), np.int64)
@@ -282,14 +302,10 @@ def codes(windows: np.ndarray, counts: np.ndarray, low: np.ndarray, order: int)
     rows, n = windows[trained], counts[trained].astype(np.int64)
     sort = np.argsort(rows)
     rows, n = rows[sort], n[sort]
-    levels = {order: (rows, n)}
-    for level in range(order - 1, 1, -1):
+    levels = {**below, order: (rows, n)}
+    for level in range(order - 1, 2, -1):
         rows, n = np.unique(rows & np.uint64((1 << 8 * (level + 1)) - 1), return_counts=True)
         levels[level] = (rows, n)
-    full = np.flatnonzero(low.reshape(-1))
-    levels[1] = (full.astype(np.uint64), low.reshape(-1)[full].astype(np.int64))
-    rows, n = np.unique(levels[1][0] & np.uint64(255), return_counts=True)
-    levels[0] = (rows, n)
     for level in range(order, -1, -1):
         rows, n = levels[level]
         contexts, first, d = np.unique(rows >> np.uint64(8), return_index=True, return_counts=True)
@@ -321,26 +337,37 @@ def codes(windows: np.ndarray, counts: np.ndarray, low: np.ndarray, order: int)
     return result
 
 
-def _coded(grams: DataFrame, low: np.ndarray, order: int) -> DataFrame:
-    """``key, value``: the code of each window."""
+def _coded(grams: DataFrame, below: dict[int, tuple[np.ndarray, np.ndarray]], order: int) -> DataFrame:
+    """``gram, value``: the code of each window.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[bytes] = []
-        n: list[np.ndarray] = []
-        for batch in batches:
-            keys += batch.column(0).to_pylist()
-            n.append(batch.column(1).to_numpy())
-        if not keys:
-            return
-        raw = np.frombuffer(b"".join(keys), np.uint8).reshape(len(keys), -1)[:, 1:]
-        values = codes(_numbers(raw), np.concatenate(n), low, order)
-        for at in range(0, len(keys), 50_000):
+    Windows with the same last three context bytes meet, at most 2 ** 24 for each;
+    a task holds a bounded number of rows and what such a group has beyond them.
+    """
+
+    def ready(gram: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        values = codes(gram.view(np.uint64), n, below, order)
+        for at in range(0, len(gram), 50_000):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[at : at + 50_000], pa.binary()), pa.array(values[at : at + 50_000])], names=["key", "value"]
+                [pa.array(gram[at : at + 50_000]), pa.array(values[at : at + 50_000])], names=["gram", "value"]
             )
 
-    near = grams.repartition(F.substring("key", order, 2))
-    return near.select("key", "n").mapInArrow(run, "key binary, value double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            gram = np.concatenate([gram, batch.column(0).to_numpy()])
+            n = np.concatenate([n, batch.column(1).to_numpy()])
+            if len(gram) >= CODED_ROWS:
+                context = (gram >> 8) & 0xFFFFFF
+                cut = int(np.searchsorted(context, context[-1]))  # rows come sorted by it
+                if cut:
+                    yield from ready(gram[:cut], n[:cut])
+                    gram, n = gram[cut:], n[cut:]
+        if len(gram):
+            yield from ready(gram, n)
+
+    context = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFFFF))
+    near = grams.select("gram", "n").repartition(context).sortWithinPartitions(context)
+    return near.mapInArrow(run, "gram long, value double")
 
 
 def scores(
@@ -359,34 +386,29 @@ def scores(
     """
     spark = docs.sparkSession
     texts = stored(_chunked(docs, id_col, text_col, train, chunk_bytes), "texts")
-    keys = _by_key(_keys_of(texts, order))
-    total = stored(keys.groupBy("key").agg(F.sum("n").alias("n")), "totals")
-    is_gram = (F.octet_length("key") == order + 2) & F.startswith("key", F.lit(END))
-    grams, words = total.where(is_gram), total.where(~is_gram)
-    n_train, n_kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
+    grams, words = _by_key(_grams_of(texts, order), "gram"), _by_key(_words_of(texts), "word")
+    all_grams = stored(grams.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    all_words = stored(words.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    n_train, n_kinds = all_words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
     share = math.log10(n_train + n_kinds + 1)
-    # windows of two and three bytes: at most 65,536 rows reach the driver
-    three = grams.where("n > 0").select(F.substring("key", order, 3).alias("g")).distinct()
-    low = np.zeros((256, 256), np.int64)
-    for row in three.groupBy(F.substring("g", 2, 2).alias("p")).count().collect():
-        a, s = bytes(row["p"])
-        low[a, s] = row["count"]
-    values = _coded(grams, low, order).union(words.select("key", F.col("n").cast("double").alias("value")))
-    needed = keys.select("chunk", "key").join(values, "key")
+    values = _coded(all_grams, _levels_below(all_grams, order), order)
+    of_grams = grams.select("chunk", "gram").join(values, "gram")
+    of_words = words.select("chunk", "word").join(all_words, "word")
+    needed = of_grams.select("chunk", "gram", F.lit(None).cast("binary").alias("word"), "value").union(
+        of_words.select("chunk", F.lit(None).cast("long"), "word", F.col("n").cast("double"))
+    )
 
     def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        names = right.column("key").combine_chunks()
-        values = right.column("value").to_numpy()
-        offsets = np.frombuffer(names.buffers()[1], np.int32)[names.offset : names.offset + len(names) + 1]
-        data = np.frombuffer(names.buffers()[2], np.uint8)
-        gram = (np.diff(offsets) == order + 2) & (data[offsets[:-1]] == END[0])
-        known = _numbers(data[offsets[:-1][gram][:, None] + np.arange(1, order + 2)])
+        is_word = right.column("gram").is_null()
+        mine = right.filter(pc.invert(is_word))
+        known, code_of = mine.column("gram").to_numpy().view(np.uint64), mine.column("value").to_numpy()
         sort = np.argsort(known)
-        known, code_of = known[sort], values[gram][sort]
+        known, code_of = known[sort], code_of[sort]
+        mine = right.filter(is_word)
+        del right
         numbers = Numbers()
-        numbers.of(names.filter(pa.array(~gram)).to_pylist())
-        counts = np.zeros(len(numbers))
-        counts[numbers.of(names.filter(pa.array(~gram)).to_pylist())] = values[~gram]
+        numbers.of(mine.column("word").to_pylist())
+        counts = mine.column("value").to_numpy()
         logs = np.log10(counts + 1)
         unpack = zstandard.ZstdDecompressor().decompress
         packed = left.column("body").to_pylist()
@@ -400,11 +422,13 @@ def scores(
                 total = np.r_[np.zeros(order + 1), np.cumsum(code_of[place][number])]
                 # bytes of text i: from its start + order to the next start
                 sums.append(total[starts[1:]] - total[starts[:-1] + order])
-            for text in bodies:
-                at = numbers.of([*text.split(), END])
-                n_tokens.append(len(at))
-                n_known.append(int((counts[at] > 0).sum()))
-                base.append(math.fsum(logs[at]) - len(at) * share)
+                flat, sizes = split_words(pa.array(bodies[a:b], pa.binary()))
+                words_at = np.split(numbers.of_array(flat), np.cumsum(sizes)[:-1])
+                end = numbers[END]
+                for at in words_at:
+                    n_tokens.append(len(at) + 1)
+                    n_known.append(int((counts[at] > 0).sum() + (counts[end] > 0)))
+                    base.append(math.fsum(logs[at]) + logs[end] - (len(at) + 1) * share)
         n = len(packed)
         return pa.table(
             [
