@@ -112,10 +112,13 @@ def formatted(
 
 
 def read_back(done: DataFrame) -> DataFrame:
-    """Digests of what the parser recovers from ``formatted`` and ``loss``."""
+    """Digests of what the parser recovers from ``formatted``, and of what its ``spans`` cut out, unescaped."""
     done = done.withColumn("turns", parse(F.col("formatted")))
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t, i: F.get("loss", i)), lambda t: t["text"]), "")
+    cut = F.transform(
+        "spans", lambda s: unescape(F.substr("formatted", (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
+    )
+    loss = F.array_join(cut, "")
     done = done.withColumns({"all": text, "under": loss})
     return done.select(
         "conv",
