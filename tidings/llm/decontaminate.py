@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidings.llm.common import Numbers, documents, mix64, small_batches, stored, text_or_empty
+from tidings.llm.common import Numbers, documents, mix64, numbered, small_batches, stored, text_or_empty
 
 WINDOW = 8
 COVERAGE = 0.5
@@ -280,10 +280,11 @@ def matches(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
+    place_col: str | None = None,
 ) -> DataFrame:
     """``id, place, item, windows, item_windows, slots, changed, copied`` of contaminated documents.
 
-    ``place`` is the row's ``monotonically_increasing_id``.
+    ``place`` is the row's number, in ``place_col`` or else given here.
     """
     items = benchmark.select(
         F.col(item_col).alias("item"), text_or_empty(item_text_col).cast("binary").alias("body"),
@@ -299,8 +300,10 @@ def matches(
     if not lengths:
         lengths = [WINDOW]
     bits = _bitmap(parts)
+    if place_col is None:
+        docs, place_col = numbered(docs.select(*dict.fromkeys([id_col, text_col])))
     rows = docs.select(
-        F.monotonically_increasing_id().alias("place"), text_or_empty(text_col).cast("binary").alias("body"),
+        F.col(place_col).alias("place"), text_or_empty(text_col).cast("binary").alias("body"),
         F.col(id_col).alias("id"),
     )
     hits = _window_rows(rows.select("place", "body"), sorted(lengths), bits).drop("offsets", "length")
@@ -340,9 +343,9 @@ def _word_array(column: str):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that no benchmark item contaminates, with its columns."""
-    place = "_tidings_place"
-    bad = matches(docs, benchmark, id_col, text_col).select(F.col("place").alias(place)).distinct()
-    return docs.withColumn(place, F.monotonically_increasing_id()).join(bad, place, "left_anti").drop(place)
+    rows, place = numbered(docs)
+    bad = matches(rows, benchmark, id_col, text_col, place_col=place).select(F.col("place").alias(place)).distinct()
+    return rows.join(bad, place, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidings.llm.common import documents, mix64, narrow, small_batches, stored
+from tidings.llm.common import documents, mix64, narrow, numbered, small_batches, stored
 from tidings.llm.components import connected
 
 _HASH = partial(xxhash.xxh64_intdigest, seed=42)
@@ -340,8 +340,7 @@ def deduplicate(
     null ids are handled too (a null id is taken only when the group has no
     other).  The smallest row of a group is found by partial minima.
     """
-    place = "_tidings_place"
-    placed = docs.withColumn(place, F.monotonically_increasing_id())
+    placed, place = numbered(docs)
     both = placed.select(F.struct(F.col(id_col).alias("id"), F.col(place).alias("at")).alias("who"), text_col)
     rows = grouped(both, scheme, "who", text_col)
     order = F.struct(F.col("id.id").isNull(), F.col("id.id"), F.col("id.at"))
