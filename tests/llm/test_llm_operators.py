@@ -172,7 +172,7 @@ def test_packing_keeps_every_id_once(spark, odd, texts):
     whole = spark.createDataFrame(list(texts.items()), "doc_id long, text string").union(odd.select("doc_id", "text"))
     whole = whole.withColumn("doc_id", F.monotonically_increasing_id()).persist()
     source = {r.doc_id: r.text or "" for r in whole.collect()}
-    rows = packing.packed(whole, round_tokens=20_000).collect()
+    rows = packing.packed(whole.coalesce(2), round_tokens=20_000).collect()
     pieces, windows, steps = defaultdict(list), defaultdict(list), Counter()
     for r in rows:
         pieces[r.id].append((r.start, r.ids, r.doc_tokens, r.length))
@@ -189,7 +189,26 @@ def test_packing_keeps_every_id_once(spark, odd, texts):
             assert r.offset == at
             at += r.length
         assert at == window[0].capacity and at & (at - 1) == 0 and at <= 2048
-    assert max(steps.values()) <= packing.STEP_TOKENS
+    # step groups of a task are equal, but for its last one
+    last = {}
+    for k in steps:
+        last[k >> 40] = max(k, last.get(k >> 40, 0))
+    assert all(n == packing.STEP_TOKENS for k, n in steps.items() if k != last[k >> 40])
+    assert max(steps.values()) <= packing.STEP_TOKENS and len(steps) > 2 * len(last)
+
+
+@pytest.mark.parametrize("most", [40, 2000, 10**6])
+def test_word_table_of_any_size_gives_the_tokenizer_ids(texts, most):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.word_vocabulary())
+    table = packing.WordTokens(packing.word_vocabulary(), most)
+    some = [texts[i] for i in sorted(texts)[:60]] + ["", " \x0b ", "İstanbul's <|endoftext|>x don't e\u0301", "ǅ 12½"]
+    for at in range(0, len(some), 7):
+        part = some[at : at + 7]
+        found = table.ids(pa.array([x.encode() for x in part], pa.binary()))
+        assert [x.tolist() for x in found] == [tokenizer.encode(x, add_special_tokens=False).ids for x in part]
 
 
 # ------------------------------------------------------------------ 4
