@@ -121,13 +121,15 @@ def test_transitions_weigh_words_and_pairs(spark):
     unigram = [Counter(w for y, t in texts if y == c for w in t.split()) for c in (0, 1)]
     pairs = [Counter(p for y, t in texts if y == c for p in zip(t.split(), t.split()[1:])) for c in (0, 1)]
 
+    whole = unigram[0] + unigram[1]
+
     def chance(c, prev, word):
-        own = (unigram[c][word] + 1) / (unigram[c].total() + 4 + 1)
+        share = transitions.WORD_PRIOR * whole[word] / whole.total()
+        own = (unigram[c][word] + share) / (unigram[c].total() + transitions.WORD_PRIOR)
         if prev is None:
             return own
         n = sum(v for (a, _), v in pairs[c].items() if a == prev)
-        d = sum(1 for a, _ in pairs[c] if a == prev)
-        return pairs[c][prev, word] / (n + d + 1) + (d + 1) / (n + d + 1) * own
+        return (pairs[c][prev, word] + transitions.PAIR_PRIOR * own) / (n + transitions.PAIR_PRIOR)
 
     for r in model.transform(rows).collect():
         odds = math.log(4 / 5)

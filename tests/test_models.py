@@ -159,6 +159,6 @@ def test_stream_equals_batch_and_replays(spark, sf, models, tmp_path):
         assert rejected.exceptAll(refused).isEmpty() and rejected.count() == refused.count()
 
 
-def test_word_vectors_train_on_many_partitions():
+def test_word_vectors_train_on_all_partitions(spark):
     vectors = [x for x in classifiers.embed_pipeline().getStages() if hasattr(x, "getNumPartitions")]
-    assert [x.getNumPartitions() > 1 and x.getMaxIter() > 10 for x in vectors] == [True]
+    assert [x.getNumPartitions() for x in vectors] == [max(2, spark.sparkContext.defaultParallelism)]

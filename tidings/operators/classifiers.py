@@ -16,7 +16,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -185,10 +185,9 @@ def sequence_pipeline(key: str = "lstm", pairs: int = 50_000) -> Pipeline:
     )
 
 
-#: Word vectors are trained on so many partitions, whatever the table's size, and averaged
-#: after each pass; so they take more passes than on one.
-VECTOR_PARTITIONS = 16
-VECTOR_PASSES = 30
+#: Word vectors take so many passes; they train on all partitions at once and are averaged
+#: after each pass.
+VECTOR_PASSES = 10
 
 
 def embed_pipeline(
@@ -198,13 +197,14 @@ def embed_pipeline(
     max_iter: int = 100,
     key: str = "transformer",
     passes: int = VECTOR_PASSES,
-    partitions: int = VECTOR_PARTITIONS,
+    partitions: int | None = None,
 ) -> Pipeline:
     """Word vectors, mean pooling over words that are not padding, dense head.
 
     Word vectors take ``passes`` over the messages on ``partitions`` partitions, all of
-    which train at once; more partitions want more passes.
+    which train at once; by default as many as the cluster runs tasks.
     """
+    partitions = partitions or max(2, SparkSession.active().sparkContext.defaultParallelism)
     words, vector = f"words_v{version}", f"embedding_v{version}"
     return Pipeline(
         stages=[

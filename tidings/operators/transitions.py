@@ -1,9 +1,9 @@
 """An order-aware learner: which word follows which, in each class.
 
-For each class the chance of a word after another one interpolates how often the pair
-was seen with how often the word was (Witten-Bell: the weight of pairs is
-n / (n + d) for a word that was followed n times by d different ones); the words'
-own chances are smoothed by one.  A message's score is the logarithm of the ratio of
+For each class the chance of a word after another one is how often the pair was seen,
+smoothed by ``PAIR_PRIOR`` uses in proportion to the word's own chance in the class; that
+is smoothed by ``WORD_PRIOR`` uses in proportion to its share in both.  So a word or pair
+that says little about the class weighs little, whichever class has more rows.  A message's score is the logarithm of the ratio of
 both classes' chances, plus that of their priors.
 
 This score is a sum over words and over neighbouring pairs, so the fitted model is a
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 # Marks a word as one that something follows; words are numbers here.
 AFTER = ">"
+WORD_PRIOR = 1000.0
+PAIR_PRIOR = 1000.0
 
 
 def transition_counts(df: DataFrame, words: str = "words", label: str = "label") -> DataFrame:
@@ -105,17 +107,17 @@ class TransitionClassifier(Estimator, DefaultParamsReadable, DefaultParamsWritab
 
 
 def _bounded(terms: DataFrame, most: int) -> tuple[dict[str, tuple], dict[str, tuple]]:
-    """Counts of all words and the most used pairs; pairs and different ones after each word, by class.
+    """Counts of all words and the most used pairs, and how often each word is followed, by class.
 
     The word index bounds the words, and with them all but the pairs.
     """
     is_pair = F.col("t").contains(AFTER) & ~F.col("t").endswith(AFTER)
     pairs = terms.where(is_pair)
     first = F.substring_index("t", AFTER, 1).alias("w")
-    after = pairs.groupBy(first).agg(*[x for c in (0, 1) for x in (F.sum(f"n{c}"), F.count_if(F.col(f"n{c}") > 0))])
+    after = pairs.groupBy(first).agg(F.sum("n0"), F.sum("n1"))
     kept = pairs.orderBy(F.desc(F.col("n0") + F.col("n1")), "t").limit(most)
     counts = {r["t"]: (r["n0"], r["n1"]) for r in terms.where(~is_pair).union(kept).collect()}
-    return counts, {r[0]: ((r[1], r[2]), (r[3], r[4])) for r in after.collect()}
+    return counts, {r[0]: (r[1], r[2]) for r in after.collect()}
 
 
 def linear_weights(
@@ -131,11 +133,11 @@ def linear_weights(
     total = [sum(counts[w][c] for w in words) for c in (0, 1)]
 
     def own(word: str, c: int) -> float:
-        return (counts[word][c] + 1) / (total[c] + len(words) + 1)
+        share = sum(counts[word]) / max(sum(total), 1)
+        return (counts[word][c] + WORD_PRIOR * share) / (total[c] + WORD_PRIOR)
 
     def left(word: str, c: int) -> float:
-        n, d = followed.get(word, ((0, 0), (0, 0)))[c]
-        return (d + 1) / (n + d + 1)
+        return PAIR_PRIOR / (followed.get(word, (0, 0))[c] + PAIR_PRIOR)
 
     def weight(name: str) -> float:
         first, mark, second = name.partition(AFTER)
@@ -143,10 +145,7 @@ def linear_weights(
             return math.log(own(name, 1) / own(name, 0))
         if not second:
             return math.log(left(first, 1) / left(first, 0))
-        beyond = []
-        for c in (0, 1):
-            n, d = followed[first][c]
-            beyond.append(1 + counts[name][c] / (n + d + 1) / (left(first, c) * own(second, c)))
+        beyond = [1 + counts[name][c] / (PAIR_PRIOR * own(second, c)) for c in (0, 1)]
         return math.log(beyond[1] / beyond[0])
 
     return [weight(x) for x in names], math.log((classes[1] + 1) / (classes[0] + 1))
