@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,7 +93,7 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most, self.used = most, np.zeros(0, np.int64)
-        self.numbers, self.words = Numbers(), _Ids()
+        self.known, self.words = pa.array([], pa.binary()), _Ids()
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.parted = self._parts_marks()
         self._clear_plain()
@@ -163,27 +164,35 @@ class WordTokens:
 
     def _forget(self) -> None:
         """Keep the half of the words that were used most."""
-        words, old = list(self.numbers), self.words
-        stay = np.sort(np.argsort(-self.used[: len(words)], kind="stable")[: self.most // 2])
-        self.numbers, self.words, self.used = Numbers(), _Ids(), self.used[stay]
-        self.numbers.of([words[i] for i in stay.tolist()])
-        self.numbers.new.clear()
+        stay = np.sort(np.argsort(-self.used, kind="stable")[: self.most // 2])
+        old, self.words, self.used = self.words, _Ids(), self.used[stay]
+        self.known = self.known.take(pa.array(stay))
         self.words.append(*old.of(stay))
         self._clear_plain()
 
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        """Each word's number; new words are learned.  Only these become objects of Python."""
+        coded = words.dictionary_encode()
+        different = coded.dictionary.view(pa.binary())
+        found = pc.index_in(different, value_set=self.known)
+        new = different.filter(found.is_null())
+        numbers = found.fill_null(-1).to_numpy().astype(np.int64)
+        numbers[numbers < 0] = len(self.known) + np.arange(len(new))
+        if len(new):
+            self._learn(new.to_pylist())
+            self.known = pa.concat_arrays([self.known, new])
+            self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
+        return numbers[coded.indices.to_numpy()]
+
     def ids(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each of the texts (binary)."""
         if not len(texts):
             return []
-        if len(self.numbers) > self.most:
+        if len(self.known) > self.most:
             self._forget()
         words, sizes = split_words(texts)
-        every = self.numbers.of_array(words)
-        if new := self.numbers.new:
-            self._learn(new)
-            self.numbers.new = []
-            self.used = np.concatenate([self.used, np.zeros(len(self.numbers) - len(self.used), np.int64)])
-        self.used += np.bincount(every, minlength=len(self.numbers))
+        every = self._numbers(words)
+        self.used += np.bincount(every, minlength=len(self.known))
         flat, lengths = self.words.of(every)
         ends = np.r_[0, np.cumsum(lengths)]
         return np.split(flat, ends[np.cumsum(sizes)][:-1])
