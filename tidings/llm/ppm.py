@@ -42,9 +42,9 @@ from tidings.session import shared_folder
 
 ORDER = 5
 CHUNK_BYTES = 16 << 20
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 END = b"\n"  # never part of a word
-_DENSE = 1 << 25
+_DENSE = 1 << 24
 CODED_ROWS = 300_000
 
 
@@ -260,7 +260,6 @@ def _by_key(keys: DataFrame, key: str) -> DataFrame:
     (
         keys.repartition(parts, key)
         .write.bucketBy(parts, key)
-        .sortBy(key)
         .option("path", f"{shared_folder(spark)}/{name}")
         .option("compression", "zstd")
         .saveAsTable(name)
