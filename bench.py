@@ -31,13 +31,15 @@ RELATIONAL = [
     "html_unescape", "indicator_chips", "highlight", "split_assign", "split_exact_documents",
     "class_weights", "vocab_documents", "vocab_tfidf_v2", "vocab_tokenizer", "tfidf_weights",
     "seq_v1", "seq_v2", "predict_batch", "request_validate", "compare_rules", "compare_best",
-    "eval_metrics", "leaderboard", "history_top20", "stream_history",
+    "eval_metrics", "leaderboard", "history_top20", "stream_history", "pool_positions_max", "attention_pool",
+    "vocab_phrases", "transition_counts", "shuffle_position", "split_complete", "gbt_histogram",
 ]
 PIPELINES = [
-    "predict_lr", "predict_rf", "predict_ngram", "predict_embed", "predict_gbt", "stream_score",
+    "predict_lr", "predict_rf", "predict_ngram", "predict_seq", "predict_embed", "predict_gbt", "stream_score",
+    "stream_history_state",
 ]
 # minutes each, with full boosting rounds
-LONG = ["predict_gbt_v2", "compare_all", "eval_models", "eval_v1_v2", "eval_documents"]
+LONG = ["predict_gbt_v2", "gbt_round_curve", "compare_all", "eval_models", "eval_v1_v2", "eval_documents"]
 WARM_UP = ["pre_v2", "vocab_tfidf_v2", "eval_metrics", "stream_history"]
 
 
