@@ -94,6 +94,39 @@ def test_round_curve_is_the_model_cut_after_each_round(rows):
         assert curve[k].accuracy == pytest.approx(sum((q > 0.5) == y for y, q in p) / len(p))
 
 
+def test_boosting_takes_a_job_a_level(spark, rows):
+    sc = spark.sparkContext
+    made = {}
+    for rounds in (4, 10):
+        sc.setJobGroup(f"boost-{rounds}", "boosting")
+        trees, _, _ = boosting.boost(rows, **{**PARAMS, "rounds": rounds})
+        made[rounds] = len(sc.statusTracker().getJobIdsForGroup(f"boost-{rounds}"))
+        assert len(trees) == rounds
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert made[10] - made[4] <= 6 * PARAMS["depth"]
+
+
+def test_boosting_sums_are_the_same_in_chunks_and_by_block(rows, monkeypatch):
+    params = {**PARAMS, "heldCol": "held", "weightCol": "w", "rowShare": 0.8, "columnShare": 0.7}
+    want = None
+    for block_rows, task_rows, chunk_cells, dense_cells in ((64, 10**6, 1, 1 << 22), (64, 10**6, 1, 7), (64, 10**6, 1 << 22, 1 << 22)):
+        monkeypatch.setattr(boosting, "BLOCK_ROWS", block_rows)
+        monkeypatch.setattr(boosting, "TASK_ROWS", task_rows)
+        monkeypatch.setattr(boosting, "CHUNK_CELLS", chunk_cells)
+        monkeypatch.setattr(boosting, "DENSE_CELLS", dense_cells)
+        trees, _, losses = boosting.boost(rows, **params)
+        want = want or (trees, losses)
+        assert losses == pytest.approx(want[1])
+        for one, two in zip(trees, want[0], strict=True):
+            assert (one.feature == two.feature).all() and np.allclose(one.value, two.value)
+    # several tasks, summed by a shuffle, chunks apart
+    monkeypatch.setattr(boosting, "TASK_ROWS", 100)
+    for chunk_cells, dense_cells in ((1, 1 << 22), (1, 7)):
+        monkeypatch.setattr(boosting, "CHUNK_CELLS", chunk_cells)
+        monkeypatch.setattr(boosting, "DENSE_CELLS", dense_cells)
+        test_boosting_is_that_of_dense_arrays(rows)
+
+
 def test_boosted_model_round_trips(spark, rows, tmp_path):
     from pyspark.ml import PipelineModel
 

@@ -2,10 +2,10 @@
 
 Features are counts or weights that are not negative; what a sparse vector leaves out is
 zero and bin 0, other values go to at most ``bins`` quantile bins of their feature.
-Rows are kept in blocks, one table row each, with their margins.  A level of a tree is
-one aggregate: every task adds up its rows' gradients and Hessians by node, feature and
-bin, Spark sums these, and the best split of every node, at most ``2 ** depth``
-rows, reaches the driver.  Split gains and leaves carry an L2 penalty.  Rows are drawn
+Rows are kept in blocks with their margins, sorted by feature and bin.  A level of a tree is
+one job: every task adds up its rows' gradients and Hessians by node, feature and
+bin, a shuffle by chunks of features sums these, and the best splits of every node, at most
+``2 ** depth`` a chunk, reach the driver.  A tree's first level also adds the tree before to the margins.  Split gains and leaves carry an L2 penalty.  Rows are drawn
 anew for each tree by a seeded hash, features by a seeded choice.
 
 Rows flagged as held out have no part in a tree, but their loss is known after every
@@ -25,12 +25,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle, keyword_only
+from pyspark import RDD, cloudpickle, keyword_only
 from pyspark.ml import Estimator
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
@@ -40,7 +40,10 @@ from tidings.session import enable_checkpoints
 # Executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BLOCK_ROWS = 16_384
+BLOCK_ROWS = 16_384  # numbers of rows have 16 bits
+TASK_ROWS = 16_384  # fewer are not worth a task
+CHUNK_CELLS = 1 << 16  # likewise for a task that sums
+DENSE_CELLS = 1 << 22  # sums that a task may hold; more are sent by block
 CUT_EVERY = 25  # rounds between cuts of the lineage
 
 
@@ -82,24 +85,20 @@ def _entries(df: DataFrame, features: str, *keep: str) -> DataFrame:
     return df.select(*keep, F.inline(pairs)).where("v <> 0")
 
 
-_BLOCK = T.StructType(
-    [T.StructField("block", T.LongType())]
-    + [T.StructField(x, T.BinaryType()) for x in ("y", "w", "held", "starts", "feature", "bin", "margin")]
-    + [T.StructField(x, T.DoubleType()) for x in ("g", "h", "loss", "weight")]
-)
-_KINDS = {
-    "y": np.float64, "w": np.float64, "held": np.bool_, "starts": np.int64, "feature": np.int32, "bin": np.int32,
-    "margin": np.float64,
-}
+_KINDS = {"y": np.float64, "w": np.float64, "held": np.bool_, "row": np.uint16, "slot": np.uint32, "margin": np.float64}
+_BLOCK = T.StructType([T.StructField("number", T.LongType())] + [T.StructField(x, T.BinaryType()) for x in _KINDS])
 
 
 class _Rows:
-    """The rows of a block."""
+    """The rows of a block.  Entries lie in order of their slots: features one after another, their bins in order."""
 
-    def __init__(self, batch: pa.RecordBatch, i: int) -> None:
-        self.block = batch.column("block")[i].as_py()
-        for name, kind in _KINDS.items():
-            setattr(self, name, np.frombuffer(batch.column(name)[i].as_py(), kind))
+    def __init__(self, block: tuple) -> None:
+        self.number = block[0]
+        for (name, kind), part in zip(_KINDS.items(), block[1:]):
+            setattr(self, name, np.frombuffer(part, kind))
+
+    def packed(self) -> tuple:
+        return (self.number, *(getattr(self, x).tobytes() for x in _KINDS))
 
     def slopes(self) -> tuple[np.ndarray, np.ndarray]:
         """Gradient and Hessian of the log loss; zero for rows that are held out."""
@@ -107,44 +106,37 @@ class _Rows:
         w = np.where(self.held, 0.0, self.w)
         return w * (p - self.y), np.maximum(w * p * (1 - p), 1e-16 * (w > 0))
 
-    def bins_of(self, feature: int) -> np.ndarray:
+    def bins_of(self, feature: int, bins: int) -> np.ndarray:
         """Each row's bin of one feature."""
-        found = np.zeros(len(self.y), np.int32)
-        at = np.flatnonzero(self.feature == feature)
-        found[np.searchsorted(self.starts, at, "right") - 1] = self.bin[at]
+        found = np.zeros(len(self.y), np.int64)
+        at = slice(*np.searchsorted(self.slot, np.array([feature * bins, (feature + 1) * bins], np.uint32)))
+        found[self.row[at]] = self.slot[at].astype(np.int64) - feature * bins + 1
         return found
 
-    def nodes(self, tree: Tree, levels: int) -> np.ndarray:
+    def nodes(self, tree: Tree, levels: int, bins: int) -> np.ndarray:
         """Where each row is after so many levels; rows stop at leaves."""
         node = np.zeros(len(self.y), np.int64)
         for _ in range(levels):
             split = np.flatnonzero(tree.feature[node] >= 0)
             if not len(split):
                 break
-            for f in np.unique(tree.feature[node[split]]).tolist():
-                mine = split[tree.feature[node[split]] == f]
-                right = self.bins_of(f)[mine] > tree.bin[node[mine]]
+            features = tree.feature[node[split]]
+            for f in np.unique(features).tolist():
+                mine = split[features == f]
+                right = self.bins_of(f, bins)[mine] > tree.bin[node[mine]]
                 node[mine] = 2 * node[mine] + 1 + right
         return node
 
     def drawn(self, seed: int, tree: int, share: float) -> np.ndarray:
         if share >= 1:
             return np.ones(len(self.y), bool)
-        return np.random.default_rng([seed, tree, self.block % 2**31]).random(len(self.y)) < share
+        return np.random.default_rng([seed, tree, self.number % 2**31]).random(len(self.y)) < share
 
-    def row(self, seed: int, tree: int, share: float) -> list:
-        """The block with sums: slopes of the rows drawn for a tree, and loss of those held out."""
-        g, h = (np.where(self.drawn(seed, tree, share), x, 0.0) for x in self.slopes())
+    def loss(self) -> tuple[float, float]:
+        """Loss of the rows held out, and how many they are."""
         # log(1 + exp(-m)) without overflow
-        m = np.where(self.y > 0, self.margin, -self.margin)
-        loss = np.where(self.held, np.logaddexp(0, -m), 0.0)
-        parts = [getattr(self, x).tobytes() for x in _KINDS]
-        return [self.block, *parts, float(g.sum()), float(h.sum()), float(loss.sum()), float(self.held.sum())]
-
-
-def _batch(rows: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64()] + [pa.binary()] * len(_KINDS) + [pa.float64()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=_BLOCK.names)
+        m = np.where(self.y > 0, self.margin, -self.margin)[self.held]
+        return float(np.logaddexp(0, -m).sum()), float(len(m))
 
 
 def blocks(
@@ -154,10 +146,12 @@ def blocks(
     label: str = "label",
     weight: str | None = None,
     held: str | None = None,
-    seed: int = 42,
-    share: float = 1.0,
-) -> DataFrame:
-    """Rows in blocks, margins zero, ready for the first tree."""
+) -> RDD:
+    """Rows in blocks, margins zero, dealt evenly to the cluster's tasks; few rows take fewer tasks."""
+    width, bins = len(edges), edges.shape[1] + 1
+    if width * bins >= 2**32:
+        raise ValueError(f"{width} features of {bins} bins are too many")
+    tasks = min(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS)) or 1
     parts = F.unwrap_udt(F.col(features))
     rows = df.select(
         F.col(label).cast("double").alias("y"),
@@ -165,7 +159,7 @@ def blocks(
         (F.coalesce(F.col(held), F.lit(False)) if held else F.lit(False)).alias("held"),
         parts["indices"].alias("feature"),
         parts["values"].alias("value"),
-    )
+    ).repartition(tasks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -175,123 +169,162 @@ def blocks(
             for at in range(0, batch.num_rows, BLOCK_ROWS):
                 part = batch.slice(at, BLOCK_ROWS)
                 lists = part.column("feature")
-                feature = lists.flatten().to_numpy().astype(np.int32)
+                feature = lists.flatten().to_numpy().astype(np.int64)
                 value = part.column("value").flatten().to_numpy()
-                sizes = np.diff(lists.offsets.to_numpy())
-                rows = np.repeat(np.arange(len(sizes)), sizes)[value != 0]
+                row = np.repeat(np.arange(len(lists), dtype=np.uint16), np.diff(lists.offsets.to_numpy()))[value != 0]
                 feature, value = feature[value != 0], value[value != 0]
+                slot = (feature * bins + (value[:, None] > edges[feature]).sum(axis=1)).astype(np.uint32)
+                order = np.argsort(slot, kind="stable")
                 one = _Rows.__new__(_Rows)
-                one.block, number = number, number + 1
+                one.number, number = number, number + 1
                 one.y, one.w = part.column("y").to_numpy(), part.column("w").to_numpy()
                 one.held = part.column("held").to_numpy(zero_copy_only=False)
-                one.starts = np.searchsorted(rows, np.arange(len(sizes))).astype(np.int64)
-                one.feature = feature
-                one.bin = (1 + (value[:, None] > edges[feature]).sum(axis=1)).astype(np.int32)
-                one.margin = np.zeros(len(sizes))
-                yield _batch([one.row(seed, 0, share)])
-
-    return rows.mapInArrow(run, _BLOCK)
-
-
-def histograms(
-    rows: DataFrame,
-    tree: Tree,
-    level: int,
-    width: int,
-    seed: int = 42,
-    number: int = 0,
-    share: float = 1.0,
-    chosen: np.ndarray | None = None,
-) -> DataFrame:
-    """``node, feature, bin, g, h``: sums of each task's rows, bin 0 left out.
-
-    Feature -1 has the sums over all rows of a node.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                one = _Rows(batch, i)
-                node = one.nodes(tree, level)
-                g, h = one.slopes()
-                live = one.drawn(seed, number, share) & (h > 0) & (node >= 2**level - 1)
-                entry = np.repeat(np.arange(len(one.y)), np.diff(np.r_[one.starts, len(one.feature)]))
-                use = live[entry] if chosen is None else live[entry] & chosen[one.feature]
-                entry, feature, bin_ = entry[use], one.feature[use], one.bin[use]
-                wide = int(bin_.max(initial=0)) + 1
-                key = (node[entry] * (width + 1) + feature + 1) * wide + bin_
-                key = np.r_[key, node[live] * (width + 1) * wide]
-                found, at = np.unique(key, return_inverse=True)
-                entry = np.r_[entry, np.flatnonzero(live)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(found // wide // (width + 1)), pa.array(found // wide % (width + 1) - 1),
-                        pa.array(found % wide), pa.array(np.bincount(at, g[entry], len(found))),
-                        pa.array(np.bincount(at, h[entry], len(found))),
-                    ],
-                    names=["node", "feature", "bin", "g", "h"],
-                )
-
-    return rows.mapInArrow(run, "node long, feature long, bin long, g double, h double")
+                one.row, one.slot = row[order], slot[order]
+                one.margin = np.zeros(len(lists))
+                yield pa.RecordBatch.from_pylist([dict(zip(_BLOCK.names, one.packed()))], _ARROW)
 
+    return rows.mapInArrow(run, _BLOCK).rdd.map(tuple)
 
-def bin_sums(bins: int) -> list[Column]:
-    """Sums of gradients, then of Hessians, of each bin; made once for all levels."""
-    return [F.sum(F.when(F.col("bin") == b, F.col(x)).otherwise(0.0)).alias(f"{x}{b}") for x in "gh" for b in range(1, bins + 1)]
 
+_ARROW = pa.schema([("number", pa.int64())] + [(x, pa.binary()) for x in _KINDS])
 
-def best_splits(
-    found: DataFrame, sums: list[Column], penalty: float, least: float, totals: dict[int, tuple[float, float]]
-) -> DataFrame:
-    """``node, gain, feature, bin, gr, hr``: the best split of each node in each part of the features.
 
-    Sums by node, feature and bin combine on the map side; after them a node has a
-    row a feature.  ``totals`` are the sums over all rows of each node.
-    """
-    bins = len(sums) // 2
-    per = found.where("feature >= 0").groupBy("node", "feature").agg(*sums)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple] = {}
-        for batch in batches:
-            node, feature = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            both = np.array([c.to_numpy() for c in batch.columns[2:]]).reshape(2, bins, -1)
+@dataclass
+class Level:
+    """What the tasks of a level need: the nodes to split, and the features in chunks that are summed apart."""
+
+    tree: Tree
+    level: int
+    active: list[int]
+    width: int
+    bins: int
+    chunks: int = 1
+    number: int = 0  # of the tree
+    seed: int = 42
+    share: float = 1.0
+    chosen: np.ndarray | None = None
+
+    @property
+    def bounds(self) -> np.ndarray:
+        """First features of the chunks, and the end."""
+        return np.arange(self.chunks + 1) * self.width // self.chunks
+
+    def sums(self, rows: Iterator[tuple]) -> Iterator[tuple[int, tuple]]:
+        """By chunk, a task's gradients and Hessians: of each node, then by node, feature and bin, bin 0 left out.
+
+        The last are cells of ``node, feature, bin`` or, with many zeros, the others' places and values.  The
+        loss of the rows held out goes along.
+        """
+        nodes, slots = len(self.active), self.width * self.bins
+        place = np.full(2 ** (self.level + 1) - 1, -1)
+        place[self.active] = np.arange(nodes)
+        chosen = None if self.chosen is None else np.repeat(self.chosen, self.bins)
+        whole, loss = np.zeros((2, nodes)), np.zeros(2)
+        dense = np.zeros((2, nodes * slots)) if nodes * slots <= DENSE_CELLS else None
+        bounds = self.bounds
+        for block in rows:
+            one = _Rows(block)
+            loss += one.loss()
+            node = place[one.nodes(self.tree, self.level, self.bins)]
+            live = one.drawn(self.seed, self.number, self.share) & (node >= 0) & ~one.held
+            slopes = one.slopes()
+            row, slot = one.row, one.slot
+            if chosen is not None or not live.all():
+                use = live[row] if chosen is None else live[row] & chosen[slot]
+                row, slot = row[use], slot[use]
+            key = node[row] * slots + slot
+            if dense is None:
+                key, at = np.unique(key, return_inverse=True)
+                cells = np.array([np.bincount(at, x[row], len(key)) for x in slopes])
+                of = np.searchsorted(bounds * self.bins, key % slots, "right") - 1
+                for c in np.unique(of).tolist():
+                    low, high = bounds[c] * self.bins, bounds[c + 1] * self.bins
+                    mine = key[of == c]
+                    yield c, (None, None, mine // slots * (high - low) + mine % slots - low, cells[:, of == c])
+            for i, x in enumerate(slopes):
+                whole[i] += np.bincount(node[live], x[live], nodes)
+                if dense is not None:
+                    dense[i] += np.bincount(key, x[row], nodes * slots)
+        for c in range(self.chunks):
+            at, cells = None, None
+            if dense is not None:
+                part = slice(bounds[c] * self.bins, bounds[c + 1] * self.bins)
+                cells = dense.reshape(2, nodes, slots)[:, :, part].reshape(2, -1)
+                some = np.flatnonzero(cells[1])
+                if 3 * len(some) < 2 * cells.shape[1]:
+                    at, cells = some, cells[:, some]
+            yield c, (whole, loss, at, cells)
+
+    def added(self, found: Iterator[tuple[int, tuple]]) -> Iterator[tuple]:
+        """Chunk, sums by node, loss, and ``2, node, feature, bin`` cells of all tasks."""
+        chunks: dict[int, list] = {}
+        bounds = self.bounds
+        for c, (whole, loss, at, cells) in found:
+            if c not in chunks:
+                shape = (2, len(self.active) * int(bounds[c + 1] - bounds[c]) * self.bins)
+                chunks[c] = [np.zeros((2, len(self.active))), np.zeros(2), np.zeros(shape)]
+            mine = chunks[c]
+            if whole is not None:
+                mine[0] += whole
+                mine[1] += loss
+            if at is not None:
+                mine[2][:, at] += cells
+            elif cells is not None:
+                mine[2] += cells
+        for c, (whole, loss, cells) in chunks.items():
+            yield c, whole, loss, cells.reshape(2, len(self.active), -1, self.bins)
+
+    def best(self, found: Iterator[tuple], penalty: float, least: float) -> Iterator[tuple]:
+        """Sums by node, loss, and each node's best split among a chunk's features: gain, feature, bin, right sums."""
+        for c, whole, loss, cells in found:
             # sums right of each border: bins above it
-            gr, hr = np.cumsum(both[:, ::-1], axis=1)[:, ::-1]
-            for x in np.unique(node).tolist():
-                mine = np.flatnonzero(node == x)
-                g, h = totals[x]
-                a, b = gr[:, mine], hr[:, mine]
-                with np.errstate(all="ignore"):
-                    gain = a * a / (b + penalty) + (g - a) ** 2 / (h - b + penalty) - g * g / (h + penalty)
-                gain = np.where((b >= least) & (h - b >= least), gain, -np.inf)
-                top = gain.max(initial=-np.inf)
-                if top > 1e-9:
-                    border, at = (int(k[0]) for k in np.nonzero(gain == top))
-                    one = (float(top), -int(feature[mine[at]]), -border, float(a[border, at]), float(b[border, at]))
-                    best[x] = max(best.get(x, one), one)
-        rows = [(x, y[0], -y[1], -y[2], y[3], y[4]) for x, y in best.items()]
-        kinds = [pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        columns = list(zip(*rows)) if rows else [()] * 6
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds)], names=["node", "gain", "feature", "bin", "gr", "hr"]
-        )
-
-    return per.mapInArrow(run, "node long, gain double, feature long, bin long, gr double, hr double")
-
-
-def _grown(rows: DataFrame, tree: Tree, rate: float, seed: int, following: int, share: float) -> DataFrame:
-    """Blocks with the tree's values added to their margins, ready for the following tree."""
+            a, b = np.cumsum(cells[..., ::-1], axis=-1)[..., ::-1].reshape(2, len(self.active), -1)
+            g, h = whole[:, :, None]
+            with np.errstate(all="ignore"):
+                gain = a * a / (b + penalty) + (g - a) ** 2 / (h - b + penalty) - g * g / (h + penalty)
+            gain = np.where((b >= least) & (h - b >= least), gain, -np.inf).reshape(len(self.active), -1, self.bins)
+            splits = {}
+            if gain.shape[1]:
+                # of equal splits the one at the lowest border, then of the first feature
+                for i, at in enumerate(gain.swapaxes(1, 2).reshape(len(self.active), -1).argmax(axis=1).tolist()):
+                    border, feature = divmod(at, gain.shape[1])
+                    top, at = float(gain[i, feature, border]), feature * self.bins + border
+                    if top > 1e-9:
+                        splits[self.active[i]] = (top, -border, -int(self.bounds[c] + feature), float(a[i, at]), float(b[i, at]))
+            yield whole, loss, splits
+
+
+def histograms(rows: RDD, level: Level) -> RDD:
+    """Chunks of the features with the sums of all tasks; a shuffle brings a chunk's parts together."""
+    parts = rows.mapPartitions(level.sums)
+    if rows.getNumPartitions() > 1:
+        parts = parts.partitionBy(level.chunks, int)
+    return parts.mapPartitions(level.added)
+
+
+def histogram_table(rows: RDD, level: Level) -> DataFrame:
+    """The same as ``node, feature, bin, g, h``; feature -1 has the sums over all rows of a node."""
+
+    def run(found: Iterator[tuple]) -> Iterator[tuple]:
+        for c, whole, _, cells in found:
+            if c == 0:
+                yield from ((n, -1, 0, float(g), float(h)) for n, g, h in zip(level.active, *whole))
+            for i, f, b in zip(*(x.tolist() for x in np.nonzero(cells[1]))):
+                yield level.active[i], int(level.bounds[c]) + f, b + 1, float(cells[0, i, f, b]), float(cells[1, i, f, b])
+
+    return histograms(rows, level).mapPartitions(run).toDF("node long, feature long, bin long, g double, h double")
+
+
+def _grown(rows: RDD, tree: Tree, rate: float, bins: int) -> RDD:
+    """Blocks with the tree's values added to their margins."""
     levels = int(np.log2(len(tree.feature) + 1)) - 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                one = _Rows(batch, i)
-                one.margin = one.margin + rate * tree.value[one.nodes(tree, levels)]
-                yield _batch([one.row(seed, following, share)])
+    def run(block: tuple) -> tuple:
+        one = _Rows(block)
+        one.margin = one.margin + rate * tree.value[one.nodes(tree, levels, bins)]
+        return one.packed()
 
-    return rows.mapInArrow(run, _BLOCK)
+    return rows.map(run)
 
 
 class HistogramBoosting(Estimator, DefaultParamsReadable, DefaultParamsWritable):
@@ -341,31 +374,53 @@ def boost(
     enable_checkpoints(df.sparkSession)
     edges = quantile_edges(df, featuresCol, bins)
     width = len(edges)
-    rows = blocks(df, featuresCol, edges, labelCol, weightCol or None, heldCol or None, seed, rowShare)
+    rows = blocks(df, featuresCol, edges, labelCol, weightCol or None, heldCol or None)
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    sums_of_bins = bin_sums(bins)
-    whole = [F.coalesce(F.sum(x), F.lit(0.0)) for x in ("g", "h", "loss", "weight")]
+    tasks = rows.getNumPartitions()
+    old = None
     trees: list[Tree] = []
     losses: list[float] = []
+
+    def grow(level: Level) -> tuple[np.ndarray, np.ndarray, dict[int, tuple]]:
+        """Sums of the nodes, held-out loss, best splits."""
+        cells = len(level.active) * width * bins
+        level.chunks = max(1, min(width, max(min(tasks, -(-cells // CHUNK_CELLS)), -(-cells // DENSE_CELLS))))
+        best: dict[int, tuple] = {}
+        for whole, loss, splits in histograms(rows, level).mapPartitions(lambda x: level.best(x, penalty, least)).collect():
+            for node, one in splits.items():
+                best[node] = max(best.get(node, one), one)
+        return whole, loss, best
+
+    def stopped(loss: np.ndarray) -> bool:
+        """Notes the loss after the last tree."""
+        if heldCol and trees and loss[1]:
+            losses.append(float(loss[0] / loss[1]))
+            return len(losses) - 1 - int(np.argmin(losses)) >= patience
+        return False
+
     try:
-        sums = rows.agg(*whole).first()
-        for number in range(rounds):
+        for number in range(rounds + 1):
             chosen = None
             if columnShare < 1:
                 chosen = np.zeros(width, bool)
                 order = np.random.default_rng([seed, number]).permutation(width)
                 chosen[order[: max(1, round(columnShare * width))]] = True
             tree = Tree.empty(depth)
-            totals = {0: (sums[0], sums[1])}
-            tree.value[0] = -sums[0] / (sums[1] + penalty)
+            if number == rounds and not heldCol:
+                break
+            # the first level also stores the new margins and learns the loss of the tree before
+            whole, loss, best = grow(Level(tree, 0, [0], width, bins, 1, number, seed, rowShare, chosen))
+            if old is not None:
+                old.unpersist()
+                old = None
+            if stopped(loss) or number == rounds:
+                break
+            g, h = whole[:, 0].tolist()
+            totals = {0: (g, h)}
+            tree.value[0] = -g / (h + penalty)
             for level in range(depth):
-                found = histograms(rows, tree, level, width, seed, number, rowShare, chosen)
-                best: dict[int, tuple] = {}
-                for r in best_splits(found, sums_of_bins, penalty, least, totals).collect():
-                    one = (r["gain"], -r["feature"], -r["bin"], r["gr"], r["hr"])
-                    best[r["node"]] = max(best.get(r["node"], one), one)
                 below: dict[int, tuple[float, float]] = {}
-                for node, (_, f, b, gr, hr) in best.items():
+                for node, (_, b, f, gr, hr) in best.items():
                     f, b = -f, -b
                     tree.feature[node], tree.bin[node] = f, b
                     tree.threshold[node] = 0.0 if b == 0 else edges[f][b - 1]
@@ -374,25 +429,22 @@ def boost(
                 for child, (g, h) in below.items():
                     tree.value[child] = -g / (h + penalty)
                 totals = below
-                if not below:
+                # a node below twice the least Hessian has no split
+                active = sorted(x for x, (_, h) in below.items() if h >= 2 * least * (1 - 1e-9))
+                if not active or level == depth - 1:
                     break
+                best = grow(Level(tree, level + 1, active, width, bins, 1, number, seed, rowShare, chosen))[2]
             trees.append(tree)
-            old, rows = rows, _grown(rows, tree, rate, seed, number + 1, rowShare).persist(StorageLevel.MEMORY_AND_DISK)
+            old, rows = rows, _grown(rows, tree, rate, bins).persist(StorageLevel.MEMORY_AND_DISK)
             if number % CUT_EVERY == CUT_EVERY - 1:
-                cut = rows.checkpoint()
-                rows.unpersist()
-                rows = cut.persist(StorageLevel.MEMORY_AND_DISK)
-            sums = rows.agg(*whole).first()
-            old.unpersist()
-            if heldCol and sums[3]:
-                losses.append(sums[2] / sums[3])
-                if number - int(np.argmin(losses)) >= patience:
-                    break
+                rows.checkpoint()
         if losses:
             trees = trees[: int(np.argmin(losses)) + 1]
         return trees, width, losses
     finally:
         rows.unpersist()
+        if old is not None:
+            old.unpersist()
 
 
 def jvm_model(trees: list[Tree], width: int, rate: float, features: str, prefix: str) -> GBTClassificationModel:
@@ -400,15 +452,16 @@ def jvm_model(trees: list[Tree], width: int, rate: float, features: str, prefix:
     spark = SparkSession.active()
     jvm, gateway = spark._jvm, spark.sparkContext._gateway
     nodes = jvm.org.apache.spark.ml.tree
+    leaf, inner, border = nodes.LeafNode, nodes.InternalNode, nodes.ContinuousSplit
     stats = gateway.new_array(jvm.double, 3)
     nothing = jvm.org.apache.spark.mllib.tree.impurity.VarianceCalculator(stats, 0)
 
     def node(tree: Tree, i: int):
         value = float(rate * tree.value[i] / 2)
         if tree.feature[i] < 0:
-            return nodes.LeafNode(value, 0.0, nothing)
-        split = nodes.ContinuousSplit(int(tree.feature[i]), float(tree.threshold[i]))
-        return nodes.InternalNode(value, 0.0, 0.0, node(tree, 2 * i + 1), node(tree, 2 * i + 2), split, nothing)
+            return leaf(value, 0.0, nothing)
+        split = border(int(tree.feature[i]), float(tree.threshold[i]))
+        return inner(value, 0.0, 0.0, node(tree, 2 * i + 1), node(tree, 2 * i + 2), split, nothing)
 
     kind = jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel
     made = gateway.new_array(kind, len(trees))
@@ -443,6 +496,8 @@ def round_curve(df: DataFrame, model: GBTClassificationModel, label: str = "labe
                 sizes = np.diff(part.column(1).offsets.to_numpy())
                 row = np.repeat(np.arange(len(y)), sizes)
                 feature, value = part.column(1).flatten().to_numpy(), part.column(2).flatten().to_numpy()
+                order = np.argsort(feature, kind="stable")
+                row, feature, value = row[order], feature[order], value[order]
                 margin = np.zeros(len(y))
                 losses, right = [], []
                 for tree in trees:
@@ -480,6 +535,7 @@ def _flat(tree) -> list[tuple]:
 
 
 def _evaluated(tree: list[tuple], row: np.ndarray, feature: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """Each row's value of a tree; entries lie in order of their features."""
     out = np.zeros(n)
     todo = [(0, np.arange(n))]
     while todo:
@@ -489,7 +545,7 @@ def _evaluated(tree: list[tuple], row: np.ndarray, feature: np.ndarray, value: n
             out[mine] = result
             continue
         dense = np.zeros(n)
-        own = feature == f
+        own = slice(*np.searchsorted(feature, [f, f + 1]))
         dense[row[own]] = value[own]
         goes = dense[mine] <= threshold
         todo += [(left, mine[goes]), (right, mine[~goes])]

@@ -397,7 +397,8 @@ def gbt_histogram(spark: SparkSession, sf: str) -> DataFrame:
     labels = _split(spark, sf, "train").select("msg_id", "label")
     rows = model.transform(_tokens_v1(spark, sf, "train")).join(labels, "msg_id")
     edges = boosting.quantile_edges(rows, "features", 1)
-    found = boosting.histograms(boosting.blocks(rows, "features", edges), boosting.Tree.empty(1), 0, len(edges))
+    level = boosting.Level(boosting.Tree.empty(1), 0, [0], len(edges), 1)
+    found = boosting.histogram_table(boosting.blocks(rows, "features", edges), level)
     sums = found.groupBy("feature").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
     return sums
 
