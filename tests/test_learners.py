@@ -106,6 +106,23 @@ def test_boosting_takes_a_job_a_level(spark, rows):
     assert made[10] - made[4] <= 6 * PARAMS["depth"]
 
 
+def test_rows_of_one_task_grow_all_trees_in_one_job(spark, rows, monkeypatch):
+    sc = spark.sparkContext
+    made, found = {}, {}
+    for rounds in (2, 9):
+        sc.setJobGroup(f"alone-{rounds}", "boosting")
+        found[rounds] = boosting.boost(rows, **{**PARAMS, "rounds": rounds, "heldCol": "held"})
+        made[rounds] = len(sc.statusTracker().getJobIdsForGroup(f"alone-{rounds}"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert made[9] == made[2]
+    # the same trees as by a job a level
+    monkeypatch.setattr(boosting, "TASK_ROWS", 100)
+    trees, _, losses = boosting.boost(rows, **{**PARAMS, "rounds": 9, "heldCol": "held"})
+    assert losses == pytest.approx(found[9][2])
+    for one, two in zip(trees, found[9][0], strict=True):
+        assert (one.feature == two.feature).all() and one.value == pytest.approx(two.value)
+
+
 def test_boosting_sums_are_the_same_in_chunks_and_by_block(rows, monkeypatch):
     params = {**PARAMS, "heldCol": "held", "weightCol": "w", "rowShare": 0.8, "columnShare": 0.7}
     want = None

@@ -2,8 +2,9 @@
 
 Features are counts or weights that are not negative; what a sparse vector leaves out is
 zero and bin 0, other values go to at most ``bins`` quantile bins of their feature.
-Rows are kept in blocks with their margins, sorted by feature and bin.  A level of a tree is
-one job: every task adds up its rows' gradients and Hessians by node, feature and
+Rows are kept in blocks with their margins, sorted by feature and bin.  Rows that are one
+task's work grow all trees in it, since starting a job takes longer than a level of them.  Beyond
+that a level of a tree is one job: every task adds up its rows' gradients and Hessians by node, feature and
 bin, a shuffle by chunks of features sums these, and the best splits of every node, at most
 ``2 ** depth`` a chunk, reach the driver.  A tree's first level also adds the tree before to the margins.  Split gains and leaves carry an L2 penalty.  Rows are drawn
 anew for each tree by a seeded hash, features by a seeded choice.
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,7 +42,7 @@ from tidings.session import enable_checkpoints
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_ROWS = 16_384  # numbers of rows have 16 bits
-TASK_ROWS = 16_384  # fewer are not worth a task
+TASK_ROWS = 1 << 17  # a level of fewer takes less time than a job takes to start
 CHUNK_CELLS = 1 << 16  # likewise for a task that sums
 DENSE_CELLS = 1 << 22  # sums that a task may hold; more are sent by block
 CUT_EVERY = 25  # rounds between cuts of the lineage
@@ -222,6 +223,14 @@ class Level:
         whole, loss = np.zeros((2, nodes)), np.zeros(2)
         dense = np.zeros((2, nodes * slots)) if nodes * slots <= DENSE_CELLS else None
         bounds = self.bounds
+        waiting: list[tuple] = []
+
+        def add() -> None:
+            key, *slopes = waiting[0] if len(waiting) == 1 else (np.concatenate(x) for x in zip(*waiting))
+            waiting.clear()
+            for i, x in enumerate(slopes):
+                dense[i] += np.bincount(key, x, nodes * slots)
+
         for block in rows:
             one = _Rows(block)
             loss += one.loss()
@@ -243,8 +252,13 @@ class Level:
                     yield c, (None, None, mine // slots * (high - low) + mine % slots - low, cells[:, of == c])
             for i, x in enumerate(slopes):
                 whole[i] += np.bincount(node[live], x[live], nodes)
-                if dense is not None:
-                    dense[i] += np.bincount(key, x[row], nodes * slots)
+            if dense is not None:
+                # small blocks wait for others
+                waiting.append((key, *(x[row] for x in slopes)))
+                if 4 * sum(len(x[0]) for x in waiting) >= nodes * slots:
+                    add()
+        if waiting:
+            add()
         for c in range(self.chunks):
             at, cells = None, None
             if dense is not None:
@@ -277,27 +291,31 @@ class Level:
     def best(self, found: Iterator[tuple], penalty: float, least: float) -> Iterator[tuple]:
         """Sums by node, loss, and each node's best split among a chunk's features: gain, feature, bin, right sums."""
         for c, whole, loss, cells in found:
-            # sums right of each border: bins above it
-            a, b = np.cumsum(cells[..., ::-1], axis=-1)[..., ::-1].reshape(2, len(self.active), -1)
-            g, h = whole[:, :, None]
-            with np.errstate(all="ignore"):
-                gain = a * a / (b + penalty) + (g - a) ** 2 / (h - b + penalty) - g * g / (h + penalty)
-            gain = np.where((b >= least) & (h - b >= least), gain, -np.inf).reshape(len(self.active), -1, self.bins)
             splits = {}
-            if gain.shape[1]:
+            # features without a row of the node in a bin but 0 split nothing
+            used = cells[1].any(axis=-1)
+            for i, (g, h) in enumerate(whole.T):
+                features = np.flatnonzero(used[i])
+                if not len(features):
+                    continue
+                # sums right of each border: bins above it
+                a, b = np.cumsum(cells[:, i, features, ::-1], axis=-1)[..., ::-1]
+                with np.errstate(all="ignore"):
+                    gain = a * a / (b + penalty) + (g - a) ** 2 / (h - b + penalty) - g * g / (h + penalty)
+                gain = np.where((b >= least) & (h - b >= least), gain, -np.inf)
                 # of equal splits the one at the lowest border, then of the first feature
-                for i, at in enumerate(gain.swapaxes(1, 2).reshape(len(self.active), -1).argmax(axis=1).tolist()):
-                    border, feature = divmod(at, gain.shape[1])
-                    top, at = float(gain[i, feature, border]), feature * self.bins + border
-                    if top > 1e-9:
-                        splits[self.active[i]] = (top, -border, -int(self.bounds[c] + feature), float(a[i, at]), float(b[i, at]))
+                border, at = divmod(int(gain.T.argmax()), len(features))
+                top = float(gain[at, border])
+                if top > 1e-9:
+                    feature = int(self.bounds[c] + features[at])
+                    splits[self.active[i]] = (top, -border, -feature, float(a[at, border]), float(b[at, border]))
             yield whole, loss, splits
 
 
 def histograms(rows: RDD, level: Level) -> RDD:
     """Chunks of the features with the sums of all tasks; a shuffle brings a chunk's parts together."""
     parts = rows.mapPartitions(level.sums)
-    if rows.getNumPartitions() > 1:
+    if rows.getNumPartitions() > 1 or level.chunks > 1:
         parts = parts.partitionBy(level.chunks, int)
     return parts.mapPartitions(level.added)
 
@@ -315,16 +333,11 @@ def histogram_table(rows: RDD, level: Level) -> DataFrame:
     return histograms(rows, level).mapPartitions(run).toDF("node long, feature long, bin long, g double, h double")
 
 
-def _grown(rows: RDD, tree: Tree, rate: float, bins: int) -> RDD:
-    """Blocks with the tree's values added to their margins."""
-    levels = int(np.log2(len(tree.feature) + 1)) - 1
-
-    def run(block: tuple) -> tuple:
-        one = _Rows(block)
-        one.margin = one.margin + rate * tree.value[one.nodes(tree, levels, bins)]
-        return one.packed()
-
-    return rows.map(run)
+def _grown(block: tuple, tree: Tree, rate: float, bins: int) -> tuple:
+    """A block with the tree's values added to its margins."""
+    one = _Rows(block)
+    one.margin = one.margin + rate * tree.value[one.nodes(tree, int(np.log2(len(tree.feature) + 1)) - 1, bins)]
+    return one.packed()
 
 
 class HistogramBoosting(Estimator, DefaultParamsReadable, DefaultParamsWritable):
@@ -366,81 +379,141 @@ class HistogramBoosting(Estimator, DefaultParamsReadable, DefaultParamsWritable)
         return jvm_model(trees, width, p["rate"], p["featuresCol"], p["prefix"])
 
 
-def boost(
-    df: DataFrame, featuresCol: str, labelCol: str, weightCol: str, heldCol: str, rounds: int, depth: int, bins: int,
-    patience: int, rate: float, penalty: float, least: float, rowShare: float, columnShare: float, seed: int = 42,
-) -> tuple[list[Tree], int, list[float]]:
-    """The trees kept, the number of features, and the held-out loss of every round made."""
-    enable_checkpoints(df.sparkSession)
-    edges = quantile_edges(df, featuresCol, bins)
-    width = len(edges)
-    rows = blocks(df, featuresCol, edges, labelCol, weightCol or None, heldCol or None)
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    tasks = rows.getNumPartitions()
-    old = None
-    trees: list[Tree] = []
-    losses: list[float] = []
+@dataclass
+class _Growth:
+    """How trees are grown, wherever the rows are."""
 
-    def grow(level: Level) -> tuple[np.ndarray, np.ndarray, dict[int, tuple]]:
-        """Sums of the nodes, held-out loss, best splits."""
-        cells = len(level.active) * width * bins
-        level.chunks = max(1, min(width, max(min(tasks, -(-cells // CHUNK_CELLS)), -(-cells // DENSE_CELLS))))
-        best: dict[int, tuple] = {}
-        for whole, loss, splits in histograms(rows, level).mapPartitions(lambda x: level.best(x, penalty, least)).collect():
-            for node, one in splits.items():
-                best[node] = max(best.get(node, one), one)
-        return whole, loss, best
+    edges: np.ndarray
+    held: bool
+    rounds: int
+    depth: int
+    bins: int
+    patience: int
+    rate: float
+    penalty: float
+    least: float
+    rowShare: float
+    columnShare: float
+    seed: int
 
-    def stopped(loss: np.ndarray) -> bool:
-        """Notes the loss after the last tree."""
-        if heldCol and trees and loss[1]:
-            losses.append(float(loss[0] / loss[1]))
-            return len(losses) - 1 - int(np.argmin(losses)) >= patience
-        return False
+    @property
+    def width(self) -> int:
+        return len(self.edges)
 
-    try:
-        for number in range(rounds + 1):
+    @property
+    def cells(self) -> int:
+        """Sums of the widest level."""
+        return 2 ** max(self.depth - 1, 0) * self.width * self.bins
+
+    def trees(
+        self, grow: Callable[[Level], tuple[np.ndarray, np.ndarray, dict[int, tuple]]], settle: Callable[[Tree, int], None]
+    ) -> tuple[list[Tree], list[float]]:
+        """The trees kept, and the held-out loss of every round made.
+
+        ``grow`` gives a level's sums of the nodes, held-out loss and best splits, ``settle`` adds a
+        tree to the margins.
+        """
+        trees: list[Tree] = []
+        losses: list[float] = []
+        for number in range(self.rounds + 1):
             chosen = None
-            if columnShare < 1:
-                chosen = np.zeros(width, bool)
-                order = np.random.default_rng([seed, number]).permutation(width)
-                chosen[order[: max(1, round(columnShare * width))]] = True
-            tree = Tree.empty(depth)
-            if number == rounds and not heldCol:
+            if self.columnShare < 1:
+                chosen = np.zeros(self.width, bool)
+                order = np.random.default_rng([self.seed, number]).permutation(self.width)
+                chosen[order[: max(1, round(self.columnShare * self.width))]] = True
+            tree = Tree.empty(self.depth)
+            if number == self.rounds and not self.held:
                 break
-            # the first level also stores the new margins and learns the loss of the tree before
-            whole, loss, best = grow(Level(tree, 0, [0], width, bins, 1, number, seed, rowShare, chosen))
-            if old is not None:
-                old.unpersist()
-                old = None
-            if stopped(loss) or number == rounds:
+
+            def at(level: int, active: list[int]) -> Level:
+                return Level(tree, level, active, self.width, self.bins, 1, number, self.seed, self.rowShare, chosen)
+
+            # the first level also learns the loss of the tree before
+            whole, loss, best = grow(at(0, [0]))
+            if self.held and trees and loss[1]:
+                losses.append(float(loss[0] / loss[1]))
+                if len(losses) - 1 - int(np.argmin(losses)) >= self.patience:
+                    break
+            if number == self.rounds:
                 break
             g, h = whole[:, 0].tolist()
             totals = {0: (g, h)}
-            tree.value[0] = -g / (h + penalty)
-            for level in range(depth):
+            tree.value[0] = -g / (h + self.penalty)
+            for level in range(self.depth):
                 below: dict[int, tuple[float, float]] = {}
                 for node, (_, b, f, gr, hr) in best.items():
                     f, b = -f, -b
                     tree.feature[node], tree.bin[node] = f, b
-                    tree.threshold[node] = 0.0 if b == 0 else edges[f][b - 1]
+                    tree.threshold[node] = 0.0 if b == 0 else self.edges[f][b - 1]
                     below[2 * node + 1] = (totals[node][0] - gr, totals[node][1] - hr)
                     below[2 * node + 2] = (gr, hr)
                 for child, (g, h) in below.items():
-                    tree.value[child] = -g / (h + penalty)
+                    tree.value[child] = -g / (h + self.penalty)
                 totals = below
                 # a node below twice the least Hessian has no split
-                active = sorted(x for x, (_, h) in below.items() if h >= 2 * least * (1 - 1e-9))
-                if not active or level == depth - 1:
+                active = sorted(x for x, (_, h) in below.items() if h >= 2 * self.least * (1 - 1e-9))
+                if not active or level == self.depth - 1:
                     break
-                best = grow(Level(tree, level + 1, active, width, bins, 1, number, seed, rowShare, chosen))[2]
+                best = grow(at(level + 1, active))[2]
             trees.append(tree)
-            old, rows = rows, _grown(rows, tree, rate, bins).persist(StorageLevel.MEMORY_AND_DISK)
-            if number % CUT_EVERY == CUT_EVERY - 1:
-                rows.checkpoint()
+            settle(tree, number)
         if losses:
             trees = trees[: int(np.argmin(losses)) + 1]
-        return trees, width, losses
+        return trees, losses
+
+    def in_task(self, rows: Iterator[tuple]) -> Iterator[tuple]:
+        """All trees, as their arrays, from the rows of one task; then the losses."""
+        blocks = list(rows)
+
+        def grow(level: Level) -> tuple[np.ndarray, np.ndarray, dict[int, tuple]]:
+            return next(level.best(level.added(level.sums(iter(blocks))), self.penalty, self.least))
+
+        def settle(tree: Tree, number: int) -> None:
+            blocks[:] = [_grown(block, tree, self.rate, self.bins) for block in blocks]
+
+        trees, losses = self.trees(grow, settle)
+        yield [(t.feature, t.bin, t.threshold, t.value) for t in trees], losses
+
+
+def boost(
+    df: DataFrame, featuresCol: str, labelCol: str, weightCol: str, heldCol: str, rounds: int, depth: int, bins: int,
+    patience: int, rate: float, penalty: float, least: float, rowShare: float, columnShare: float, seed: int = 42,
+) -> tuple[list[Tree], int, list[float]]:
+    """The trees kept, the number of features, and the held-out loss of every round made."""
+    enable_checkpoints(df.sparkSession)
+    edges = quantile_edges(df, featuresCol, bins)
+    growth = _Growth(edges, bool(heldCol), rounds, depth, bins, patience, rate, penalty, least, rowShare, columnShare, seed)
+    rows = blocks(df, featuresCol, edges, labelCol, weightCol or None, heldCol or None)
+    tasks = rows.getNumPartitions()
+    if tasks == 1 and growth.cells <= DENSE_CELLS:
+        found, losses = rows.mapPartitions(growth.in_task).collect()[0]
+        return [Tree(*arrays) for arrays in found], len(edges), losses
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    old = None
+
+    def grow(level: Level) -> tuple[np.ndarray, np.ndarray, dict[int, tuple]]:
+        """The first level of a tree also stores the new margins."""
+        nonlocal old
+        cells = len(level.active) * level.width * bins
+        level.chunks = max(1, min(level.width, max(min(tasks, -(-cells // CHUNK_CELLS)), -(-cells // DENSE_CELLS))))
+        best: dict[int, tuple] = {}
+        for whole, loss, splits in histograms(rows, level).mapPartitions(lambda x: level.best(x, penalty, least)).collect():
+            for node, one in splits.items():
+                best[node] = max(best.get(node, one), one)
+        if old is not None:
+            old.unpersist()
+            old = None
+        return whole, loss, best
+
+    def settle(tree: Tree, number: int) -> None:
+        nonlocal rows, old
+        old, rows = rows, rows.map(lambda block: _grown(block, tree, rate, bins)).persist(StorageLevel.MEMORY_AND_DISK)
+        if number % CUT_EVERY == CUT_EVERY - 1:
+            rows.checkpoint()
+
+    try:
+        trees, losses = growth.trees(grow, settle)
+        return trees, len(edges), losses
     finally:
         rows.unpersist()
         if old is not None:
