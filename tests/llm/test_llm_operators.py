@@ -6,6 +6,7 @@ import hashlib
 import json
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -152,6 +153,18 @@ def test_ppm_is_the_trie_model(spark, texts, order):
         assert rows[i].train_tokens == n
 
 
+def test_ppm_words_of_a_slice_stay_in_arrow():
+    """Different words are no Python objects, of which a chunk's would fill an executor."""
+    bodies = [b" ".join(b"w%d" % (i % 100_000) for i in range(k, k + 100_000)) for k in (0, 50_000)]
+    tracemalloc.start()
+    different, at, sizes = ppm._different(bodies)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(different) == 100_000 and sizes.tolist() == [100_000, 100_000]
+    assert different[int(at[100_000])].as_py() == b"w50000"
+    assert peak < 8 << 20
+
+
 def test_ppm_probabilities_sum_to_one():
     model = _model([b"abracadabra\n", b"abra cad\n"], 2)
     for context in (b"ab", b"zz", b"ra", b"\n\n"):

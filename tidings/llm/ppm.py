@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidings.llm.common import Numbers, documents, small_batches, split_words, stored, text_or_empty
+from tidings.llm.common import documents, small_batches, split_words, stored, text_or_empty
 from tidings.session import shared_folder
 
 ORDER = 5
@@ -175,6 +175,13 @@ def _sliced(bodies: list[bytes]) -> Iterator[tuple[int, int]]:
         at = end
 
 
+def _different(bodies: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different words of texts, which of them each word is, and how many words each text has."""
+    flat, sizes = split_words(pa.array(bodies, pa.binary()))
+    coded = flat.dictionary_encode()
+    return coded.dictionary.view(pa.binary()), coded.indices.to_numpy(), sizes
+
+
 def _gram_counts(bodies: list[bytes], train: list[bool], order: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct windows of the texts and their counts in those to learn from."""
     every, n = [np.zeros(0, np.uint64)], [np.zeros(0)]
@@ -239,15 +246,14 @@ def _words_of(rows: DataFrame) -> DataFrame:
     """``chunk, word, n``: distinct words and the end mark, with training counts."""
 
     def count(chunk: int, bodies: list[bytes], train: list[bool]) -> Iterator[pa.RecordBatch]:
-        numbers, n = Numbers(), np.zeros(0, np.int64)
+        words, n = [pa.array([END], pa.binary())], [np.array([sum(train)])]
         for a, b in _sliced(bodies):
-            flat, sizes = split_words(pa.array(bodies[a:b], pa.binary()))
-            at = numbers.of_array(flat)
-            n = np.concatenate([n, np.zeros(len(numbers) - len(n), np.int64)])
-            n += np.bincount(at[np.repeat(np.array(train[a:b], bool), sizes)], minlength=len(n))
-        numbers.of([END])
-        n = np.append(n, sum(train))
-        yield from _pieces(chunk, "word", pa.array(list(numbers), pa.binary()), n)
+            different, at, sizes = _different(bodies[a:b])
+            words.append(different)
+            n.append(np.bincount(at[np.repeat(np.array(train[a:b], bool), sizes)], minlength=len(different)))
+        found = pa.table([pa.chunked_array(words), pa.array(np.concatenate(n))], names=["word", "n"])
+        found = found.group_by("word").aggregate([("n", "sum")]).combine_chunks()
+        yield from _pieces(chunk, "word", found["word"].combine_chunks(), found["n_sum"].to_numpy())
 
     return _of_chunks(rows, count, "chunk long, word binary, n long")
 
@@ -399,35 +405,39 @@ def scores(
 
     def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         is_word = right.column("gram").is_null()
-        mine = right.filter(pc.invert(is_word))
-        known, code_of = mine.column("gram").to_numpy().view(np.uint64), mine.column("value").to_numpy()
+        known = right.column("gram").drop_null().to_numpy().view(np.uint64)
+        code_of = right.column("value").filter(pc.invert(is_word)).to_numpy()
+        words, counts = right.column("word").filter(is_word), right.column("value").filter(is_word).to_numpy()
+        del right, is_word
         sort = np.argsort(known)
         known, code_of = known[sort], code_of[sort]
-        mine = right.filter(is_word)
-        del right
-        numbers = Numbers()
-        numbers.of(mine.column("word").to_pylist())
-        counts = mine.column("value").to_numpy()
-        logs = np.log10(counts + 1)
+        del sort
         unpack = zstandard.ZstdDecompressor().decompress
         packed = left.column("body").to_pylist()
-        n_tokens, n_known, base, sums = [], [], [], []
+        n_tokens, n_known, base, sums, used = [], [], [], [], []
         for first in range(0, len(packed), 1000):
             bodies = [unpack(x) for x in packed[first : first + 1000]]
             for a, b in _sliced(bodies):
+                used.append(_different(bodies[a:b]))
                 body, starts = _body(bodies[a:b], order)
                 number, grams_ = _windows(body, order)
                 place = np.minimum(np.searchsorted(known, grams_), len(known) - 1)
                 total = np.r_[np.zeros(order + 1), np.cumsum(code_of[place][number])]
                 # bytes of text i: from its start + order to the next start
                 sums.append(total[starts[1:]] - total[starts[:-1] + order])
-                flat, sizes = split_words(pa.array(bodies[a:b], pa.binary()))
-                words_at = np.split(numbers.of_array(flat), np.cumsum(sizes)[:-1])
-                end = numbers[END]
-                for at in words_at:
-                    n_tokens.append(len(at) + 1)
-                    n_known.append(int((counts[at] > 0).sum() + (counts[end] > 0)))
-                    base.append(math.fsum(logs[at]) + logs[end] - (len(at) + 1) * share)
+        del known, code_of, number, place, total
+        # all words of the chunk are looked up at once
+        logs = np.log10(counts + 1)
+        end = pc.index(words, pa.scalar(END, pa.binary())).as_py()
+        numbers = pc.index_in(pa.chunked_array([x[0] for x in used]), value_set=words.combine_chunks()).to_numpy()
+        first = 0
+        for different, at, sizes in used:
+            mine = numbers[first : first + len(different)][at]
+            first += len(different)
+            for at in np.split(mine, np.cumsum(sizes)[:-1]):
+                n_tokens.append(len(at) + 1)
+                n_known.append(int((counts[at] > 0).sum() + (counts[end] > 0)))
+                base.append(math.fsum(logs[at]) + logs[end] - (len(at) + 1) * share)
         n = len(packed)
         return pa.table(
             [
