@@ -123,6 +123,37 @@ def test_rows_of_one_task_grow_all_trees_in_one_job(spark, rows, monkeypatch):
         assert (one.feature == two.feature).all() and one.value == pytest.approx(two.value)
 
 
+def test_one_task_sums_the_smaller_siblings(rows, monkeypatch):
+    params = {**PARAMS, "rounds": 6, "heldCol": "held", "weightCol": "w", "rowShare": 0.8, "columnShare": 0.7}
+    edges = boosting.quantile_edges(rows, "features", params["bins"])
+    names = {"featuresCol", "labelCol", "weightCol", "heldCol"}
+    growth = boosting._Growth(edges=edges, held=True, seed=42, **{k: v for k, v in params.items() if k not in names})
+    blocks = boosting.blocks(rows, "features", edges, weight="w", held="held").collect()
+    placed = []
+    summed = boosting._Task.summed
+    monkeypatch.setattr(boosting._Task, "summed", lambda self, place, n: placed.append((n, place)) or summed(self, place, n))
+    trees, losses = next(growth.in_task(iter(blocks)))
+    task = boosting._Task([boosting._Rows(x) for x in blocks], growth)
+    for _, place in placed:
+        # below the root at most half of the rows drawn
+        assert (place >= 0).all() or 2 * (place >= 0).sum() <= (~task.rows.held).sum()
+    # sums of every level as they come row by row
+    level = boosting.Level(boosting.Tree(*trees[0]), 1, [1, 2], growth.width, growth.bins, number=0, share=0.8)
+    (_, whole, _, cells), = level.added(level.sums(iter(blocks)))
+    task.start(boosting.Level(level.tree, 0, [0], growth.width, growth.bins, number=0, share=0.8))
+    task.descend(level.tree, 1)
+    place = np.where(task.live, task.node - 1, -1)
+    assert np.allclose(task.summed(place, 2), cells) and np.allclose(whole.sum(axis=1), [x.sum() for x in task.slopes])
+
+
+def test_splits_that_differ_by_rounding_are_equal():
+    # feature 4 gains more by the last digit only
+    a, b = np.array([[3.0, 3.0], [3.0 + 4e-16, 1.0]]), np.array([[5.0, 5.0], [5.0, 2.0]])
+    for features in ([2, 4], [4, 2]):
+        gain, border, feature, *_ = boosting._best(np.array(features), a, b, 1.0, 10.0, 1.0, 1.0)
+        assert (border, feature) == (0, -2) and gain > 0
+
+
 def test_boosting_sums_are_the_same_in_chunks_and_by_block(rows, monkeypatch):
     params = {**PARAMS, "heldCol": "held", "weightCol": "w", "rowShare": 0.8, "columnShare": 0.7}
     want = None

@@ -190,6 +190,32 @@ def blocks(
 _ARROW = pa.schema([("number", pa.int64())] + [(x, pa.binary()) for x in _KINDS])
 
 
+def _right(cells: np.ndarray) -> np.ndarray:
+    """Sums right of each border: bins above it."""
+    return np.cumsum(cells[:, ::-1], axis=1)[:, ::-1]
+
+
+def _best(
+    features: np.ndarray, a: np.ndarray, b: np.ndarray, g: float, h: float, penalty: float, least: float
+) -> tuple | None:
+    """The best split by sums right of each feature's borders: gain, border and feature (negative), right sums.
+
+    Sums are rounded, so splits that gain the same to a billionth are equal: the one at the lowest border wins, then
+    that of the first feature.
+    """
+    least *= 1 - 1e-9
+    at, border = np.nonzero((b >= least) & (h - b >= least))
+    a, b = a[at, border], b[at, border]
+    with np.errstate(all="ignore"):
+        gain = a * a / (b + penalty) + (g - a) ** 2 / (h - b + penalty) - g * g / (h + penalty)
+    top = np.fmax.reduce(gain, initial=0.0)
+    if top <= 1e-9:
+        return None
+    equal = np.flatnonzero(gain >= top - 1e-9 * (1 + top))
+    k = min(equal.tolist(), key=lambda x: (border[x], features[at[x]]))
+    return float(gain[k]), -int(border[k]), -int(features[at[k]]), float(a[k]), float(b[k])
+
+
 @dataclass
 class Level:
     """What the tasks of a level need: the nodes to split, and the features in chunks that are summed apart."""
@@ -294,21 +320,12 @@ class Level:
             splits = {}
             # features without a row of the node in a bin but 0 split nothing
             used = cells[1].any(axis=-1)
-            for i, (g, h) in enumerate(whole.T):
+            for i, (g, h) in enumerate(whole.T.tolist()):
                 features = np.flatnonzero(used[i])
-                if not len(features):
-                    continue
-                # sums right of each border: bins above it
-                a, b = np.cumsum(cells[:, i, features, ::-1], axis=-1)[..., ::-1]
-                with np.errstate(all="ignore"):
-                    gain = a * a / (b + penalty) + (g - a) ** 2 / (h - b + penalty) - g * g / (h + penalty)
-                gain = np.where((b >= least) & (h - b >= least), gain, -np.inf)
-                # of equal splits the one at the lowest border, then of the first feature
-                border, at = divmod(int(gain.T.argmax()), len(features))
-                top = float(gain[at, border])
-                if top > 1e-9:
-                    feature = int(self.bounds[c] + features[at])
-                    splits[self.active[i]] = (top, -border, -feature, float(a[at, border]), float(b[at, border]))
+                a, b = (_right(x[i, features]) for x in cells)
+                split = _best(features + self.bounds[c], a, b, g, h, penalty, least)
+                if split:
+                    splits[self.active[i]] = split
             yield whole, loss, splits
 
 
@@ -463,16 +480,109 @@ class _Growth:
 
     def in_task(self, rows: Iterator[tuple]) -> Iterator[tuple]:
         """All trees, as their arrays, from the rows of one task; then the losses."""
-        blocks = list(rows)
+        task = _Task(list(map(_Rows, rows)), self)
+        trees, losses = self.trees(task.grow, task.settle)
+        yield [(t.feature, t.bin, t.threshold, t.value) for t in trees], losses
 
-        def grow(level: Level) -> tuple[np.ndarray, np.ndarray, dict[int, tuple]]:
-            return next(level.best(level.added(level.sums(iter(blocks))), self.penalty, self.least))
 
-        def settle(tree: Tree, number: int) -> None:
-            blocks[:] = [_grown(block, tree, self.rate, self.bins) for block in blocks]
+class _Task:
+    """The rows of a task that grows all trees, numbered through its blocks.
 
-        trees, losses = self.trees(grow, settle)
-        yield [(t.feature, t.bin, t.threshold, t.value) for t in trees], losses
+    Of two sibling nodes the one with fewer rows is summed, the other is what that leaves of their parent.  A
+    feature with too few Hessians in a node for a child of it is not looked at in the nodes below.
+    """
+
+    def __init__(self, blocks: list[_Rows], growth: _Growth) -> None:
+        self.blocks, self.growth = blocks, growth
+        starts = np.cumsum([0, *(len(x.y) for x in blocks)])
+        slot = np.concatenate([np.zeros(0, np.uint32), *(x.slot for x in blocks)])
+        row = np.concatenate([np.zeros(0, np.int32), *(x.row + np.int32(at) for x, at in zip(blocks, starts.tolist()))])
+        # entries by row, and rows by slot
+        self.slot = slot[np.argsort(row, kind="stable")].astype(np.int64)
+        self.ends = np.cumsum(np.r_[0, np.bincount(row, minlength=int(starts[-1]))])
+        self.row = row[np.argsort(slot, kind="stable")]
+        self.slot_ends = np.cumsum(np.r_[0, np.bincount(slot, minlength=growth.width * growth.bins)])
+        self.rows = _Rows.__new__(_Rows)
+        for name in ("y", "w", "held", "margin"):
+            setattr(self.rows, name, np.concatenate([np.zeros(0, _KINDS[name]), *(getattr(x, name) for x in blocks)]))
+
+    def start(self, level: Level) -> None:
+        """A new tree: the rows drawn for it and their slopes, all at the root."""
+        drawn = [x.drawn(level.seed, level.number, level.share) for x in self.blocks]
+        self.live = np.concatenate([np.zeros(0, bool), *drawn]) & ~self.rows.held
+        self.slopes = [np.where(self.live, x, 0.0) for x in self.rows.slopes()]
+        self.node, self.depth = np.zeros(len(self.live), np.int64), 0
+        self.features = {0: np.arange(level.width) if level.chosen is None else np.flatnonzero(level.chosen)}
+
+    def descend(self, tree: Tree, depth: int) -> None:
+        """Rows go on to the nodes of a level, or stop at leaves."""
+        bins = self.growth.bins
+        for level in range(self.depth, depth):
+            for node in range(2**level - 1, 2 ** (level + 1) - 1):
+                f = int(tree.feature[node])
+                if f >= 0:
+                    right = np.zeros(len(self.node), bool)
+                    right[self.row[self.slot_ends[f * bins + int(tree.bin[node])] : self.slot_ends[(f + 1) * bins]]] = True
+                    mine = np.flatnonzero(self.node == node)
+                    self.node[mine] = 2 * node + 1 + right[mine]
+        self.depth = depth
+
+    def summed(self, place: np.ndarray, nodes: int) -> np.ndarray:
+        """Gradients and Hessians by node, feature and bin of the rows with a place among so many nodes."""
+        slots = self.growth.width * self.growth.bins
+        rows = np.flatnonzero(place >= 0)
+        sizes = self.ends[rows + 1] - self.ends[rows]
+        if len(rows) == len(place):
+            slot = self.slot
+        else:
+            slot = self.slot[np.repeat(self.ends[rows] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+        if nodes > 1:
+            slot = slot + np.repeat(place[rows] * slots, sizes)
+        sums = [np.bincount(slot, np.repeat(x[rows], sizes), nodes * slots) for x in self.slopes]
+        return np.array(sums).reshape(2, nodes, self.growth.width, self.growth.bins)
+
+    def grow(self, level: Level) -> tuple[np.ndarray, np.ndarray, dict[int, tuple]]:
+        if level.level == 0:
+            self.start(level)
+        self.descend(level.tree, level.level)
+        size = 2 ** (level.level + 1) - 1
+        whole = np.array([np.bincount(self.node, x, size) for x in self.slopes])
+        if level.level == 0:
+            self.sums = {0: self.summed(self.node, 1)[:, 0]}
+        else:
+            rows = np.bincount(self.node[self.live], minlength=size).tolist()
+            # the right child of a node has an even number
+            pairs = {(x - 1) // 2: (x - 1 + x % 2, x + x % 2) for x in level.active}
+            fewer = [min(pair, key=rows.__getitem__) for pair in pairs.values()]
+            place = np.full(size, -1)
+            place[fewer] = np.arange(len(fewer))
+            found = self.summed(np.where(self.live, place[self.node], -1), len(fewer))
+            sums = {}
+            for i, (parent, pair) in enumerate(pairs.items()):
+                for x in pair:
+                    if x in level.active:
+                        sums[x] = found[:, i] if x == fewer[i] else self.sums[parent] - found[:, i]
+            self.sums = sums
+        best: dict[int, tuple] = {}
+        features = {}
+        for x in level.active:
+            features[x], split = self.best(self.features[(x - 1) // 2 if x else 0], *self.sums[x], *whole[:, x].tolist())
+            if split:
+                best[x] = split
+        self.features = features
+        return whole[:, level.active], np.array(self.rows.loss()), best
+
+    def best(self, features: np.ndarray, a: np.ndarray, b: np.ndarray, g: float, h: float) -> tuple[np.ndarray, tuple | None]:
+        """The features with Hessians enough for a child, and the best split."""
+        least = self.growth.least
+        b = _right(b[features])
+        enough = b[:, 0] >= least * (1 - 1e-9)
+        features = features[enough]
+        return features, _best(features, _right(a[features]), b[enough], g, h, self.growth.penalty, least)
+
+    def settle(self, tree: Tree, number: int) -> None:
+        self.descend(tree, self.growth.depth)
+        self.rows.margin = self.rows.margin + self.growth.rate * tree.value[self.node]
 
 
 def boost(
