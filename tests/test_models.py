@@ -162,3 +162,33 @@ def test_stream_equals_batch_and_replays(spark, sf, models, tmp_path):
 def test_word_vectors_train_on_all_partitions(spark):
     vectors = [x for x in classifiers.embed_pipeline().getStages() if hasattr(x, "getNumPartitions")]
     assert [x.getNumPartitions() for x in vectors] == [max(2, spark.sparkContext.defaultParallelism)]
+
+
+def test_pipelines_are_fitted_side_by_side_and_share_stages(spark, monkeypatch):
+    from threading import Barrier
+
+    rows = spark.createDataFrame([(i, "win cash now" if i % 2 else "see you soon", i % 2) for i in range(40)], "msg_id long, text string, label int")
+    both, fits = Barrier(2, timeout=60), []
+    vectorizer = classifiers.TfidfVectorizer
+    once = vectorizer._fit
+    monkeypatch.setattr(vectorizer, "_fit", lambda self, df: fits.append(self.uid) or both.wait() and None or once(self, df))
+    stages = [classifiers.normalizer(1), classifiers.WordTokenizer(inputCol="clean_v1", outputCol="t")]
+    made = [vectorizer(inputCol="t", outputCol=f"f{i}") for i in range(2)]
+    learner = classifiers.RegularizedLogistic
+    pipelines = {
+        key: classifiers.Pipeline(stages=[*stages, made[i], learner(featuresCol=f"f{i}", prefix=key)])
+        for key, i in (("a", 0), ("b", 1), ("c", 0))
+    }
+    # a stage waits until another pipeline's stage is being fitted too
+    models = classifiers.fit_models(rows, pipelines)
+    assert sorted(fits) == sorted(x.uid for x in made) and set(models) == {"a", "b", "c"}
+    assert models["a"].stages[2] is models["c"].stages[2]
+
+
+def test_many_rows_of_one_split_are_dealt(spark, monkeypatch):
+    rows = spark.range(600).select(F.col("id").alias("msg_id")).coalesce(1)
+    assert classifiers._dealt(rows)[0] is rows
+    monkeypatch.setattr(classifiers, "DEAL_ROWS", 300)
+    got, dealt = classifiers._dealt(rows)
+    assert dealt and got.rdd.getNumPartitions() == 2 and got.distinct().count() == 600
+    got.unpersist()

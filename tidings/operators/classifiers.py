@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor
 from functools import cache
+from threading import Lock
 
 from pyspark import inheritable_thread_target, keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
@@ -37,6 +38,8 @@ from tidings.session import enable_checkpoints
 # Phrases of the n-gram detector, and how often one must be used to become one.
 PHRASES = 20_000
 PHRASE_USES = 2
+# Fewer rows than these are not worth a task of their own.
+DEAL_ROWS = 16_384
 
 
 class RegularizedLogistic(Estimator, DefaultParamsReadable, DefaultParamsWritable):
@@ -250,7 +253,7 @@ def fit_models(
     train: DataFrame,
     pipelines: Mapping[str, Pipeline],
     balanced: Iterable[str] = (),
-    parallelism: int = 4,
+    parallelism: int = 8,
     partitions: int | None = None,
 ) -> dict[str, PipelineModel]:
     """Fit several pipelines, each shared feature stage only once.
@@ -259,39 +262,65 @@ def fit_models(
     vocabularies are still those of the table as it is.
 
     The featurised rows are kept on executors while learners that share them
-    run, and recomputed from the table if an executor is lost.  Learners do not
-    depend on each other, so several run at a time.  ``partitions`` merges the
+    run, and recomputed from the table if an executor is lost.  Pipelines do not
+    depend on each other but for the stages they share, so several run at a time; one that
+    needs a stage waits for the first to fit it.  Many rows in few splits are dealt
+    to the cluster's tasks by id before anything is fitted.  ``partitions`` merges the
     featurised rows to at most so many, which suits small tables; by default they
-    stay as they are read.
+    stay as they are read or dealt.
     """
     enable_checkpoints(train.sparkSession)
-    fitted: dict[str, object] = {}
+    stages: dict[str, Future] = {}
     frames: dict[tuple[str, ...], DataFrame] = {}
-    jobs: dict[str, tuple[list, Estimator, DataFrame]] = {}
-    try:
-        for key, pipeline in pipelines.items():
-            df, done = train, []
-            *features, learner = pipeline.getStages()
-            for stage in features:
-                if stage.uid not in fitted:
-                    fitted[stage.uid] = stage.fit(df) if isinstance(stage, Estimator) else stage
-                done.append(fitted[stage.uid])
-                df = done[-1].transform(df)
-            path = tuple(s.uid for s in features)
+    lock = Lock()
+
+    def fitted(stage, df: DataFrame):
+        with lock:
+            first = stage.uid not in stages
+            found = stages.setdefault(stage.uid, Future())
+        if first:
+            try:
+                found.set_result(stage.fit(df) if isinstance(stage, Estimator) else stage)
+            except BaseException as error:
+                found.set_exception(error)
+        return found.result()
+
+    def fit(key: str, pipeline: Pipeline) -> PipelineModel:
+        df, done = train, []
+        *features, learner = pipeline.getStages()
+        for stage in features:
+            done.append(fitted(stage, df))
+            df = done[-1].transform(df)
+        path = tuple(s.uid for s in features)
+        with lock:
             if path not in frames:
                 needed = [*train.columns, learner.getOrDefault("featuresCol")]
                 frames[path] = df.select(
                     *[c for c in needed if c not in ("text", "split")]
                 ).persist(StorageLevel.MEMORY_AND_DISK)
-            rows = frames[path].coalesce(partitions) if partitions else frames[path]
-            jobs[key] = (done, learner, balance(rows) if key in balanced else rows)
+        rows = frames[path].coalesce(partitions) if partitions else frames[path]
+        return PipelineModel([*done, *_stages(learner.fit(balance(rows) if key in balanced else rows))])
+
+    train, dealt = _dealt(train)
+    try:
         in_session = inheritable_thread_target(train.sparkSession)
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            running = {
-                key: pool.submit(in_session(learner.fit), frame)
-                for key, (_, learner, frame) in jobs.items()
-            }
-            return {k: PipelineModel([*jobs[k][0], *_stages(run.result())]) for k, run in running.items()}
+            running = {key: pool.submit(in_session(fit), key, pipeline) for key, pipeline in pipelines.items()}
+            return {k: run.result() for k, run in running.items()}
     finally:
         for frame in frames.values():
             frame.unpersist()
+        if dealt:
+            train.unpersist()
+
+
+def _dealt(df: DataFrame, id_col: str = "msg_id") -> tuple[DataFrame, bool]:
+    """Rows of few splits on as many partitions as the cluster runs tasks, but ``DEAL_ROWS`` or more on each.
+
+    Learners read their rows hundreds of times; the splits of a small file would leave most of the cluster idle.
+    """
+    tasks = min(df.sparkSession.sparkContext.defaultParallelism, df.count() // DEAL_ROWS)
+    if tasks <= df.rdd.getNumPartitions():
+        return df, False
+    by = [id_col] if id_col in df.columns else []
+    return df.repartition(tasks, *by).persist(StorageLevel.MEMORY_AND_DISK), True
