@@ -534,3 +534,24 @@ def test_quality_of_odd_rows(spark, odd):
 def test_known_ids_only_in_training_share(spark, sf, texts):
     rows = QUERIES["op2_ppm_scores"](spark, sf).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2) for r in rows) and len(rows) == len(texts)
+
+
+def test_windows_of_a_chunk_are_counted_in_bounded_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    from tidings.llm import ppm
+
+    rng = np.random.default_rng(1)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8)
+    words = [bytes(rng.choice(letters, 6)) for _ in range(3000)]
+    bodies = [b" ".join(words[i] for i in rng.integers(0, 3000, 40_000)) + ppm.END for _ in range(16)]
+    tracemalloc.start()
+    try:
+        keys, n = ppm._gram_counts(bodies, [True] * 16, 5)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n.sum() == sum(map(len, bodies)) and len(keys) == len(np.unique(keys))
+    assert peak < 170 << 20

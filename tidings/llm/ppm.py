@@ -42,9 +42,9 @@ from tidings.session import shared_folder
 
 ORDER = 5
 CHUNK_BYTES = 16 << 20
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 END = b"\n"  # never part of a word
-_DENSE = 1 << 24
+_DENSE = 1 << 23
 CODED_ROWS = 300_000
 
 
@@ -220,6 +220,8 @@ def _of_chunks(rows: DataFrame, count, schema: str) -> DataFrame:
                 train.append(t)
         if bodies:
             yield from count(chunk, bodies, train)
+        del bodies, train
+        pa.default_memory_pool().release_unused()  # the worker stays, for other tasks
 
     return rows.select("chunk", "body", "train").mapInArrow(run, schema)
 
@@ -369,6 +371,7 @@ def _coded(grams: DataFrame, below: dict[int, tuple[np.ndarray, np.ndarray]], or
                     gram, n = gram[cut:], n[cut:]
         if len(gram):
             yield from ready(gram, n)
+        pa.default_memory_pool().release_unused()
 
     context = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFFFF))
     near = grams.select("gram", "n").repartition(context).sortWithinPartitions(context)
