@@ -319,8 +319,10 @@ def _dealt(df: DataFrame, id_col: str = "msg_id") -> tuple[DataFrame, bool]:
 
     Learners read their rows hundreds of times; the splits of a small file would leave most of the cluster idle.
     """
-    tasks = min(df.sparkSession.sparkContext.defaultParallelism, df.count() // DEAL_ROWS)
-    if tasks <= df.rdd.getNumPartitions():
+    # a file has more splits than parts that can be read apart
+    sizes = [n for _, n in df.groupBy(F.spark_partition_id()).count().collect()]
+    tasks = min(df.sparkSession.sparkContext.defaultParallelism, sum(sizes) // DEAL_ROWS)
+    if tasks <= len(sizes):
         return df, False
     by = [id_col] if id_col in df.columns else []
     return df.repartition(tasks, *by).persist(StorageLevel.MEMORY_AND_DISK), True
