@@ -181,6 +181,41 @@ def test_collocations_are_those_of_brute_force(spark, least, chunk_words):
     assert {tuple(x) for x in rows.collect()} == _phrases(docs, least)
 
 
+@pytest.mark.parametrize("longest", [2, 3, 4, 6])
+def test_windows_of_a_relation_are_those_of_brute_force(longest):
+    r = random.Random(longest)
+    for n in [0, 1, 2, *range(3, 60)]:
+        place = np.cumsum([r.choice([1, 1, 1, 2]) for _ in range(n)]).astype(np.int64)
+        name = np.array([r.randrange(3) for _ in range(n)], np.int32)
+        pairs, windows = Counter(), Counter()
+        for i in range(n):
+            end = i + 1
+            while end < n and end - i < longest and place[end] == place[end - 1] + 1:
+                end += 1
+            pairs[tuple(name[i : min(end, i + 2)].tolist())] += end - i > 1
+            windows[tuple(name[i:end].tolist())] += end - i > 2
+        found = Counter()
+        for at, words, counts in collocations._different(place, name, longest):
+            for i, place_, n_ in zip(range(len(at)), at, counts):
+                found[(int(name[place_]), *(int(w[i]) for w in words if w[i] >= 0))] += int(n_)
+        assert found == +(pairs + windows)
+
+
+def test_windows_are_shuffled_once_whatever_is_frequent(spark):
+    df = spark.createDataFrame([("en", "a b c d a b c d. a b c")] * 40, "lang string, text string").coalesce(1)
+    docs = collocations.stored(collocations._occurrences(df, "text", "lang", 1 << 22), "occurrences")
+    known = collocations._chunk_words(docs).withColumn("id", F.col("number").cast("long"))
+    relation = collocations._first_relation(docs, known.select("chunk", "number", "id"))
+    windows = collocations._windows(relation, 4, 3)
+    size = lambda r: len(collocations._unpack_bytes(r["n"]))
+    assert sum(map(size, windows.collect())) == 4 + 6  # ab bc cd da, abc abcd bcd bcda cdab dabc
+    for least, n in ((1, 4 + 4 + 4), (81, 3), (1000, 0)):  # 81: ab bc abc
+        found = collocations._frequent(windows, 4, least)
+        assert found.count() == n
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(bucket") == 1
+
+
 def test_ranks_order_by_score_count_and_bytes(spark):
     rows = [("a", p, n, 1, 1, 9, s) for p, n, s in [("é b", 3, 5), ("z b", 3, 5), ("q q", 9, 5), ("x y", 1, 7), ("m", 1, 1)]]
     df = spark.createDataFrame(rows + [("b", "k k", 1, 1, 1, 2, 0)], "lang string, phrase string, a long, l long, r long, n long, score long")

@@ -1,17 +1,18 @@
 """Phrases that are more than their parts, mined by joining occurrence relations level by level.
 
-The relation R(k) holds the occurrences of all frequent phrases of k words, sorted by
-place.  A phrase of k + 1 words is two phrases of k words at adjacent places of a piece, so
-R(k) is merge-joined with itself on place + 1, the pairs are counted in groups, and
-R(k + 1) is what a semi-join with the frequent groups leaves.  Each relation is
-persisted before it is extended; infrequent words and phrases never get further.
+The relation R(1) holds the occurrences of all frequent words, sorted by place.  A
+phrase of k + 1 words is a phrase of k words and a word at the next place of a piece, so
+R(k + 1) is R(k) merge-joined with R(1) there; phrases are counted in groups, and those met
+often enough stay.  Infrequent words never get further.
 
 On Spark: a relation has one row for each bounded chunk of texts of a language,
-with its places and phrase numbers as arrays, so the merge-join needs no shuffle.
-What is shuffled are the different phrases of each chunk with their counts, so a
-phrase that makes up a third of a corpus is one row a chunk.  Global phrase numbers
-stand for exact words, never for hashes.  The tables of frequent phrases are joined
-with each other by number for the scores.
+with its places and word numbers as arrays, so the merge-joins need no shuffle.
+What is shuffled, once, are the different windows of each chunk with their counts, so a
+phrase that makes up a third of a corpus is one row a chunk.  Windows of the greatest length are
+dealt by their first three words, and the counts of shorter ones are sums of theirs; pairs have
+rows of their own.  So there is at most a window for each word of the input, however many
+phrases are frequent.  Word numbers stand for exact words, never for hashes.  The tables of
+frequent phrases are joined with each other by these for the scores.
 
 Pieces end at ``. , ; : ! ?`` and line breaks; a place that is no word lies between
 two pieces and between two texts, so no phrase spans them.
@@ -33,13 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidings.llm.common import Numbers, documents, small_batches, split_words, stored, text_or_empty
+from tidings.llm.common import Numbers, documents, mix64, small_batches, split_words, stored, text_or_empty
 
 LEAST = 30
 LONGEST = 4
 TOP = 2000
 SHARE = 80  # percent of its occurrences inside a longer candidate that drop a phrase
 CHUNK_WORDS = 1 << 22
+BUCKET_WORDS = 1 << 21
 BREAK = b"."  # never a word
 SALTS = 64
 
@@ -162,58 +164,125 @@ def _first_relation(rows: DataFrame, known: DataFrame) -> DataFrame:
     return left.cogroup(known.groupBy("chunk")).applyInArrow(keep, _RELATION)
 
 
-def _joined(place: np.ndarray, name: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merge-join of a sorted relation with itself at the next place: places and pairs."""
-    at = np.flatnonzero(place[1:] == place[:-1] + 1)
-    return place[at], name[at].astype(np.int64) * width + name[at + 1]
+def _different(place: np.ndarray, name: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+    """Merge-joins of a sorted relation with itself at the next places: windows and their counts.
 
-
-def _pairs(relation: DataFrame) -> DataFrame:
-    """``chunk, left, right, n``: the different pairs of adjacent phrases of each chunk."""
+    First the different pairs, then the different windows of three words or more, which end with
+    their piece, before a word that is not in the relation, or after ``longest`` words.  A
+    window is given as one place of each, its other words (-1 past its end) and counts.
+    """
+    near = np.append(place[1:] == place[:-1] + 1, np.zeros(longest, bool))
+    del place
+    none = int(name.max(initial=0)) + 1
+    for words in sorted({2, longest}):
+        inner = near[:-1] & near[1:] if words > 2 else near
+        at = np.flatnonzero(inner)
+        alive = np.ones(len(at), bool)
+        code, kinds, steps = name[at].astype(np.int64), none + 1, []
+        for k in range(1, words):
+            alive &= near[at + k - 1]
+            word = np.full(len(at), none, np.int32)
+            word[alive] = name[at[alive] + k]
+            if kinds * (none + 1) >= 1 << 62:
+                different, code = np.unique(code, return_inverse=True)
+                kinds = len(different)
+            code = code * (none + 1) + word
+            kinds *= none + 1
+            steps.append(word)
+        order = np.argsort(code)
+        code = code[order]
+        first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
+        n = np.diff(first, append=len(code))
+        one = order[first]
+        del code, order
+        yield at[one], [np.where(w[one] == none, -1, w[one]) for w in steps], n
+
+
+def _pack_bytes(values: np.ndarray) -> bytes:
+    """32-bit numbers, first bytes first, which packs well what is sorted or small."""
+    return _pack(values.astype(np.int32).view(np.uint8).reshape(-1, 4).T)
+
+
+def _unpack_bytes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(_unpack(raw, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+
+
+def _windows(relation: DataFrame, longest: int, buckets: int) -> DataFrame:
+    """``bucket, words, n``: the different windows of each chunk, in buckets of their first three words.
+
+    ``words`` has an array for each word of a window, 0 past its end.  Rows with two words count all
+    places of that pair; longer ones are not contained in them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, *parts in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for _, *parts in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 place, name, ids = _read(*parts)
-                pairs, n = np.unique(_joined(place, name, max(1, len(ids)))[1], return_counts=True)
-                left, right = ids[pairs // max(1, len(ids))], ids[pairs % max(1, len(ids))]
-                for at in range(0, len(pairs), 100_000):
-                    some = slice(at, at + 100_000)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(left[some]), chunk)), pa.array(left[some]),
-                            pa.array(right[some]), pa.array(n[some]),
-                        ],
-                        names=["chunk", "left", "right", "n"],
-                    )
-
-    return relation.mapInArrow(run, "chunk long, left long, right long, n long")
-
-
-def _extended(relation: DataFrame, known: DataFrame) -> DataFrame:
-    """R(k + 1) of R(k); ``known`` is ``chunk, left, right, id`` of frequent pairs."""
-
-    def keep(left: pa.Table, right: pa.Table) -> pa.Table:
-        chunk = left.column("chunk")[0].as_py()
-        place, name, ids = _read(*(left.column(x)[0].as_py() for x in ("place", "name", "ids")))
-        width = max(1, len(ids))
-        place, pair = _joined(place, name, width)
-        order = np.argsort(ids)
-
-        def local(column: str) -> np.ndarray:
-            return order[np.searchsorted(ids, right.column(column).to_numpy(), sorter=order)]
+                ids = np.append(ids, 0).astype(np.int32)  # -1 stands for none
+                for at, words, n in _different(place, name, longest):
+                    columns = [ids[name[at]], *(ids[w] for w in words)]
+                    stem = np.zeros(len(at), np.uint64)
+                    for w in columns[:3]:
+                        stem = mix64(stem ^ w.astype(np.uint64))
+                    bucket = (stem % np.uint64(buckets)).astype(np.int32)
+                    order = np.argsort(bucket, kind="stable")
+                    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                    for b in np.flatnonzero(np.diff(edges)):
+                        some = order[edges[b] : edges[b + 1]]
+                        packed = [_pack_bytes(w[some]) for w in columns]
+                        packed += [_pack_bytes(np.zeros(len(some)))] * (longest - len(columns))
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array([b], pa.int32()), pa.array([packed], pa.list_(pa.binary())),
+                                pa.array([_pack_bytes(n[some])], pa.binary()),
+                            ],
+                            names=["bucket", "words", "n"],
+                        )
+
+    return relation.mapInArrow(run, "bucket int, words array<binary>, n binary")
+
+
+def _counted(words: list[np.ndarray], n: np.ndarray, least: int) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
+    """Windows met ``least`` times and, for lengths from three on, their first words: length, words, counts."""
+    # two words make a number, so that fewer are compared
+    keys = [words[i].astype(np.int64) << 32 | (words[i + 1] if i + 1 < len(words) else 0) for i in range(0, len(words), 2)]
+    order = np.lexsort(keys[::-1])
+    words, n = [w[order] for w in words], n[order].astype(np.int64)
+    del keys, order
+    for k in range(len(words), min(3, len(words)) - 1, -1):
+        new = np.zeros(len(n), bool)
+        new[:1] = True
+        for w in words[:k]:
+            new[1:] |= w[1:] != w[:-1]
+        first = np.flatnonzero(new)
+        words, n = [w[first] for w in words[:k]], np.add.reduceat(n, first) if len(n) else n
+        often = n >= least
+        for size in (k, 2) if k == 3 else (k,):
+            # three words and none for the third: a pair
+            some = often & (words[k - 1] > 0) if size == k else often & (words[2] == 0)
+            yield size, [w[some] for w in words[:size]], n[some]
+
+
+def _frequent(windows: DataFrame, longest: int, least: int) -> DataFrame:
+    """``k, w1, w2, ..., a``: phrases of ``k`` words met ``least`` times, 0 past their end.
+
+    Windows are shuffled once; those with the same first three words meet, and longer ones
+    give the counts of shorter ones.  The rows of pairs count by themselves.
+    """
+    names = [f"w{k}" for k in range(1, longest + 1)]
 
-        if not right.num_rows:
-            return _relation(chunk, place[:0], pair[:0], ids[:0])
-        wanted = local("left") * width + local("right")
-        new = right.column("id").to_numpy()
-        order2 = np.argsort(wanted)
-        wanted, new = wanted[order2], new[order2]
-        at = np.minimum(np.searchsorted(wanted, pair), len(wanted) - 1)
-        hit = wanted[at] == pair
-        return _relation(chunk, place[hit], at[hit], new)
+    def count(rows: pa.Table) -> pa.Table:
+        words = [np.concatenate([_unpack_bytes(x[i].as_py()) for x in rows.column("words")]) for i in range(longest)]
+        n = np.concatenate([_unpack_bytes(x.as_py()) for x in rows.column("n")])
+        found = list(_counted(words, n, least))
+        columns = [np.concatenate([np.full(len(a), k, np.int32) for k, _, a in found])]
+        for i in range(longest):
+            columns.append(np.concatenate([w[i] if i < k else np.zeros(len(a), np.int32) for k, w, a in found]))
+        columns.append(np.concatenate([a for *_, a in found]))
+        return pa.table([pa.array(x) for x in columns], names=["k", *names, "a"])
 
-    return relation.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(keep, _RELATION)
+    schema = ", ".join(["k int", *(f"{x} int" for x in names), "a long"])
+    return windows.groupBy("bucket").applyInArrow(count, schema)
 
 
 def _numbered(rows: DataFrame, name: str) -> DataFrame:
@@ -221,6 +290,21 @@ def _numbered(rows: DataFrame, name: str) -> DataFrame:
     return stored(rows.withColumn("id", F.monotonically_increasing_id()), name)
 
 
+def _dense(table: DataFrame) -> DataFrame:
+    """With ``w1``, a number from 1 on without large gaps; ``id`` counts rows by partition."""
+    sizes = table.groupBy(F.shiftright("id", 33).alias("part")).agg(F.max("id").alias("last")).orderBy("part").collect()
+    starts, at = [], 1
+    for part, last in sizes:
+        starts.append((part, at))
+        at += last - (part << 33) + 1
+    if at >= 1 << 31:
+        raise ValueError("more than 2 ** 31 frequent words")
+    parts = table.sparkSession.createDataFrame(starts, "part long, start long")
+    rows = table.join(F.broadcast(parts), F.shiftright("id", 33) == F.col("part"))
+    number = F.col("start") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn("w1", number.cast("int")).drop("part", "start")
+
+
 def phrase_tables(
     docs: DataFrame,
     text_col: str = "text",
@@ -232,7 +316,8 @@ def phrase_tables(
     """``lang, n`` and, for every length, ``id, lang, phrase, a, heads, tails`` of frequent phrases.
 
     ``heads`` and ``tails`` are the counts of its first and of its other words for every cut; from
-    two words on also ``left`` and ``right``, the numbers of the phrases a word shorter.
+    two words on also ``left`` and ``right``, the numbers of the phrases a word shorter, and
+    ``w1, w2, ...``, those of its words.
     """
     rows = stored(_occurrences(docs, text_col, lang_col, chunk_words), "occurrences")
     totals = rows.groupBy("lang").agg(F.sum("n_words").alias("n"))
@@ -243,30 +328,35 @@ def phrase_tables(
         counts.select("lang", F.col("word").cast("string").alias("phrase"), "word", "a", none.alias("heads"), none.alias("tails")),
         "words",
     )
-    known = words.select("chunk", "number", "lang", "word").join(table.select("lang", "word", "id"), ["lang", "word"])
-    relation = stored(_first_relation(rows, known.select("chunk", "number", "id")), "relation")
     tables = [table.drop("word")]
+    if longest < 2:
+        return totals, tables
+    table = _dense(table)
+    known = words.select("chunk", "number", "lang", "word").join(table.select("lang", "word", "w1"), ["lang", "word"])
+    known = known.select("chunk", "number", F.col("w1").cast("long").alias("id"))
+    relation = stored(_first_relation(rows, known), "relation")
+    n_words = totals.agg(F.sum("n")).first()[0] or 0
+    windows = _windows(relation, longest, n_words // BUCKET_WORDS + 1)
+    frequent = stored(_frequent(windows, longest, least), "counts")
+    names = [f"w{k}" for k in range(1, longest + 1)]
     for k in range(2, longest + 1):
-        pairs = _pairs(relation)
-        counts = pairs.groupBy("left", "right").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+        counts = frequent.where(F.col("k") == k)
         first = table.select(
-            F.col("id").alias("left"), "lang", F.col("phrase").alias("first"), F.col("a").alias("fa"), "heads"
+            *names[: k - 1], F.col("id").alias("left"), "lang", F.col("phrase").alias("first"), F.col("a").alias("fa"), "heads"
         )
         last = table.select(
-            F.col("id").alias("right"), F.substring_index("phrase", " ", -1).alias("last"), F.col("a").alias("la"), "tails"
-        )
-        joined = counts.join(first, "left").join(last, "right")
+            *(F.col(x).alias(y) for x, y in zip(names, names[1:k])), F.col("id").alias("right"),
+            F.substring_index("phrase", " ", -1).alias("last"), F.col("a").alias("la"), "tails",
+        )
+        joined = counts.select(*names[:k], "a").join(first, names[: k - 1]).join(last, names[1:k])
         table = _numbered(
             joined.select(
-                "left", "right", "lang", F.concat_ws(" ", "first", "last").alias("phrase"), "a",
+                "left", "right", *names[:k], "lang", F.concat_ws(" ", "first", "last").alias("phrase"), "a",
                 F.concat("heads", F.array("fa")).alias("heads"), F.concat(F.array("la"), "tails").alias("tails"),
             ),
             "phrases",
         )
         tables.append(table)
-        if k < longest:
-            known = pairs.select("chunk", "left", "right").join(table.select("left", "right", "id"), ["left", "right"])
-            relation = stored(_extended(relation, known), "relation")
     return totals, tables
 
 
