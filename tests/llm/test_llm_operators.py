@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidings.llm import chat, decontaminate, html, packing, ppm, quality, secrets, sharding, simhash, tokencount
-from tidings.llm.common import documents
+from tidings.llm.common import documents, give_back
 from tidings.llm.queries import ORACLE, QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -166,6 +166,23 @@ def test_ppm_words_of_a_slice_stay_in_arrow():
     assert peak < 8 << 20
 
 
+def test_ppm_windows_of_slices_are_summed_as_they_come():
+    """What slices share waits but once; and memory that a task has freed goes back."""
+    r = np.random.default_rng(2)
+    body = b" ".join(b"w%d" % i for i in r.integers(0, 20_000, 150_000)) + ppm.END
+    bodies = [body] * 24  # a slice each
+    ppm._gram_counts(bodies[:1], [True], 5)
+    tracemalloc.start()
+    one, n_one = ppm._gram_counts(bodies[:1], [True], 5)
+    tracemalloc.reset_peak()
+    keys, n = ppm._gram_counts(bodies, [True] * 23 + [False], 5)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (keys == one).all() and (n == 23 * n_one).all()
+    assert held < 90 << 20, held >> 20
+    give_back()
+
+
 def test_ppm_probabilities_sum_to_one():
     model = _model([b"abracadabra\n", b"abra cad\n"], 2)
     for context in (b"ab", b"zz", b"ra", b"\n\n"):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -101,6 +102,14 @@ def join_words(words: pa.Array, sizes: np.ndarray) -> pa.Array:
     return pc.binary_join(lists, " ").view(pa.binary())
 
 
+def give_back() -> None:
+    """Let a worker that stays for other tasks return the memory it has freed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 class Numbers(dict):
     """Numbers for words in order of first use; ``new`` lists those not dealt with yet."""
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidings.llm.common import documents, small_batches, split_words, stored, text_or_empty
+from tidings.llm.common import documents, give_back, small_batches, split_words, stored, text_or_empty
 from tidings.session import shared_folder
 
 ORDER = 5
@@ -46,6 +46,7 @@ SLICE_BYTES = 1 << 20
 END = b"\n"  # never part of a word
 _DENSE = 1 << 23
 CODED_ROWS = 300_000
+MERGED_ROWS = 500_000
 
 
 # ------------------------------------------------------------------ adaptive form
@@ -156,6 +157,7 @@ def _chunked(docs: DataFrame, id_col: str, text_col: str, train, chunk_bytes: in
                 [pa.array(chunks, pa.int64()), batch.column(0), pa.array(packed, pa.binary()), batch.column(2)],
                 names=["chunk", "id", "body", "train"],
             )
+        give_back()
 
     schema = T.StructType(
         [T.StructField("chunk", T.LongType()), rows.schema["id"], T.StructField("body", T.BinaryType()), T.StructField("train", T.BooleanType())]
@@ -182,9 +184,22 @@ def _different(bodies: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.dictionary.view(pa.binary()), coded.indices.to_numpy(), sizes
 
 
+def _summed(keys: list[np.ndarray], n: list[np.ndarray]) -> None:
+    """Lists of keys and counts become one of different keys, in place."""
+    every, counts = np.concatenate(keys), np.concatenate(n)
+    keys.clear()
+    n.clear()
+    order = np.argsort(every)
+    every, counts = every[order], counts[order]
+    del order
+    first = np.flatnonzero(np.append(True, every[1:] != every[:-1])[: len(every)])
+    keys.append(every[first])
+    n.append(np.add.reduceat(counts, first) if len(first) else counts)
+
+
 def _gram_counts(bodies: list[bytes], train: list[bool], order: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct windows of the texts and their counts in those to learn from."""
-    every, n = [np.zeros(0, np.uint64)], [np.zeros(0)]
+    every, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for a, b in _sliced(bodies):
         body, starts = _body(bodies[a:b], order)
         at, keys = _windows(body, order)
@@ -196,9 +211,12 @@ def _gram_counts(bodies: list[bytes], train: list[bool], order: int) -> tuple[np
         learn = np.repeat(np.array(train[a:b], bool), np.diff(starts))[order:] & own
         used = np.bincount(at[own], minlength=len(keys)) > 0
         every.append(keys[used])
-        n.append(np.bincount(at[learn], minlength=len(keys))[used].astype(float))
-    keys, at = np.unique(np.concatenate(every), return_inverse=True)
-    return keys, np.bincount(at, np.concatenate(n), len(keys)).astype(np.int64)
+        n.append(np.bincount(at[learn], minlength=len(keys))[used].astype(np.int64))
+        # slices share most windows: never more than twice the different ones wait, or a few slices'
+        if sum(map(len, every[1:])) >= max(len(every[0]), MERGED_ROWS):
+            _summed(every, n)
+    _summed(every, n)
+    return every[0], n[0]
 
 
 def _of_chunks(rows: DataFrame, count, schema: str) -> DataFrame:
@@ -220,8 +238,8 @@ def _of_chunks(rows: DataFrame, count, schema: str) -> DataFrame:
                 train.append(t)
         if bodies:
             yield from count(chunk, bodies, train)
-        del bodies, train
-        pa.default_memory_pool().release_unused()  # the worker stays, for other tasks
+        bodies, train = [], []
+        give_back()
 
     return rows.select("chunk", "body", "train").mapInArrow(run, schema)
 
@@ -371,7 +389,8 @@ def _coded(grams: DataFrame, below: dict[int, tuple[np.ndarray, np.ndarray]], or
                     gram, n = gram[cut:], n[cut:]
         if len(gram):
             yield from ready(gram, n)
-        pa.default_memory_pool().release_unused()
+        del gram, n
+        give_back()
 
     context = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFFFF))
     near = grams.select("gram", "n").repartition(context).sortWithinPartitions(context)
@@ -442,6 +461,8 @@ def scores(
                 n_known.append(int((counts[at] > 0).sum() + (counts[end] > 0)))
                 base.append(math.fsum(logs[at]) + logs[end] - (len(at) + 1) * share)
         n = len(packed)
+        del words, used, numbers, packed
+        give_back()
         return pa.table(
             [
                 left.column("id"), left.column("train"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
