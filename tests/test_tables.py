@@ -390,3 +390,17 @@ def test_history_over_batches(spark, tmp_path):
     assert len(list((tmp_path / "h").glob("batch_id=*"))) == 2
     with pytest.raises(FileNotFoundError):
         history.update_history(batch, 9, path)
+
+
+def test_history_rows_are_cut_before_verdicts(spark, tmp_path):
+    """A batch of a stream gives at most its newest rows on, so verdicts are worked out for these alone."""
+    from tidings.streaming import history
+
+    rows = spark.range(5000).selectExpr("id AS msg_id", "timestamp_seconds(id % 700) AS ts", "'x' AS text").coalesce(1)
+    cut = history.cut_newest(rows, 20, id_col="msg_id")
+    assert cut.schema == rows.schema and cut.count() == 20
+    want = rows.orderBy(F.desc("ts"), F.desc("msg_id")).limit(20).collect()
+    assert cut.orderBy(F.desc("ts"), F.desc("msg_id")).collect() == want
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    assert history.cut_newest(stream, 20, id_col="msg_id").isStreaming

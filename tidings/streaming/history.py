@@ -85,12 +85,25 @@ def history_stream(verdicts: DataFrame, path: str, checkpoint: str, **trigger: o
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def newest(rows: pd.DataFrame, n: int, by: list[str]) -> pd.DataFrame:
+def newest(rows: pd.DataFrame, n: int, by: list[str], id_col: str = "id") -> pd.DataFrame:
     """The newest n entries of each group, an entry given twice once."""
-    rows = rows.drop_duplicates([*by, "id"], keep="last").sort_values(["ts", "id"], ascending=False)
+    rows = rows.drop_duplicates([*by, id_col], keep="last").sort_values(["ts", id_col], ascending=False)
     return rows.groupby(by, sort=False, dropna=False).head(n) if by else rows.head(n)
 
 
+def cut_newest(df: DataFrame, n: int = fixed.HISTORY_SIZE, by: list[str] | None = None, id_col: str = "id") -> DataFrame:
+    """At most the newest n entries of each group from each batch of rows in a task, also of a stream.
+
+    No other can be among the newest n of all, so what is costly needs to be worked out for these only.
+    """
+
+    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield newest(part, n, by or [], id_col)
+
+    return df.mapInPandas(cut, df.schema)
+
+
 class NewestEntries(StatefulProcessor):
     """Keeps the newest n entries of a key, and gives them out whenever the key has rows."""
 
@@ -127,13 +140,9 @@ def history_state_stream(
     rows = history_entries(verdicts).withColumn("key", F.col(key).cast("string") if key else F.lit("all"))
     rows = rows.select("key", *COLUMNS)
 
-    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield newest(part, n, ["key"])
-
     entry = StructType([rows.schema[c] for c in COLUMNS])
     states = (
-        rows.mapInPandas(cut, rows.schema)
+        cut_newest(rows, n, ["key"])
         .groupBy("key")
         .transformWithStateInPandas(NewestEntries(n, entry), rows.schema, "Update", "None")
     )
