@@ -1,8 +1,8 @@
 """Metric documents: one JSON object that maps a key to a record.
 
-An updated document is a folder of versions and a pointer to the current one.  A
-version is written whole before the pointer is replaced, in one rename, so a reader
-sees the old document or the new one, also when a write fails half-way.
+An updated document is one file in its folder.  The next one is written whole below
+another name before it replaces that file, in one rename, so a reader sees the
+old document or the new one, also when a write fails half-way.
 """
 
 from __future__ import annotations
@@ -61,11 +61,14 @@ def write_metrics(df: DataFrame, path: str, schema: str = schemas.METRICS) -> No
     df.agg(F.to_json(entries).alias("value")).write.mode("overwrite").text(path)
 
 
-POINTER = "current"
+DOCUMENT = "part-00000"
+POINTER = "current"  # names the current version in documents of an older form
 
 
 def current_version(spark: SparkSession, path: str) -> str:
-    """Where the document at ``path`` lies: the version its pointer names, or itself."""
+    """Where the document at ``path`` lies: in one file, in the version its pointer names, or as it was written."""
+    if path_exists(spark, f"{path}/{DOCUMENT}"):
+        return f"{path}/{DOCUMENT}"
     if not path_exists(spark, f"{path}/{POINTER}"):
         return path
     name = spark.read.text(f"{path}/{POINTER}").first()[0]
@@ -73,37 +76,37 @@ def current_version(spark: SparkSession, path: str) -> str:
 
 
 def swap(spark: SparkSession, path: str, name: str) -> None:
-    """Let the pointer at ``path`` name another version, in one rename."""
+    """Let the document written to the folder ``name`` be the one at ``path``, in one rename."""
     jvm = spark.sparkContext._jvm
     fs_path = jvm.org.apache.hadoop.fs.Path
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    staged = fs_path(f"{path}/staged-{uuid.uuid4().hex}")
-    out = staged.getFileSystem(conf).create(staged, True)
-    out.write(bytearray(name.encode()))
-    out.close()
+    (part,) = listed(spark, f"{path}/{name}", "part-")
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs_path(path).getFileSystem(conf).getUri(), conf)
     options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(staged, fs_path(f"{path}/{POINTER}"), options)
+    context.rename(fs_path(f"{path}/{name}/{part}"), fs_path(f"{path}/{DOCUMENT}"), options)
 
 
 def update_metrics(spark: SparkSession, new: DataFrame, path: str) -> DataFrame:
     """Replace evaluated models in a stored document and keep the others.
 
-    The merged document is a new version; the one before it stays until the
-    next update, for readers that have opened it.
+    What an older form of the document has left is removed once the new one is in place.
     """
     columns = ["model_key", *_names(schemas.METRICS)]
     fresh = new.select(*columns)
-    old = current_version(spark, path) if path_exists(spark, path) else None
-    if old:
+    if path_exists(spark, path):
         fresh = upsert_metrics(read_metrics(spark, path).select(*columns), fresh)
-    name = f"version-{uuid.uuid4().hex}"
-    write_metrics(fresh, f"{path}/{name}")
-    swap(spark, path, name)
-    for version in listed(spark, path, "version-"):
-        if version != name and f"{path}/{version}" != old:
-            remove_path(spark, f"{path}/{version}")
+    name = f"_staged-{uuid.uuid4().hex}"
+    try:
+        write_metrics(fresh, f"{path}/{name}")
+        swap(spark, path, name)
+    finally:
+        if path_exists(spark, f"{path}/{name}"):
+            remove_path(spark, f"{path}/{name}")
+    for start in (POINTER, "version-", "part-"):
+        for old in listed(spark, path, start):
+            if old != DOCUMENT:
+                remove_path(spark, f"{path}/{old}")
     return read_metrics(spark, path).select(*columns)
 
 
