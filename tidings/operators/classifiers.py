@@ -14,7 +14,6 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import Word2Vec
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +32,7 @@ from tidings.operators.features import (
 )
 from tidings.operators.labelled import class_weights
 from tidings.operators.transitions import TransitionClassifier, TransitionFeatures
+from tidings.operators.wordvectors import WordVectors
 from tidings.session import enable_checkpoints
 
 # Phrases of the n-gram detector, and how often one must be used to become one.
@@ -213,7 +213,7 @@ def embed_pipeline(
         stages=[
             *sequence_stages(version),
             IdsToWords(inputCol=f"ids_v{version}", outputCol=words),
-            Word2Vec(
+            WordVectors(
                 inputCol=words, outputCol=vector, vectorSize=dim, minCount=1,
                 seed=fixed.SPLIT_SEED, numPartitions=partitions, maxIter=passes,
             ),
@@ -261,8 +261,8 @@ def fit_models(
     Learners named in ``balanced`` see rows of the smaller class repeated; their
     vocabularies are still those of the table as it is.
 
-    The featurised rows are kept on executors while learners that share them
-    run, and recomputed from the table if an executor is lost.  Pipelines do not
+    Normalised texts, which stages and learners read again and again, and the featurised
+    rows are kept on executors while they run, and recomputed from the table if an executor is lost.  Pipelines do not
     depend on each other but for the stages they share, so several run at a time; one that
     needs a stage waits for the first to fit it.  Many rows in few splits are dealt
     to the cluster's tasks by id before anything is fitted.  ``partitions`` merges the
@@ -272,6 +272,7 @@ def fit_models(
     enable_checkpoints(train.sparkSession)
     stages: dict[str, Future] = {}
     frames: dict[tuple[str, ...], DataFrame] = {}
+    texts: dict[tuple[str, bool], DataFrame] = {}
     lock = Lock()
 
     def fitted(stage, df: DataFrame):
@@ -288,9 +289,16 @@ def fit_models(
     def fit(key: str, pipeline: Pipeline) -> PipelineModel:
         df, done = train, []
         *features, learner = pipeline.getStages()
-        for stage in features:
+        for at, stage in enumerate(features):
             done.append(fitted(stage, df))
             df = done[-1].transform(df)
+            if isinstance(stage, TextNormalizer):
+                raw = any("text" == s.getOrDefault("inputCol") for s in features[at + 1 :] if s.hasParam("inputCol"))
+                with lock:
+                    kept = df if raw else df.drop("text")
+                    df = texts.setdefault((stage.uid, raw), kept)
+                    if df is kept:
+                        df.persist(StorageLevel.MEMORY_AND_DISK)
         path = tuple(s.uid for s in features)
         with lock:
             if path not in frames:
@@ -308,7 +316,7 @@ def fit_models(
             running = {key: pool.submit(in_session(fit), key, pipeline) for key, pipeline in pipelines.items()}
             return {k: run.result() for k, run in running.items()}
     finally:
-        for frame in frames.values():
+        for frame in [*frames.values(), *texts.values()]:
             frame.unpersist()
         if dealt:
             train.unpersist()
